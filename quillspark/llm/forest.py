@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components
-from quillspark.llm.shared import checkpoint, flat, slices
+from quillspark.llm.shared import checkpoint, flat, fresh, slices
 from quillspark.llm.textvec import Words, mix, shingles
 
 HASHES = 128
@@ -183,8 +183,9 @@ def kept(docs: DataFrame, **how) -> DataFrame:
     """
     drop = groups(docs, **how).filter("doc_id <> group_id").select("doc_id")
     rest = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("_again"))
+    flag = fresh(docs, "_again")
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(flag)).filter(F.col(flag) > 1)
     marked = rest.join(again, "doc_id", "left")
-    once = marked.filter("_again is null").select(*docs.columns)
-    twice = marked.filter("_again").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    once = marked.filter(F.col(flag).isNull()).select(*docs.columns)
+    twice = marked.filter(F.col(flag).isNotNull()).select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(twice)

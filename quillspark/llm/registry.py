@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import language
+from quillspark.llm import forest, language, mixing
 from quillspark.llm.shared import table
 
 
@@ -15,8 +15,18 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.groups(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_mixing_weights": op9_mixing_weights,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_language_mixture": op4_language_mixture,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_mixing_weights": mixing.sql()}

@@ -64,3 +64,11 @@ def flat(value) -> pa.Array:
     if isinstance(value, pa.ChunkedArray):
         value = value.combine_chunks()
     return value
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
