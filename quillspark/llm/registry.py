@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import forest, language, mixing
+from quillspark.llm import forest, language, mixing, pieces
 from quillspark.llm.shared import table
 
 
@@ -23,7 +23,12 @@ def op9_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing_weights": op9_mixing_weights,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_language_mixture": op4_language_mixture,
