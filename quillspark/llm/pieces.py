@@ -191,7 +191,12 @@ class Codec:
         words = list(words)
         cut = len(self.prefix)
         theirs = self.library.encode([x[cut:].replace(MARK, " ") for x in words], num_threads=1)
-        self.wrong.update(x for x, y in zip(words, theirs) if self.memo[x] != tuple(y))
+        self.wrong.update(x for x, y in zip(words, theirs) if self.memo[x] != tuple(y) and x.strip(MARK))
+        for x in words:
+            if not x.strip(MARK):  # marks alone end a text; a full stop before them keeps the library's own prefix apart
+                stop = self.library.encode(".")
+                if self.library.encode("." + " " * len(x)) != stop + list(self.memo[x]):
+                    self.wrong.add(x)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the library agrees."""
