@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import forest, language, mixing, pieces
+from quillspark.llm import forest, language, mixing, pieces, secrets
 from quillspark.llm.shared import table
 
 
@@ -27,7 +27,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_secret_scan": op8_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing_weights": op9_mixing_weights,
     "op3_near_duplicates": op3_near_duplicates,
