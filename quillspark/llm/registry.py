@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import forest, language, mixing, pieces, secrets
+from quillspark.llm import forest, language, mixing, pieces, secrets, toxicity
 from quillspark.llm.shared import table
 
 
@@ -31,7 +31,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_toxicity": op10_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing_weights": op9_mixing_weights,
