@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import forest, language, mixing, pieces, secrets, toxicity
+from quillspark.llm import chunks, forest, language, mixing, pieces, secrets, toxicity
 from quillspark.llm.shared import table
 
 
@@ -36,7 +36,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
