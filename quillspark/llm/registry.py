@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chunks, forest, language, mixing, pieces, secrets, toxicity
+from quillspark.llm import chunks, forest, language, mixing, pieces, quality, secrets, toxicity
 from quillspark.llm.shared import table
 
 
@@ -40,7 +40,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality": op6_quality,
     "op1_fingerprints": op1_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op8_secret_scan": op8_secret_scan,
