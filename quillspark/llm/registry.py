@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chunks, forest, language, mixing, pieces, quality, secrets, toxicity
+from quillspark.llm import chunks, forest, hashing, language, mixing, pieces, quality, secrets, toxicity
 from quillspark.llm.shared import table
 
 
@@ -44,7 +44,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op6_quality": op6_quality,
     "op1_fingerprints": op1_fingerprints,
     "op10_toxicity": op10_toxicity,
