@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chunks, forest, hashing, language, mixing, pieces, quality, secrets, toxicity
+from quillspark.llm import chunks, forest, hashing, language, mixing, pieces, quality, secrets, toxicity, urls
 from quillspark.llm.shared import table
 
 
@@ -48,7 +48,12 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.screen(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_url_rules": op5_url_rules,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op6_quality": op6_quality,
     "op1_fingerprints": op1_fingerprints,
