@@ -72,3 +72,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def join_sample(df: DataFrame, sample: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+    """df joined with a sample that a parameter bounds: broadcast where its rows, counted, are few; else shuffled."""
+    sample = checkpoint(sample)
+    return df.join(F.broadcast(sample) if sample.count() <= most else sample, key)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.language import _trigrams
-from quillspark.llm.shared import bounded_sample, flat, slices
+from quillspark.llm.shared import bounded_sample, flat, join_sample, slices
 from quillspark.llm.textvec import Words, mix
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHARS, HEADS = 32, 24, 8, 8, 8, 1 << 12, 1 << 15
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 800) -> tuple[Network,
     """Trains on about `bound` labelled documents of each class; the driver gets their texts."""
     label = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = bounded_sample(label, "doc_id", "toxic", bound)
-    rows = docs.select("doc_id", "text").join(some, "doc_id").filter("text is not null").orderBy("doc_id", "text").select("text", "toxic").toPandas()
+    rows = join_sample(docs.select("doc_id", "text"), some, "doc_id").filter("text is not null").orderBy("doc_id", "text").select("text", "toxic").toPandas()
     return train(rows["text"].tolist(), rows["toxic"].to_numpy() > 0) if len(rows) else None
 
 
