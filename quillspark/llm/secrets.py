@@ -130,13 +130,13 @@ def redact(text: str, found: list[tuple]) -> str:
 def redacted(docs: DataFrame, **how) -> DataFrame:
     """The same rows and columns; each secret in text is replaced by [SECRET] and n_chars, if there, follows."""
     where = docs.columns.index("text")
-    counted = "n_chars" if "n_chars" in docs.columns else None
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(**how)
         for batch in batches:
             texts = batch.column(where).to_pylist()
-            sizes = batch.column(counted).to_pylist() if counted else None
+            sizes = None if counted is None else batch.column(counted).to_pylist()
             changed = False
             for k, t in enumerate(texts):
                 found = s.scan(t) if t else []
@@ -149,8 +149,7 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
                 cols = batch.columns
                 cols[where] = pa.array(texts, batch.schema.field(where).type)
                 if sizes:
-                    at = docs.columns.index(counted)
-                    cols[at] = pa.array(sizes, batch.schema.field(at).type)
+                    cols[counted] = pa.array(sizes, batch.schema.field(counted).type)
                 batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
             yield batch
 

@@ -182,8 +182,9 @@ class Network:
 
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 3) -> tuple[Network, float] | None:
-    """A network and its threshold from labelled texts; None without both classes."""
-    toxic = np.asarray(toxic, bool)
+    """A network and its threshold from labelled texts that have words; None without both classes."""
+    some = Inputs(pa.array(texts, pa.string()), np.zeros(0, np.uint64)).counts > 0
+    texts, toxic = [t for t, s in zip(texts, some) if s], np.asarray(toxic, bool)[some]
     if toxic.all() or not toxic.any():
         return None
     rng = np.random.default_rng(seed)

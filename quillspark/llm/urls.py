@@ -7,7 +7,7 @@ stands out from the share of bad pages by less than `least_z` standard errors, a
 shorter rule of no less confidence covers. Rules are matched through an inverted index by the rarest token of each.
 
 Defined results: a null or empty url has no tokens, matches nothing and passes. Repeated rows give repeated
-rows, and repeated labels of a page count once (bad, if any of them is). Without labelled pages, or bad ones, there are no
+rows, and repeated labels of a page count once (bad, if any of them is). Without labelled pages of both kinds there are no
 rules and everything passes. Pages with a null page_id are matched too, yet not mined. An empty table gives an
 empty result.
 """
@@ -60,12 +60,12 @@ def mine(pages: DataFrame, labels: DataFrame, least_support: float = 0.002, leas
     n = baskets.count()
     spark = pages.sparkSession
     none = spark.createDataFrame([], "rule array<string>, anchor string, support double, confidence double, lift double")
-    if n == 0:
+    if n < least_count:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=max(least_support, least_count / n) if least_count < n else 1.0, minConfidence=least_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(least_support, least_count / n), minConfidence=least_confidence).fit(baskets)
     share = F.col("confidence") / F.col("lift")  # of bad pages among all
     z = (F.col("confidence") - share) / F.sqrt(share * (1 - share) / (F.lit(float(n)) * F.col("support") / F.col("confidence")))
-    rules = checkpoint(model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter((share >= 1) | (z >= least_z)).select(F.array_sort("antecedent").alias("rule"), "support", "confidence", "lift"))
+    rules = checkpoint(model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter((share < 1) & (z >= least_z)).select(F.array_sort("antecedent").alias("rule"), "support", "confidence", "lift"))
     times = model.freqItemsets.filter("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
     # rules that a shorter one covers; the two share the shorter one's first token
     short = rules.select(F.col("rule").alias("s"), F.col("confidence").alias("c"), F.col("rule")[0].alias("token"))
