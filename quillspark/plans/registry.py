@@ -1,4 +1,8 @@
-"""Queries of the document-conversion operators and their SQL twins."""
+"""Queries of the document-conversion operators and their SQL twins.
+
+The supplied texts carry hardly any of the markup that the operators act on, so most queries first
+add the same damage to every document on both sides, in SQL. Every query runs over its whole table.
+"""
 
 from __future__ import annotations
 
@@ -6,5 +10,299 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from quillspark.functions import predicates as P
+from quillspark.functions import rewrites as R
+from quillspark.operators import relations as O
+from quillspark.plans.dialect import DUCK, SPARK
+
+TABLES = ("documents", "pages", "conversations", "benchmark", "labels", "events", "customer", "orders")
+
+DAMAGE = [
+    "\n\n12\n• 47 •\nxiv\nIV\nRUNNING HEAD OF A BOOK\nThe Running Head\n88 | A Title\nCHAPTER IV\nINTRODUCTION\nTHE WAY OF GOLD:\n# Title one\n## Part `one`\nProse of the first part is here[^1] and goes on-\nward to the next line[^2].\n\n- such a manner the effects\n\n|♄☿| a | Venus |\n[^1]: first note\n[^3]: third note\nSee @smith2001 and mail me@example.org or [-@jones:99].\n```\n@code in a fence\n```\n12 go on with it\n\n  \nthe  the text has  two spaces ,and more..\n``x`` http://a.b/c",
+    "\n\n3\nJUDIO DE GALILEA\n\tA paragraph with a note[1] by the way\n     and more of it\n4\nLA VIA DEL ORO\n\tAnother one[1].\nNotas\n[1]\nNote of one. <<\n[2]\nNote of two.\n[1]\nNote of the next. <<\n\n## Dos\n010 OQ Fo vio Oar Iu wioOQ wo OQ go 0 QQ FY vio r\nxcvbnm qwrtp l0ve m1x h3re ~~~ ###\n1. first definition\n2. second\n1. again first\n7\n\nthe lone number's text\nT E X T S P A C E D O U T\n00:01:02.500 --> 00:01:04.000\nhello and <c>welcome</c>\nhello and <c>welcome</c>\n<00:00:01.000>welcome to &amp; fro",
+    "\n\n# Front `x`\nTITLE DEBRIS\nT he chapter begins with a split capital\n## Title two[^4]\n\nof prose after it.\n\nNOTES\n1. A note that runs\nover two lines\n2. Another note\n\n45 A page note that\ncontinues here\n46 Second page note\n\n(  )empty and word( ] \nHe went. A\nended. head: entry\n\n\n\nand lower case goes on\n— - \n....,,,;;\n_img_2644.gif",
+]
+SENTENCES = [
+    " the 4 lh house, the 12 ,h house; the 9' h house. Venus in the 4' v house and the ll' h house, in 2015 th",
+    " In Volume IT T will publish ; where T reads differently ; ( l believe it",
+    " nota[3] aqui, ano[2024], link[1](url), def[1]: x",
+    " cafe´ ni€os a¨b `e ¸c naı´ve ­soft­ hyphen ofﬁce ﬂow ( x ) , y",
+    " Q&A 100% #1_test $x a\\b {x}~y^z \\ldots{} and \\alpha{} \\S{}",
+    " Title   with    wide  spaces\t and end  ",
+]
+
+
+def _case(d, items) -> str:
+    return "CASE doc_id % " + str(len(items)) + " " + " ".join(f"WHEN {k} THEN {d.lit(x)}" for k, x in enumerate(items)) + " END"
+
+
+def dirty(d) -> str:
+    """Documents with structural damage."""
+    return f"SELECT doc_id, coalesce(text, '') || {_case(d, DAMAGE)} AS text FROM documents"
+
+
+def damaged_lines(d) -> str:
+    return O.lines(d, dirty(d))
+
+
+def sentences(d) -> str:
+    """First line of every document with character damage."""
+    return f"SELECT doc_id, {d.at(d.split('coalesce(text, ' + chr(39) * 2 + ')', chr(10)), '1')} || {_case(d, SENTENCES)} AS s FROM documents"
+
+
+def feeds(d) -> str:
+    """Documents as pages: a form feed behind every second line."""
+    return f"SELECT doc_id, {R.chain(d, 'coalesce(text, ' + chr(39) * 2 + ')', (chr(10), chr(12)))} || {d.lit(chr(12))} AS text FROM documents"
+
+
+def _flag(f, **how):
+    return lambda d: f"SELECT doc_id, line_no, {f(d, 'line', **how)} AS hit FROM ({damaged_lines(d)}) _q"
+
+
+def _rewrite(f, **how):
+    return lambda d: f"SELECT doc_id, {f(d, 's', **how)} AS s FROM ({sentences(d)}) _q"
+
+
+def _whole(f, **how):
+    return lambda d: f"SELECT doc_id, {f(d, 'text', **how)} AS s FROM ({dirty(d)}) _q"
+
+
+def _lines(f, *a):
+    return lambda d: f(d, damaged_lines(d), *a)
+
+
+def _paras(d):
+    return O.paragraphs(d, damaged_lines(d))
+
+
+def _numbers(d):
+    return f"SELECT DISTINCT doc_id, CAST(length(line) AS BIGINT) AS n FROM ({damaged_lines(d)}) _l WHERE length(line) BETWEEN 1 AND 60"
+
+
+def _plan(d):
+    return "SELECT 0 AS pos, '# Title one' AS heading, 'one' AS title UNION ALL SELECT 1, '## Part `one`', 'part' UNION ALL SELECT 2, '## Dos', 'dos'"
+
+
+def _heads(d):
+    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, {R.fixes(d, 'line')} AS title FROM ({damaged_lines(d)}) _l WHERE {P.caps_heading(d, 'line')} OR {d.like('line', '^#')} OR {P.page_number(d, 'line')}"
+
+
+def _urls(d):
+    return "SELECT page_id AS doc_id, url FROM pages"
+
+
+def _translation(d):  # G10, G11
+    t = R.fixes(d, "text", (("the", "thee"), (r"[0-9]+", "7")))
+    row = lambda x: f"{d.n(x, '(?m)^```')} / 2 AS fences, {d.n(x, r'\[\^[0-9]+\]')} AS refs, {d.n(x, '(?m)^#+ ')} AS headings, {d.n(x, r'\]\(')} AS links, {d.n(x, '[0-9]+')} AS numbers, {d.n(x, '[^ ' + chr(92) + 'n]+')} AS words"
+    whole = "div" if d.name == "spark" else "//"
+    fix = lambda s: s.replace(" / 2 ", f" {whole} 2 ")
+    return f"""SELECT o.doc_id, o.fences AS fences, t.fences AS fences_t, o.refs AS refs, t.refs AS refs_t, o.headings AS headings, t.headings AS headings_t, o.numbers AS numbers, o.words AS words, t.words AS words_t,
+      CASE WHEN t.words < 0.85 * o.words THEN 'short' WHEN t.words > 1.3 * o.words THEN 'long' ELSE 'fine' END AS verdict FROM (SELECT doc_id, {fix(row('text'))} FROM ({dirty(d)}) _a) o JOIN (SELECT doc_id, {fix(row(t))} FROM ({dirty(d)}) _b) t ON o.doc_id = t.doc_id"""
+
+
+def _completeness(d):  # L2: four-word runs of the benchmark passages that no document has
+    grams = lambda rel, key: f"SELECT DISTINCT {key}, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS g FROM (SELECT {key}, w AS w1, lead(w, 1) OVER z AS w2, lead(w, 2) OVER z AS w3, lead(w, 3) OVER z AS w4 FROM ({d.rows(rel, R.tokens(d, 'text'), 'pos', 'w')}) _t WINDOW z AS (PARTITION BY {key} ORDER BY pos)) _u WHERE w4 IS NOT NULL"
+    return f"SELECT b.item_id, count(*) AS runs, count(CASE WHEN k.g IS NULL THEN 1 END) AS missing FROM ({grams('SELECT item_id, text FROM benchmark', 'item_id')}) b LEFT JOIN (SELECT DISTINCT g FROM ({grams('SELECT doc_id, text FROM documents', 'doc_id')}) _d) k ON b.g = k.g GROUP BY b.item_id"
+
+
+def _multiset(d):  # E2, G12: numbers lost
+    nums = lambda t: f"SELECT doc_id, n FROM ({d.rows(f'SELECT doc_id, {t} AS text FROM documents', d.all('text', '[0-9]+'), 'pos', 'n')}) _n"
+    return f"SELECT doc_id, n, count(*) AS times FROM ({nums('text')} EXCEPT ALL {nums(R.fixes(d, 'text', (('1[0-9]', 'x'),)))}) _e GROUP BY doc_id, n"
+
+
+def _glossary(d):  # J10: terms that stayed in a translation
+    terms = " UNION ALL ".join(f"SELECT '{w}' AS src" for w in ("the", "der", "les", "que", "license", "token"))
+    return f"SELECT d.doc_id, t.src FROM documents d JOIN ({terms}) t ON {d.like('lower(d.text)', '(^|[^a-z])the([^a-z]|$)')} AND t.src = 'the' OR t.src <> 'the' AND contains(lower(d.text), ' ' || t.src || ' ')"
+
+
+def _spelling(d):  # L6, J13: rare words one deletion from a common word
+    words = O.word_counts(d, "SELECT text FROM documents", "ascii")
+    cut = lambda rel: f"SELECT word, n, v FROM ({d.rows(rel, 'concat(' + d.array('word') + ', ' + d.each(d.upto('1', 'length(word)'), 'i', 'substr(word, 1, i - 1) || substr(word, i + 1)') + ')' if d.name == 'spark' else 'list_concat([word], list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)))', 'pos', 'v')}) _v"
+    return f"""SELECT word, {d.pick('fix', d.struct('n', 'fix'))} AS fix FROM (SELECT DISTINCT r.word, c.word AS fix, c.n FROM ({cut(f'SELECT * FROM ({words}) _w WHERE n <= 2 AND length(word) >= 4')}) r JOIN ({cut(f'SELECT * FROM ({words}) _w WHERE n >= 8 AND length(word) >= 4')}) c ON r.v = c.v
+      WHERE levenshtein(r.word, c.word) <= 1) _x GROUP BY word"""
+
+
+def _html_text(d):  # S10, by patterns
+    s = R.chain(d, "html", (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<(p|br|div|li|h[1-4])[^>]*>", "\n"), (r"<[^>]*>", ""))
+    return f"SELECT page_id, {R.caption(d, s)} AS text FROM pages"
+
+
+def _tags(d):  # H1, counts
+    return "SELECT page_id, " + ", ".join(f"{d.n('html', f'(?i)<{t}[ >]')} AS n_{t}" for t in ("p", "b", "li", "a", "h1", "br", "nav")) + " FROM pages"
+
+
+def _index(d):  # Q6, K6: pages of each term
+    hits = f"SELECT DISTINCT term, page_no FROM (SELECT {d.at(R.tokens(d, 'text', 'latin'), '1')} AS term FROM benchmark) b JOIN ({O.pages(d, feeds(d))}) p ON contains(lower(p.page), ' ' || b.term || ' ')"
+    return f"SELECT doc_id AS term, upper(substr({R.index_key(d, 'doc_id')}, 1, 1)) AS letter, runs FROM ({O.page_runs(d, f'SELECT term AS doc_id, CAST(page_no AS BIGINT) AS n FROM ({hits}) _h')}) _r"
+
+
+def _spread(d):  # P25: which pages are spreads
+    return f"SELECT page_id, w, h, CASE WHEN w >= CAST(1.05 AS DOUBLE) * h THEN 'split' ELSE 'keep' END AS act, sum(CASE WHEN w >= CAST(1.05 AS DOUBLE) * h THEN 2 ELSE 1 END) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS last_page FROM (SELECT page_id, CAST(400 + page_id % 7 * 50 AS DOUBLE) AS w, CAST(600 AS DOUBLE) AS h FROM pages) _p"
+
+
+def _sizes(d):  # W23: font sizes linked while the gap to the last is small
+    lines = f"SELECT doc_id, line_no, round(CAST(9 AS DOUBLE) + length(line) % 23 * CAST(0.3 AS DOUBLE), 1) AS size FROM ({damaged_lines(d)}) _l"
+    return f"""SELECT doc_id, grp, dense_rank() OVER (PARTITION BY doc_id ORDER BY grp) AS level, count(*) AS n, round(avg(size), 6) AS mean FROM (SELECT x.doc_id, x.size, g.grp FROM ({lines}) x JOIN (
+      SELECT doc_id, size, sum(CASE WHEN before - size > 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS grp FROM (
+        SELECT doc_id, size, lag(size) OVER (PARTITION BY doc_id ORDER BY size DESC) AS before FROM (SELECT DISTINCT doc_id, size FROM ({lines}) _a) _b) _c) g ON x.doc_id = g.doc_id AND x.size = g.size) _d GROUP BY doc_id, grp HAVING count(*) >= 3"""
+
+
+def _quotes(d):  # W24: runs of indented small lines
+    small = "(x0 >= 20 AND size <= CAST(10.1 AS DOUBLE))"
+    return f"""SELECT doc_id, grp, {d.gather('line', 'line_no', ' ')} AS quote FROM (SELECT *, sum(CASE WHEN {small} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS grp FROM (
+      SELECT *, length(line) % 3 * 10 AS x0, CAST(10 + length(line) % 2 AS DOUBLE) AS size FROM ({damaged_lines(d)}) _l WHERE trim(line) <> '') _m) _n WHERE {small} GROUP BY doc_id, grp HAVING sum(length(line)) >= 60"""
+
+
+def _segments(d):  # Z2 over events
+    secs = "CAST(unix_timestamp(ts) % 3600 AS DOUBLE)" if d.name == "spark" else "CAST(CAST(floor(epoch(ts)) AS BIGINT) % 3600 AS DOUBLE)"
+    return f"SELECT user_id AS doc_id, {secs} AS s, {secs} + 2.25 AS e FROM events"
+
+
+def _mode(d):  # G3: the commonest length, the least among equals
+    return f"SELECT doc_id, {d.pick('v', d.struct('n', '-v'))} AS mode FROM (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, CAST(length(line) AS BIGINT) AS v FROM ({damaged_lines(d)}) _l WHERE length(line) > 45) _m GROUP BY doc_id, v) _n GROUP BY doc_id"
+
+
+def _median(d):  # G4: the upper median
+    return f"SELECT doc_id, max(CASE WHEN i = n {'div' if d.name == 'spark' else '//'} 2 + 1 THEN v END) AS median FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY v) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, CAST(length(line) AS BIGINT) AS v FROM ({damaged_lines(d)}) _l) _m) _n GROUP BY doc_id"
+
+
+def _fingerprint(d):  # G18, Q4
+    part = f"CAST(doc_id AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) || ':' || n_chars"
+    return f"SELECT source, md5({d.gather(part, 'doc_id', '|')}) AS print FROM documents GROUP BY source"
+
+
+def _sample(d):  # G16: every k-th page by a fixed step
+    return f"SELECT doc_id, page_no FROM (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS n FROM ({O.pages(d, feeds(d))}) _p) _q WHERE (page_no - 1) * 3 % n < 3"
+
+
+def _garbled_cells(d):  # P17
+    cells = d.rows(f"SELECT doc_id, line_no, line FROM ({damaged_lines(d)}) _l WHERE {d.like('line', r'^\|')} AND NOT {d.like('line', r'^[|: -]+$')}", d.split("line", r"\|"), "cell_no", "cell")
+    return f"SELECT doc_id, line_no, min(cell_no) AS first_cell FROM ({cells}) _c WHERE {P.garbled_cell(d, 'cell')} GROUP BY doc_id, line_no"
+
+
+def _markers(d):  # P12
+    hits = f"SELECT doc_id, page_no, trim(line) AS marker, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS i FROM (SELECT doc_id, line_no, line, line_no {'div' if d.name == 'spark' else '//'} 10 AS page_no FROM ({damaged_lines(d)}) _l) _m WHERE {P.chapter_marker(d, 'line')}"
+    return f"SELECT doc_id, CAST(page_no AS BIGINT) AS page_no, marker FROM ({hits}) _h WHERE i = 1"
+
+
+def _anchor(d):  # P27: the first ten words of a page's prose
+    ok = f"{d.n('line', '[^ ]+')} >= 3"
+    words = d.all(d.gather("line", "line_no", " "), r"[\p{L}\p{N}]+")
+    return f"SELECT doc_id, {d.join(d.cut('w', 1, 10), ' ')} AS anchor FROM (SELECT doc_id, {words} AS w FROM ({damaged_lines(d)}) _l WHERE {ok} GROUP BY doc_id) _m WHERE {d.size('w')} >= 5"
+
+
+def _noise(d):  # G9, S16, J12, R3: tokens outside a dictionary of the corpus
+    known = f"SELECT word FROM ({O.word_counts(d, 'SELECT text FROM documents', 'latin')}) _k WHERE n >= 3"
+    return f"SELECT t.doc_id, count(*) AS tokens, count(CASE WHEN k.word IS NULL THEN 1 END) AS unknown FROM ({d.rows(dirty(d), R.tokens(d, 'text', 'latin'), 'pos', 'word')}) t LEFT JOIN ({known}) k ON t.word = k.word GROUP BY t.doc_id"
+
+
+def _ratio(d):  # G7
+    return f"SELECT doc_id, a, b, CASE WHEN a < 0.85 * b THEN 'red' WHEN a < 0.93 * b THEN 'yellow' ELSE 'green' END AS flag FROM (SELECT doc_id, {d.n(R.chain(d, 'text', ('[a-z]*tion', '')), r'[\p{L}]+')} AS a, {d.n('text', r'[\p{L}]+')} AS b FROM documents) _r"
+
+
+def _corruption(d):  # G13
+    return f"SELECT doc_id, count(*) AS n, sum(CASE WHEN score >= 0.35 THEN 1 ELSE 0 END) AS flagged, sum(CASE WHEN score >= 0.35 THEN 1 ELSE 0 END) > 0.25 * count(*) AS again FROM (SELECT doc_id, round({P.corruption_score(d, 'line')}, 4) AS score FROM ({damaged_lines(d)}) _l) _s GROUP BY doc_id"
+
+
+def _cited(d):  # J7, S17, E1
+    bib = "SELECT 'smith2001' AS key UNION ALL SELECT 'smith2001' UNION ALL SELECT 'brown1999'"
+    cites = O.citations(d, damaged_lines(d))
+    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    return f"""SELECT DISTINCT c.key, 'no entry' AS what FROM ({cites}) c {anti} ({bib}) b ON c.key = b.key UNION ALL SELECT DISTINCT b.key, 'not cited' FROM ({bib}) b {anti} ({cites}) c ON b.key = c.key
+      UNION ALL SELECT key, 'twice' FROM ({bib}) _x GROUP BY key HAVING count(*) > 1"""
+
+
+def _notes_join(d):  # J4, H3: notes numbered by first use, a placeholder where a body is missing
+    refs = d.rows(dirty(d), d.all("text", r"\[\^([0-9]+)\](?:[^:]|$)", 1), "pos", "m")
+    defs = d.rows(dirty(d), d.all("text", r"(?m)^\[\^([0-9]+\]: .*)$", 1), "pos", "b")
+    return f"""SELECT r.doc_id, r.m, dense_rank() OVER (PARTITION BY r.doc_id ORDER BY r.first_use) AS no, coalesce(x.body, '(missing note)') AS body FROM (SELECT doc_id, m, min(pos) AS first_use FROM ({refs}) _r GROUP BY doc_id, m) r
+      LEFT JOIN (SELECT doc_id, {d.ext('b', '^([0-9]+)', 1)} AS m, min({d.ext('b', '^[0-9]+[]]: (.*)$', 1)}) AS body FROM ({defs}) _d GROUP BY doc_id, {d.ext('b', '^([0-9]+)', 1)}) x ON r.doc_id = x.doc_id AND r.m = x.m"""
+
+
+def _pools(d):  # E4: later pools win, collisions are counted
+    pool = "SELECT conv_id, turn % 3 AS n, turn AS pool_no, text FROM conversations"
+    return f"SELECT conv_id, n, {d.pick('text', 'pool_no')} AS body, count(DISTINCT text) > 1 AS collides FROM ({pool}) _p GROUP BY conv_id, n"
+
+
+def _cues(d):
+    return "SELECT conv_id AS doc_id, turn AS line_no, coalesce(text, '') AS line FROM conversations UNION ALL SELECT conv_id, turn + 1000, coalesce(text, '') FROM conversations"
+
+
+def _overlap(d):  # W18: the longest suffix of what is out that the cue begins with isn't said again
+    words = f"SELECT doc_id, {d.collect('line', 'line_no')} AS cues FROM (SELECT conv_id AS doc_id, turn AS line_no, {d.join(d.cut(d.split('text', ' '), 1, 12), ' ')} AS line FROM conversations UNION ALL SELECT conv_id, turn + 0.5, {d.join(d.cut(d.split('text', ' '), 7, 12), ' ')} FROM conversations) _c GROUP BY doc_id"
+    if d.name == "spark":
+        fold = "aggregate(transform(cues, c -> filter(split(c, ' '), w -> w <> '')), cast(array() as array<string>), (a, c) -> concat(a, slice(c, 1 + array_max(filter(sequence(0, least(size(a), size(c))), k -> k = 0 OR slice(a, size(a) - k + 1, k) = slice(c, 1, k))), greatest(size(c), 1))))"
+    else:
+        fold = "list_reduce(list_transform(cues, lambda c: list_filter(string_split(c, ' '), lambda w: w <> '')), lambda a, c: list_concat(a, list_slice(c, 1 + list_max(list_filter(range(0, least(len(a), len(c)) + 1), lambda k: k = 0 OR list_slice(a, len(a) - k + 1, len(a)) = list_slice(c, 1, k))), len(c))))"
+    return f"SELECT doc_id, {d.join(fold, ' ')} AS text FROM ({words}) _w"
+
+
+def _search(d):  # Q5, G5
+    hit = f"contains({d.fold('line')}, 'erung')"
+    return f"SELECT doc_id, count(*) AS hits FROM ({damaged_lines(d)}) _l WHERE {hit} GROUP BY doc_id"
+
+
+BUILDERS: dict[str, Callable[..., str]] = {
+    "s2_pages": lambda d: O.pages(d, feeds(d)),
+    "s3_page_range": lambda d: O.page_range(d, O.pages(d, feeds(d)), 2, 5),
+    "s4_without_running_head": _lines(O.without_head),
+    "s10_html_text": _html_text,
+    "s14_cues": lambda d: f"SELECT doc_id, line_no, {R.caption(d, 'line')} AS line FROM ({damaged_lines(d)}) _l WHERE NOT contains(line, '-->')",
+    "s18_glossary_leaks": _glossary,
+    "k7_srt": lambda d: f"SELECT doc_id, s, {R.srt_time(d, 's')} AS t0, {R.srt_time(d, 'e')} AS t1 FROM ({_segments(d)}) _s",
+    "k12_combined": lambda d: f"SELECT source, {d.gather('text', 'doc_id', chr(10) * 2 + '---' + chr(10) * 2)} AS md FROM documents GROUP BY source",
+    "p1_page_numbers": _flag(P.page_number), "p2_ocr_page_numbers": _flag(P.ocr_page_number), "p3_roman_headings": _flag(P.roman_heading),
+    "p4_running_heads": _flag(P.running_head), "p4_running_heads_at_start": _flag(P.running_head, start=True), "p5_folded_heads": _flag(P.running_head_folded),
+    "p6_heads_with_folio": _flag(P.head_with_folio), "p7_garbage_lines": _flag(P.garbage_line),
+    "p8_garbage_paragraphs": lambda d: f"SELECT doc_id, para_no, {P.garbage_paragraph(d, 'text')} AS hit FROM ({_paras(d)}) _q",
+    "p9_caps_headings": _flag(P.caps_heading), "p10_ocr_headings": _flag(P.ocr_heading), "p11_layout_headings": _flag(P.layout_heading), "p12_chapter_markers": _markers,
+    "p13_skippable_units": _flag(P.skippable_unit), "p14_garbled_tokens": lambda d: f"SELECT doc_id, pos, w, {P.garbled_token(d, 'w')} AS hit FROM ({d.rows(dirty(d), d.all('text', '[A-Za-z]+'), 'pos', 'w')}) _q",
+    "p15_garbage_blocks": _flag(P.garbage_block), "p16_corruption": lambda d: f"SELECT doc_id, line_no, round({P.corruption_score(d, 'line')}, 4) AS score FROM ({damaged_lines(d)}) _q",
+    "p17_garbled_cells": _garbled_cells, "p18_artifacts": lambda d: O.artifacts(d, _paras(d)), "p19_proofread": _lines(O.proofread), "p20_index_heads": _flag(P.plausible_head),
+    "p21_terminal": _flag(P.ends_terminal), "p22_only": lambda d: "SELECT doc_id, source FROM documents WHERE contains(lower(source), 'c1')", "p23_latin": _flag(P.latin), "p25_spreads": _spread, "p26_leaked_notes": _flag(P.leaked_note),
+    "p27_anchors": _anchor, "p28_unquotable": _flag(P.unquotable), "p28_backmatter": _flag(P.backmatter), "p29_citations": _lines(O.citations),
+    "r1_slugs": _rewrite(R.slug), "r1_slugs_lower": _rewrite(R.slug, most=20, lower=True), "r2_fold": _rewrite(R.folded), "r5_diacritics": _rewrite(R.diacritics), "r6_docling": _rewrite(R.docling), "r7_ordinals": _rewrite(R.ordinals),
+    "r9_pronoun": _rewrite(R.pronoun), "r10_join_lines": _whole(R.join_lines), "r11_join_paragraph": _whole(R.join_paragraph), "r12_dehyphenate": lambda d: f"SELECT doc_id, {R.dehyphenate(d, 's || ' + chr(39) + '-' + chr(39), chr(39) + 'end' + chr(39))} AS s FROM ({sentences(d)}) _q",
+    "r13_leading_numbers": lambda d: f"SELECT doc_id, line_no, {R.leading_number(d, 'line')} AS s FROM ({damaged_lines(d)}) _q",
+    "r14_fixes": _rewrite(R.fixes), "r15_title_case": _rewrite(R.title_case), "r17_promoted_headings": lambda d: f"SELECT doc_id, line_no, CASE WHEN {P.caps_heading(d, 'line')} THEN '## ' || {R.title_case(d, 'line')} ELSE line END AS s FROM ({damaged_lines(d)}) _q",
+    "r18_echoed_title": lambda d: O.leading_run(d, _paras(d), d.like("lower(text)", "^(the|der|la|le)")), "r20_soft_hyphens": _rewrite(R.soft_hyphens), "r21_collapse": lambda d: f"SELECT doc_id, line_no, {R.collapse_spaces(d, 'line')} AS s FROM ({damaged_lines(d)}) _q",
+    "r22_tidy": _whole(R.tidy), "r23_openings": _lines(O.openings), "r24_bracket_refs": _rewrite(R.bracket_refs), "r29_glyphs": lambda d: f"SELECT doc_id, line_no, {R.glyph(d, 'line')} AS s FROM ({damaged_lines(d)}) _q WHERE contains(line, '_img_')",
+    "r30_tex_symbols": _rewrite(R.tex_symbols), "r32_captions": lambda d: f"SELECT doc_id, line_no, {R.caption(d, 'line')} AS s FROM ({damaged_lines(d)}) _q",
+    "r33_seconds": lambda d: f"SELECT doc_id, {R.seconds(d, 't')} AS secs FROM (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '1:' ELSE '12:' END) || (n_chars % 60) || (CASE WHEN doc_id % 5 = 0 THEN '' ELSE ':' || (doc_id % 60) END) AS t FROM documents) _q",
+    "r34_tex_escape": _rewrite(R.tex_escape), "r35_reference_text": _whole(R.reference_text), "r36_index_keys": _rewrite(R.index_key), "r37_page_runs": lambda d: O.page_runs(d, _numbers(d)), "r38_first_titles": _whole(R.first_title),
+    "r39_match_case": lambda d: f"SELECT doc_id, pos, {R.match_case(d, 'w', chr(39) + 'word' + chr(39))} AS s FROM ({d.rows(dirty(d), d.all('text', '[A-Za-z]+'), 'pos', 'w')}) _q",
+    "r40_hrefs": lambda d: f"SELECT doc_id, {R.resolve_href(d, chr(39) + 'OEBPS/text/..' + chr(39), 'url')} AS href FROM ({_urls(d)}) _u",
+    **{f"r41_tokens_{k}": (lambda k: lambda d: f"SELECT doc_id, {d.size(R.tokens(d, 'text', k))} AS n, {d.join(R.tokens(d, 'text', k), ' ')} AS s FROM ({dirty(d)}) _q")(k) for k in ("word", "latin", "ascii", "apostrophe")},
+    "r42_body": _whole(R.body), "r43_numbered_notes": lambda d: f"SELECT doc_id, {d.join(R.numbered_marks(d, 'text'), ',')} AS marks, {d.join(R.numbered_notes(d, 'text'), '|')} AS notes FROM ({dirty(d)}) _q",
+    "w1_page_paragraphs": _lines(O.page_paragraphs), "w3_merged_paragraphs": lambda d: O.merged(d, _paras(d)), "w4_reflow": _lines(O.reflow), "d6_paragraphs": _paras, "w7_passages": _lines(O.passages), "w8_split_by_heading": _lines(O.split_headings),
+    "w9_plan_starts": lambda d: O.plan_starts(d, damaged_lines(d), _plan(d)), "w10_numbered_sections": _lines(O.sections_by_number), "w11_rtf_body": _lines(O.rtf_body), "w12_note_pool": _lines(O.note_pool), "w13_foot_zone": _lines(O.foot_zone), "w14_end_notes": _lines(O.end_notes),
+    "w15_body_start": lambda d: O.body_start(d, _paras(d)), "w16_note_definitions": _lines(O.note_definitions), "w18_consecutive_cues": lambda d: O.consecutive_cues(d, _cues(d)), "w18_overlap": _overlap, "w23_size_tiers": _sizes, "w24_quotes": _quotes,
+    "w27_outside_fences": _lines(O.fences), "w28_context": lambda d: O.context(d, damaged_lines(d), "contains(line, 'the ')", 1), "w30_relocated_notes": _lines(O.relocated_notes), "w31_split_definitions": _lines(O.merge_split_definitions),
+    "j4_notes": _notes_join, "j7_citation_keys": _cited, "g1_word_map": lambda d: O.word_map(d, dirty(d)), "g2_word_counts": lambda d: O.word_counts(d, "SELECT text FROM documents"), "g3_mode": _mode, "g4_median": _median, "g5_hits": _search,
+    "g7_ratio": _ratio, "g8_note_balance": lambda d: O.note_balance(d, dirty(d)), "g9_noise": _noise, "g10_translation": _translation, "g12_lost_numbers": _multiset, "g13_corruption": _corruption, "g14_missing_numbers": lambda d: O.missing_numbers(d, _numbers(d)),
+    "g16_page_sample": _sample, "g18_fingerprint": _fingerprint, "e4_note_pools": _pools, "l2_completeness": _completeness, "l6_spelling": _spelling, "q1_postings": lambda d: O.fts_postings(d, O.passages(d, damaged_lines(d))),
+    "q2_bm25": lambda d: O.bm25(d, O.fts_postings(d, O.passages(d, damaged_lines(d))), ("the", "token", "ersh", "license")), "q6_index": _index, "h1_tags": _tags,
+    "m1_roles": lambda d: O.roles(d, _heads(d)), "m2_chapter_titles": lambda d: f"SELECT doc_id, {R.strip_chapter(d, chr(39) + '# Chapter 4 — ' + chr(39) + ' || text')} AS s FROM documents",
+    "m3_first_chapter": lambda d: f"SELECT doc_id, {R.star_first_chapter(d, chr(39) + 'x ' + chr(92) * (2 if d.name == 'spark' else 1) + 'chapter{A {b} c} y ' + chr(39) + ' || text')} AS s FROM documents",
+    "m4_star_sections": lambda d: f"SELECT doc_id, {R.star_sections(d, chr(39) + 'x ' + chr(92) * (2 if d.name == 'spark' else 1) + 'section{A} ' + chr(39) + ' || text')} AS s FROM documents",
+    "m6_centred_images": lambda d: f"SELECT doc_id, {R.centre_images(d, chr(39) + 'x ' + chr(92) * (2 if d.name == 'spark' else 1) + 'includegraphics[w]{a.png} ' + chr(39) + ' || text')} AS s FROM documents",
+    "z1_batches": lambda d: O.batches(d, O.pages(d, feeds(d))), "z2_resume": lambda d: O.resume(d, _segments(d)),
+}
+
+
+def run_sql(spark: SparkSession, sf_dir: str, builder: Callable[..., str]) -> DataFrame:
+    """The query over the tables of a folder. Views are bound when the query is analysed, that is at once."""
+    text = builder(SPARK)
+    for name in TABLES:
+        if name in text:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda b: lambda spark, sf_dir: run_sql(spark, sf_dir, b))(b) for name, b in BUILDERS.items()}
+SQL: dict[str, str] = {name: b(DUCK) for name, b in BUILDERS.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text ranking over the passages of all documents."""
+    return QUERIES["q2_bm25"](spark, sf_dir)
