@@ -149,7 +149,7 @@ def match_case(d, old, new):  # R39
     return f"CASE WHEN {old} = upper({old}) AND length({old}) > 1 THEN upper({new}) WHEN {d.like(old, '^' + chr(92) + 'p{Lu}')} THEN upper(substr({new}, 1, 1)) || substr({new}, 2) ELSE {new} END"
 
 
-def resolve_href(d, base, x):  # R40: no fragment, joined, dot segments folded
+def resolve_href(d, x, base):  # R40: no fragment, joined, dot segments folded
     s = f"{base} || '/' || {d.rep(x, '#.*$', '')}"
     s = d.rep(s, r"/\./", "/")
     for _ in range(3):
@@ -186,12 +186,12 @@ def strip_chapter(d, x):  # M2
 
 
 def star_sections(d, x):  # M4
-    return d.rep(x, r"\\(section|subsection|subsubsection)\{", r"\\\1*{")
+    return d.rep(x, r"\\(section|subsection|subsubsection)\{", r"\\1*{")
 
 
 def centre_images(d, x):  # M6
-    return d.rep(x, r"(\\includegraphics(?:\[[^\]]*\])?\{[^}]*\})", r"\\begin{center}\1\\end{center}")
+    return d.rep(x, r"(\\includegraphics(?:\[[^\]]*\])?\{[^}]*\})", r"\begin{center}\1\end{center}")
 
 
 def star_first_chapter(d, x):  # M3: one level of nested braces
-    return d.rep(x, r"(?s)\A(.*?)\\chapter\{((?:[^{}]|\{[^{}]*\})*)\}", r"\1\\chapter*{\2}\\addcontentsline{toc}{chapter}{\2}")
+    return d.rep(x, r"(?s)\A(.*?)\\chapter\{((?:[^{}]|\{[^{}]*\})*)\}", r"\1\chapter*{\2}\addcontentsline{toc}{chapter}{\2}")

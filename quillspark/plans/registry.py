@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions import predicates as P
 from quillspark.functions import rewrites as R
+from quillspark.operators import folds
 from quillspark.operators import relations as O
 from quillspark.plans.dialect import DUCK, SPARK
 
@@ -271,7 +272,7 @@ BUILDERS: dict[str, Callable[..., str]] = {
     "r33_seconds": lambda d: f"SELECT doc_id, {R.seconds(d, 't')} AS secs FROM (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '1:' ELSE '12:' END) || (n_chars % 60) || (CASE WHEN doc_id % 5 = 0 THEN '' ELSE ':' || (doc_id % 60) END) AS t FROM documents) _q",
     "r34_tex_escape": _rewrite(R.tex_escape), "r35_reference_text": _whole(R.reference_text), "r36_index_keys": _rewrite(R.index_key), "r37_page_runs": lambda d: O.page_runs(d, _numbers(d)), "r38_first_titles": _whole(R.first_title),
     "r39_match_case": lambda d: f"SELECT doc_id, pos, {R.match_case(d, 'w', chr(39) + 'word' + chr(39))} AS s FROM ({d.rows(dirty(d), d.all('text', '[A-Za-z]+'), 'pos', 'w')}) _q",
-    "r40_hrefs": lambda d: f"SELECT doc_id, {R.resolve_href(d, chr(39) + 'OEBPS/text/..' + chr(39), 'url')} AS href FROM ({_urls(d)}) _u",
+    "r40_hrefs": lambda d: f"SELECT doc_id, {R.resolve_href(d, 'url', chr(39) + 'OEBPS/text/..' + chr(39))} AS href FROM ({_urls(d)}) _u",
     **{f"r41_tokens_{k}": (lambda k: lambda d: f"SELECT doc_id, {d.size(R.tokens(d, 'text', k))} AS n, {d.join(R.tokens(d, 'text', k), ' ')} AS s FROM ({dirty(d)}) _q")(k) for k in ("word", "latin", "ascii", "apostrophe")},
     "r42_body": _whole(R.body), "r43_numbered_notes": lambda d: f"SELECT doc_id, {d.join(R.numbered_marks(d, 'text'), ',')} AS marks, {d.join(R.numbered_notes(d, 'text'), '|')} AS notes FROM ({dirty(d)}) _q",
     "w1_page_paragraphs": _lines(O.page_paragraphs), "w3_merged_paragraphs": lambda d: O.merged(d, _paras(d)), "w4_reflow": _lines(O.reflow), "d6_paragraphs": _paras, "w7_passages": _lines(O.passages), "w8_split_by_heading": _lines(O.split_headings),
@@ -299,7 +300,38 @@ def run_sql(spark: SparkSession, sf_dir: str, builder: Callable[..., str]) -> Da
     return spark.sql(text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda b: lambda spark, sf_dir: run_sql(spark, sf_dir, b))(b) for name, b in BUILDERS.items()}
+def _folded(function: Callable[[str], str], table: Callable[..., str] = dirty) -> Callable[[SparkSession, str], DataFrame]:
+    """A fold over every damaged document; no SQL twin, tests hold the fold to its rules."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return folds.text_map(run_sql(spark, sf_dir, table), function)
+
+    return run
+
+
+def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return folds.rows_map(pages, folds.html_blocks, "page_id long, block_no int, kind string, md string", "page_id", "html")
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage against a copy from which words were taken."""
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").createOrReplaceTempView("benchmark")
+    pairs = spark.sql("SELECT item_id, text, array_join(filter(split(text, ' '), (w, i) -> i < 4 OR i > 8), ' ') AS got FROM benchmark")
+    return folds.rows_map(pairs, lambda a, b: folds.gaps(a, b), "item_id long, tag string, place int, span string", "item_id", "text", "got")
+
+
+FOLDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "w6_running_headers": _folded(folds.drop_running_headers),
+    "w17_rebuilt_notes": _folded(folds.rebuild_notes),
+    "r25_glued_marks": _folded(lambda t: folds.glued_marks(t, {1, 2, 3, 4, 11})),
+    "r26_split_marks": _folded(lambda t: folds.split_marks(t, set(range(10, 60)))),
+    "r31_strip_command": _folded(lambda t: folds.strip_command(t, "chapter")),
+    "h2_html_blocks": _html_blocks,
+    "l1_gaps": _gaps,
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = FOLDS | {name: (lambda b: lambda spark, sf_dir: run_sql(spark, sf_dir, b))(b) for name, b in BUILDERS.items()}
 SQL: dict[str, str] = {name: b(DUCK) for name, b in BUILDERS.items()}
 
 
