@@ -291,6 +291,128 @@ BUILDERS: dict[str, Callable[..., str]] = {
 }
 
 
+def _ligature_map(d):  # R3, R4, J12: tokens whose capitals stand for ligatures, by a dictionary join
+    known = f"SELECT word FROM ({O.word_counts(d, 'SELECT text FROM documents', 'ascii')}) _k WHERE n >= 3 UNION SELECT w FROM (SELECT 'final' AS w UNION ALL SELECT 'office' UNION ALL SELECT 'flow' UNION ALL SELECT 'waffle') _l"
+    fixed = "replace(replace(replace(replace(replace(w, 'W', 'fi'), 'V', 'ff'), 'X', 'fl'), 'Y', 'ffi'), 'Z', 'ffl')"
+    words = d.rows(f"SELECT doc_id, s || ' Wnal oYce Xow WWF waVle' AS s FROM ({sentences(d)}) _s", d.all("s", "[A-Za-z]+"), "pos", "w")
+    return f"SELECT t.w, k.word AS fixed, count(*) AS n FROM (SELECT w, lower({fixed}) AS f FROM ({words}) _w WHERE {d.like('w', '[VWXYZ]')} AND w <> upper(w)) t JOIN ({known}) k ON t.f = k.word GROUP BY t.w, k.word"
+
+
+def _heights(d):
+    return f"SELECT doc_id, line_no, line, CAST(800 - sum(CASE WHEN length(line) % 7 = 0 THEN 24 ELSE 12 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS y FROM ({damaged_lines(d)}) _l"
+
+
+def _vertical(d):  # W5: a gap beyond 1.4 leads opens a paragraph; the lead is the upper median of the gaps below 60
+    gaps = f"SELECT *, lag(y) OVER (PARTITION BY doc_id ORDER BY line_no) - y AS gap FROM ({_heights(d)}) _h"
+    whole = "div" if d.name == "spark" else "//"
+    lead = f"SELECT doc_id, max(CASE WHEN i = n {whole} 2 + 1 THEN gap END) AS lead FROM (SELECT doc_id, gap, row_number() OVER (PARTITION BY doc_id ORDER BY gap) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM ({gaps}) _g WHERE gap > 0 AND gap < 60) _i GROUP BY doc_id"
+    return f"SELECT doc_id, grp, {d.gather('trim(line)', 'line_no', ' ')} AS text FROM (SELECT g.*, sum(CASE WHEN g.gap * 10 > 14 * coalesce(m.lead, 16) THEN 1 ELSE 0 END) OVER (PARTITION BY g.doc_id ORDER BY g.line_no ROWS UNBOUNDED PRECEDING) AS grp FROM ({gaps}) g LEFT JOIN ({lead}) m ON g.doc_id = m.doc_id) _p WHERE trim(line) <> '' GROUP BY doc_id, grp"
+
+
+def _levels(d):  # W25, O5: heading levels by the rank of the sizes present
+    return f"SELECT doc_id, line_no, substr('######', 1, CAST(least(rank + 1, 6) AS INT)) || ' ' || trim(line) AS heading FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY length(line) % 9 DESC) AS rank FROM ({damaged_lines(d)}) _l WHERE {P.layout_heading(d, 'line')}) _m"
+
+
+def _across_pages(d):  # W2: a page that ends within a sentence takes the next page's text
+    flag = f"CASE WHEN before IS NULL OR {d.like('rtrim(before)', '[.!?”»)' + chr(92) + 'x27' + chr(34) + ']$')} THEN 1 ELSE 0 END"
+    return f"""SELECT doc_id, grp, min(page_no) AS first_page, {d.gather('trim(page)', 'page_no', ' ')} AS text FROM (SELECT *, sum({flag}) OVER (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING) AS grp FROM (
+      SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page_no) AS before FROM ({O.pages(d, feeds(d))}) _p) _q) _r GROUP BY doc_id, grp"""
+
+
+def _spine(d):  # J1, J2: reading order with files and titles
+    manifest = "SELECT 'user' AS id, 'a.html' AS href UNION ALL SELECT 'assistant', 'b.html'"
+    return f"SELECT s.conv_id, s.turn AS pos, m.href, t.title FROM conversations s JOIN ({manifest}) m ON s.role = m.id LEFT JOIN (SELECT 'a.html' AS href, 'Question' AS title) t ON m.href = t.href"
+
+
+def _sections_of_spine(d):  # W29: a titled unit opens a section, later ones join it
+    units = "SELECT conv_id, turn AS pos, role || turn AS href, CASE WHEN turn % 3 = 1 THEN 'Section ' || turn END AS title FROM conversations"
+    return f"SELECT conv_id, sec, max(title) AS title, {d.gather('href', 'pos', ',')} AS files FROM (SELECT *, count(title) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec FROM ({units}) _u) _v WHERE sec > 0 GROUP BY conv_id, sec"
+
+
+def _local_notes(d):  # J5: anchors that point to ids of their own page
+    refs = d.rows("SELECT page_id, html || '<a href=\"#fn1\">1</a><a href=\"#top\">x</a><p id=\"fn1\">note</p>' AS html FROM pages", d.all("html", r'href="#([A-Za-z0-9_-]+)"', 1), "pos", "target")
+    return f"SELECT DISTINCT r.page_id, r.target FROM ({refs}) r WHERE {d.like('r.target', '^(fn|note|nota|n)[0-9]+$')} AND contains(r.html, 'id=\"' || r.target || '\"')"
+
+
+def _pool_join(d):  # J6: notes of a section's group
+    return f"SELECT p.doc_id, p.grp, p.n, p.body FROM ({O.note_pool(d, damaged_lines(d))}) p JOIN (SELECT 1 AS grp, 1 AS n UNION ALL SELECT 2, 1) s ON p.grp = s.grp AND p.n = s.n"
+
+
+def _same_paragraphs(d):  # J9: paragraphs that a translation left as they were
+    changed = f"SELECT doc_id, {R.fixes(d, 'text', (('the', 'de'),))} AS text FROM ({dirty(d)}) _x"
+    return f"SELECT a.doc_id, a.para_no FROM ({_paras(d)}) a LEFT SEMI JOIN ({O.paragraphs(d, O.lines(d, changed))}) b ON a.doc_id = b.doc_id AND a.text = b.text WHERE length(a.text) > 40 AND NOT {d.like('a.text', '^#')}".replace("LEFT SEMI JOIN", "LEFT SEMI JOIN" if d.name == "spark" else "SEMI JOIN")
+
+
+def _variants(d):  # J11: of a term's variants the first that any page has
+    terms = "SELECT 'x' AS term, 1 AS rank, 'zzzz' AS v UNION ALL SELECT 'x', 2, 'the' UNION ALL SELECT 'x', 3, 'of' UNION ALL SELECT 'y', 1, 'der' UNION ALL SELECT 'y', 2, 'und'"
+    hits = f"SELECT t.term, t.rank, t.v, p.doc_id, p.page_no FROM ({O.pages(d, feeds(d))}) p JOIN ({terms}) t ON contains(lower(p.page), ' ' || t.v || ' ')"
+    return f"SELECT doc_id, term, v, count(*) AS pages FROM (SELECT *, min(rank) OVER (PARTITION BY doc_id, term) AS first FROM ({hits}) _h) _i WHERE rank = first GROUP BY doc_id, term, v"
+
+
+def _without_titles(d):  # J16: headings whose folded text is a section's title go
+    titles = "SELECT 'titleone' AS f UNION ALL SELECT 'dos'"
+    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    return f"SELECT l.doc_id, l.line_no, l.line FROM (SELECT *, CASE WHEN {d.like('line', '^#')} THEN {R.folded(d, 'line')} ELSE '' END AS f FROM ({damaged_lines(d)}) _l) l {anti} ({titles}) t ON l.f = t.f"
+
+
+def _top(d):  # O1: the eight best passages
+    return f"SELECT * FROM ({BUILDERS['q2_bm25'](d)}) _q ORDER BY score, doc_id, passage_no LIMIT 8"
+
+
+def _first_hits(d):  # O2: at most five hits a document
+    return f"SELECT doc_id, line_no FROM (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM ({damaged_lines(d)}) _l WHERE contains(line, 'e')) _m WHERE i <= 5"
+
+
+def _number_order(d):  # O4: numbers as strings, by length, then value
+    return f"SELECT doc_id, m, row_number() OVER (PARTITION BY doc_id ORDER BY length(m), m) AS i FROM (SELECT DISTINCT doc_id, m FROM ({d.rows(dirty(d), d.all('text', '[0-9]+'), 'pos', 'm')}) _n) _o"
+
+
+def _neighbours(d):  # O6: the lines before and after that aren't blank
+    w = "(PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN "
+    solid = "CASE WHEN trim(line) <> '' THEN line END"
+    return f"SELECT doc_id, line_no, {d.last(solid)} OVER {w}UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, {d.first(solid)} OVER {w}1 FOLLOWING AND UNBOUNDED FOLLOWING) AS behind FROM ({damaged_lines(d)}) _l"
+
+
+def _seen(d):  # O7: headings seen within the last sixty lines
+    return f"SELECT doc_id, line_no, line, line_no - lag(line_no) OVER (PARTITION BY doc_id, line ORDER BY line_no) <= 60 AS again FROM ({O.lines(d, f'SELECT doc_id, text || text AS text FROM ({dirty(d)}) _t')}) _l WHERE {d.like('line', '^#')}"
+
+
+def _first_success(d):  # E5: of a key's rows the first that succeeded
+    return "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events WHERE value > 50) _e WHERE i = 1"
+
+
+def _kinds(d):  # G6
+    return f"SELECT kind, count(*) AS n FROM ({O.artifacts(d, _paras(d))}) _a GROUP BY kind"
+
+
+def _changes(d):  # G17: what a rewrite changed, and how often
+    old, new = d.rows(sentences(d), d.split("s", " "), "pos", "w"), R.fixes(d, "w", (("an", "AN"), ("er$", "ER")))
+    return f"SELECT w, fixed, count(*) AS n FROM (SELECT w, {new} AS fixed FROM ({old}) _w) _x WHERE w <> fixed GROUP BY w, fixed"
+
+
+def _line_diff(d):  # L5: lines that only one side has
+    new = f"SELECT doc_id, {R.collapse_spaces(d, 'line')} AS line FROM ({damaged_lines(d)}) _l"
+    old = f"SELECT doc_id, line FROM ({damaged_lines(d)}) _l"
+    return f"SELECT doc_id, '-' AS side, line FROM ({old} EXCEPT ALL {new}) _a UNION ALL SELECT doc_id, '+', line FROM ({new} EXCEPT ALL {old}) _b"
+
+
+def _pool_file(d):  # P24: the unit that looks most like a pool of notes, the first among equals
+    score = f"2 * {d.n('html', '<p')} + {d.n('html', '<a ')}"
+    return f"SELECT page_id % 10 AS book, {d.pick('page_id', d.struct('score', '-page_id'))} AS pool, max(score) AS score FROM (SELECT page_id, {score} AS score FROM pages) _s GROUP BY page_id % 10"
+
+
+BUILDERS |= {
+    "r3_ligature_map": _ligature_map, "w5_vertical_gaps": _vertical, "w25_heading_levels": _levels, "w2_across_pages": _across_pages, "j1_spine": _spine, "w29_spine_sections": _sections_of_spine, "j5_local_notes": _local_notes, "j6_pool_notes": _pool_join,
+    "j9_left_as_they_were": _same_paragraphs, "j11_variants": _variants, "j16_without_titles": _without_titles, "o1_top_passages": _top, "o2_first_hits": _first_hits, "o4_number_order": _number_order, "o6_neighbours": _neighbours, "o7_seen_lately": _seen,
+    "e1_array_difference": lambda d: f"SELECT doc_id, {d.join(d.sort(d.uniq(d.keep(d.all('text', '[0-9]+'), 'w', 'NOT ' + d.has(d.array(chr(39) + '1' + chr(39), chr(39) + '12' + chr(39)), 'w')))), ',')} AS rest FROM ({dirty(d)}) _d",
+    "e3_dictionary": lambda d: f"SELECT word FROM ({O.word_counts(d, 'SELECT text FROM documents', 'latin')}) _w WHERE n >= 5 UNION SELECT lower(source) FROM documents",
+    "e5_first_success": _first_success, "e6_distinct_in_order": lambda d: f"SELECT doc_id, {d.join(d.uniq(d.all('text', '[A-Z]{2,}')), ' ')} AS s FROM ({dirty(d)}) _d",
+    "g6_kinds": _kinds, "g17_changes": _changes, "l5_line_diff": _line_diff, "p24_note_pools": _pool_file, "r19_stray_preface": lambda d: O.leading_run(d, _paras(d), d.like("lower(trim(text))", "^(prefacio|introducci[oó]n|pr[oó]logo)$")),
+    "r44_file_titles": lambda d: f"SELECT doc_id, {R.slug(d, R.first_title(d, 'text'), lower=True)} AS name FROM ({dirty(d)}) _d",
+    "k2_report": lambda d: f"SELECT doc_id, count(*) AS changed FROM ({_line_diff(d)}) _c WHERE side = '-' GROUP BY doc_id",
+}
+
+
 def run_sql(spark: SparkSession, sf_dir: str, builder: Callable[..., str]) -> DataFrame:
     """The query over the tables of a folder. Views are bound when the query is analysed, that is at once."""
     text = builder(SPARK)
