@@ -448,6 +448,8 @@ FOLDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w17_rebuilt_notes": _folded(folds.rebuild_notes),
     "r25_glued_marks": _folded(lambda t: folds.glued_marks(t, {1, 2, 3, 4, 11})),
     "r26_split_marks": _folded(lambda t: folds.split_marks(t, set(range(10, 60)))),
+    "r8_romans": _folded(folds.fix_romans, lambda d: sentences(d).replace(" AS s FROM", " AS text FROM")),
+    "q3_snippets": _folded(lambda t: folds.snippet(t, {"the", "ersh", "der"})),
     "r31_strip_command": _folded(lambda t: folds.strip_command(t, "chapter")),
     "h2_html_blocks": _html_blocks,
     "l1_gaps": _gaps,
