@@ -15,30 +15,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import forest, language, mixing, pieces, secrets
 from quillspark.llm.shared import shared_folder, table
+from quillspark.ship import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents most of whose words belong to none of the labelled languages, or that have none."""
+    ship(spark)
     return language.kept(docs, language.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the least doc_id, of each group of near copies."""
+    ship(spark)
     return forest.kept(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets found in texts by [SECRET]; keeps every document."""
+    ship(spark)
     return secrets.redacted(docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents by probabilities raked to source, language and topic targets."""
+    ship(spark)
     return mixing.kept(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the checks of each document."""
+    ship(spark)
     return pieces.encode(docs)
 
 
