@@ -17,6 +17,7 @@ nulls in doc_id stay.
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import itertools
 import re
@@ -39,7 +40,7 @@ SCHEMA = "doc_id long, ids array<int>, n_tokens long, matches boolean, round_tri
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -191,15 +192,25 @@ class Codec:
         words = list(words)
         cut = len(self.prefix)
         theirs = self.library.encode([x[cut:].replace(MARK, " ") for x in words], num_threads=1)
-        self.wrong.update(x for x, y in zip(words, theirs) if self.memo[x] != tuple(y) and x.strip(MARK))
-        for x in words:
-            if not x.strip(MARK):  # marks alone end a text; a full stop before them keeps the library's own prefix apart
-                stop = self.library.encode(".")
-                if self.library.encode("." + " " * len(x)) != stop + list(self.memo[x]):
+        theirs, ours = [*map(tuple, theirs)], [*map(self.memo.__getitem__, words)]
+        if ours != theirs:
+            for x, y, z in zip(words, ours, theirs):
+                if y != z and not x.strip(MARK):  # marks alone end a text; a full stop before them keeps the library's own prefix apart
+                    z = tuple(self.library.encode("." + " " * len(x))[len(self.library.encode(".")) :])
+                if y != z:
                     self.wrong.add(x)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the library agrees."""
+        was = gc.isenabled()
+        gc.disable()  # it would walk the memo again and again; nothing here makes cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         marked = [self.prefix + x.replace(" ", MARK) if x else "" for x in texts]
         if not self.apart:
             ids = [list(self.by_heap(x)) for x in marked]
