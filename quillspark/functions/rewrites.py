@@ -39,12 +39,12 @@ def docling(d, x):  # R6
 
 
 def ordinals(d, x):  # R7: the suffix follows from the number, so 31 enumerated steps
-    junk = r"(?:th|st|nd|rd|l\s*h|,\s*h|[\x27’]\s*h|h|v|\}\s*,|t\s*[\x27’]?\s*I|,\s*t)"
+    junk = r"(?:nd|rd|st|th|l\s*h|[,\x27’]\s*h|,\s*t|t\s*[\x27’]?\s*I|\}\s*,|v|h)"
     x = chain(d, x, (r"(^|[^\p{L}\p{N}_])ll(\s*[\x27’,]?\s*[h}])", r"\g11\2".replace(r"\g11", r"\1#11#")), (r"(^|[^\p{L}\p{N}_])I\s*1\s*[\x27’]", r"\1#1st#"))
     x = f"replace(replace({x}, '#11#', '11'), '#1st#', '1st')"
-    x = d.rep(x, r"(^|[^\p{L}\p{N}_])([0-9]{1,2})\s*[\x27’,]?\s*" + junk + r"([\s.,;:)\]]|$)", r"\1<ord \2>\3")
+    x = d.rep(x, r"(^|[^\p{L}\p{N}_])([0-9]{1,2})\s*[\x27’,]?\s*" + junk + r"([\])\s:;,.]|$)", r"\1<ord \2>\3")
     for n in range(1, 32):
-        end = "th" if 10 <= n <= 20 else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
+        end = "th" if 10 <= n <= 20 or n % 10 not in (1, 2, 3) else ("st", "nd", "rd")[n % 10 - 1]
         x = f"replace(replace({x}, '<ord {n}>', '{n}{end}'), '<ord {n:02d}>', '{n}{end}')"
     return d.rep(x, r"<ord ([0-9]+)>", r"\1 th")
 
@@ -135,7 +135,7 @@ def reference_text(d, x):  # R35
 
 
 def index_key(d, x):  # R36
-    return d.rep(d.fold(x), r"^(?:al|ad|ar|as|at|az)-", "")
+    return d.rep(d.fold(x), "^a[dlrstz]-", "")
 
 
 def first_title(d, x, stem="'untitled'"):  # R38
@@ -158,7 +158,7 @@ def resolve_href(d, x, base):  # R40: no fragment, joined, dot segments folded
 
 
 def tokens(d, x, kind="word"):  # R41
-    pattern = {"word": r"[\p{L}\p{N}]+", "latin": r"[A-Za-zÀ-ÿ]{2,}", "ascii": "[A-Za-z]+", "apostrophe": r"[A-Za-z][A-Za-z\x27’]*"}[kind]
+    pattern = {"word": r"[\p{L}\p{N}]+", "latin": "[À-ÿA-Za-z]{2,}", "ascii": "[A-Za-z]+", "apostrophe": r"[A-Za-z][A-Za-z\x27’]*"}[kind]
     return d.all(x if kind == "apostrophe" else f"lower({x})", pattern)
 
 
@@ -190,8 +190,8 @@ def star_sections(d, x):  # M4
 
 
 def centre_images(d, x):  # M6
-    return d.rep(x, r"(\\includegraphics(?:\[[^\]]*\])?\{[^}]*\})", r"\begin{center}\1\end{center}")
+    return d.rep(x, r"(\\includegraphics(?:\[[^]]*[]])?[{][^}]*[}])", r"\begin{center}\1\end{center}")
 
 
 def star_first_chapter(d, x):  # M3: one level of nested braces
-    return d.rep(x, r"(?s)\A(.*?)\\chapter\{((?:[^{}]|\{[^{}]*\})*)\}", r"\1\chapter*{\2}\addcontentsline{toc}{chapter}{\2}")
+    return d.rep(x, r"(?s)\A(.*?)\\chapter[{]((?:[{][^{}]*[}]|[^{}])*)[}]", r"\1\chapter*{\2}\addcontentsline{toc}{chapter}{\2}")

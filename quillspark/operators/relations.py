@@ -190,8 +190,8 @@ def artifacts(d, blocks):  # P18, G6: kinds of each block
     body = f"NOT {d.like(s, r'^([#|*]|> |\[\^|- )')}"
     kinds = {
         "garbage": P.garbage_block(d, "text"), "dash": d.like(s, "^- [a-z]"), "pagenum": d.like(s, r"^(1?[0-9]{1,2}) [a-z]"),
-        "bracket": f"({d.like(s, r'(^|\s)[\]\[)(]\s*$')} AND NOT {d.like(s, '^[#|]')})",
-        "stray": d.like(s, r"[.?!”\"\x27]\s+[\]\[)(]?\s?[A-Z][a-z]?$"),
+        "bracket": f"({d.like(s, r'(?:^|\s)[()\[\]]\s*$')} AND NOT {d.like(s, '^[#|]')})",
+        "stray": d.like(s, r"[!?.”\"\x27]\s+[()\[\]]?\s?[A-Z](?:[a-z])?$"),
         "glued": d.like(s, r"[.\x27’—\]] \p{Ll}[\p{L}-]*: \p{L}"),
         "split": f"({body} AND NOT {d.like(s, r'[.?!:;\"”)\]]$')} AND {d.like('following', '^' + chr(92) + 'p{Ll}')})",
     }
@@ -215,8 +215,8 @@ def citations(d, lines_):  # P29
 
 
 def note_balance(d, docs):  # G8, J8
-    refs = f"SELECT DISTINCT doc_id, m FROM ({d.rows(docs, d.all('text', r'\[\^([^\]]+)\](?:[^:]|$)', 1), 'pos', 'm')}) _r"
-    defs = f"SELECT DISTINCT doc_id, m FROM ({d.rows(docs, d.all('text', r'(?m)^\[\^([^\]]+)\]:', 1), 'pos', 'm')}) _d"
+    refs = f"SELECT DISTINCT doc_id, m FROM ({d.rows(docs, d.all('text', r'\[[\^]([^]]+)[]](?:[^:]|$)', 1), 'pos', 'm')}) _r"
+    defs = f"SELECT DISTINCT doc_id, m FROM ({d.rows(docs, d.all('text', r'(?m)^\[[\^]([^]]+)[]]:', 1), 'pos', 'm')}) _d"
     return f"""SELECT doc_id, count(r) AS n_refs, count(f) AS n_defs, count(CASE WHEN f IS NULL THEN 1 END) AS no_def, count(CASE WHEN r IS NULL THEN 1 END) AS no_ref FROM (
       SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.m AS r, b.m AS f FROM ({refs}) a FULL JOIN ({defs}) b ON a.doc_id = b.doc_id AND a.m = b.m) _x GROUP BY doc_id"""
 

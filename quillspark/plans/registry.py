@@ -20,7 +20,7 @@ TABLES = ("documents", "pages", "conversations", "benchmark", "labels", "events"
 
 DAMAGE = [
     "\n\n12\n• 47 •\nxiv\nIV\nRUNNING HEAD OF A BOOK\nThe Running Head\n88 | A Title\nCHAPTER IV\nINTRODUCTION\nTHE WAY OF GOLD:\n# Title one\n## Part `one`\nProse of the first part is here[^1] and goes on-\nward to the next line[^2].\n\n- such a manner the effects\n\n|♄☿| a | Venus |\n[^1]: first note\n[^3]: third note\nSee @smith2001 and mail me@example.org or [-@jones:99].\n```\n@code in a fence\n```\n12 go on with it\n\n  \nthe  the text has  two spaces ,and more..\n``x`` http://a.b/c",
-    "\n\n3\nJUDIO DE GALILEA\n\tA paragraph with a note[1] by the way\n     and more of it\n4\nLA VIA DEL ORO\n\tAnother one[1].\nNotas\n[1]\nNote of one. <<\n[2]\nNote of two.\n[1]\nNote of the next. <<\n\n## Dos\n010 OQ Fo vio Oar Iu wioOQ wo OQ go 0 QQ FY vio r\nxcvbnm qwrtp l0ve m1x h3re ~~~ ###\n1. first definition\n2. second\n1. again first\n7\n\nthe lone number's text\nT E X T S P A C E D O U T\n00:01:02.500 --> 00:01:04.000\nhello and <c>welcome</c>\nhello and <c>welcome</c>\n<00:00:01.000>welcome to &amp; fro",
+    "\n\n3\nJUDIO DE GALILEA\n\tA paragraph with a note[1] by the way\n     and more of it\n4\nLA VIA DEL ORO\n\tAnother one[1].\nNotas\n[1]\nNote of one. <<\n[2]\nNote of two.\n[1]\nNote of the next. <<\n\n## Dos\n07 QX Ra zu Oel Ib wuuQX ru QX zo 7 XX FZ zu k\nxcvbnm qwrtp l0ve m1x h3re ~~~ ###\n1. first definition\n2. second\n1. again first\n7\n\nthe lone number's text\nT E X T S P A C E D O U T\n00:01:02.500 --> 00:01:04.000\nhello and <c>welcome</c>\nhello and <c>welcome</c>\n<00:00:01.000>welcome to &amp; fro",
     "\n\n# Front `x`\nTITLE DEBRIS\nT he chapter begins with a split capital\n## Title two[^4]\n\nof prose after it.\n\nNOTES\n1. A note that runs\nover two lines\n2. Another note\n\n45 A page note that\ncontinues here\n46 Second page note\n\n(  )empty and word( ] \nHe went. A\nended. head: entry\n\n\n\nand lower case goes on\n— - \n....,,,;;\n_img_2644.gif",
 ]
 SENTENCES = [
@@ -28,7 +28,7 @@ SENTENCES = [
     " In Volume IT T will publish ; where T reads differently ; ( l believe it",
     " nota[3] aqui, ano[2024], link[1](url), def[1]: x",
     " cafe´ ni€os a¨b `e ¸c naı´ve ­soft­ hyphen ofﬁce ﬂow ( x ) , y",
-    " Q&A 100% #1_test $x a\\b {x}~y^z \\ldots{} and \\alpha{} \\S{}",
+    " R&B 50% #2_try $y a\\b {a}~b^c \\ldots{} and \\alpha{} \\S{}",
     " Title   with    wide  spaces\t and end  ",
 ]
 

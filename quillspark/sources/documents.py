@@ -59,7 +59,7 @@ def normalize_plan(plan: DataFrame, base: int = 1, width: int = 2) -> DataFrame:
     )
 
 
-# --- EPUB ----------------------------------------------------------------------------------------------------
+# == EPUB ==
 
 
 def _local(tag: str) -> str:
@@ -90,7 +90,7 @@ def epub_units(content: bytes) -> list[tuple[int, str, str, str]]:
         for x in items.values():
             where = _inside(base, x.get("href", ""))
             if "nav" in (x.get("properties") or "").split() and where in names:
-                for m in re.finditer(r'(?s)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>', book.read(where).decode("utf-8", "replace")):
+                for m in re.finditer(r"(?s)<a\b[^>]*?href=[\"']([^\"']+)[\"'].*?>(.*?)</a>", book.read(where).decode("utf-8", "replace")):
                     _name(titles, _inside(posixpath.dirname(where), m[1]), re.sub(r"<[^>]+>|\s+", " ", m[2]))
             elif x.get("media-type") == "application/x-dtbncx+xml" and where in names:
                 for point in ElementTree.fromstring(book.read(where)).iter():
@@ -133,7 +133,7 @@ def epub_markdown(sections: DataFrame) -> DataFrame:
     return text_map(keyed, html_markdown, key="key", text="html").select("key.*", F.col("html").alias("md"))
 
 
-# --- RTF, captions, bibliographies, glossaries -------------------------------------------------------------------
+# == RTF, captions, bibliographies, glossaries ==
 
 _RTF = re.compile(r"\\u(-?\d+) ?\??|\\'([0-9a-fA-F]{2})|\\([a-z]+)(-?\d+)? ?|\\([^a-z])|([{}])|[\r\n]+", re.I)
 _RTF_SKIP = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "object", "listtable", "generator"}
@@ -185,7 +185,7 @@ def cues(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def bibliography_keys(text: Column, kind: str = "bibtex") -> Column:
     """Keys of BibTeX entries, or the ids of CSL-JSON."""
     if kind == "bibtex":
-        return F.regexp_extract_all(text, F.lit(r"(?m)^\s*@(?!comment|string|preamble)\w+\s*\{\s*([^,\s]+)\s*,"), F.lit(1))
+        return F.regexp_extract_all(text, F.lit(r"(?m)^\s*@(?!comment|string|preamble)[a-zA-Z]+\s*[{]\s*([^\s,]+)\s*,"), F.lit(1))
     return F.filter(F.transform(F.from_json(text, "array<struct<id string>>"), lambda x: x.id), lambda x: x.isNotNull())
 
 
@@ -215,7 +215,7 @@ def pick_track(tracks: DataFrame, wanted: str | None = None) -> DataFrame:
 
 def expand_inputs(files: DataFrame, rounds: int = 3) -> DataFrame:
     """path, text of LaTeX files with \\input{...} replaced by the file's text, `rounds` deep; missing: names that no file has."""
-    seek = r"\\input\{([^}]+)\}"
+    seek = r"\\input[{]([^}]+)[}]"
     name = F.regexp_replace("path", r"\.tex$", "")
     store = files.select(name.alias("name"), F.col("text").alias("body"))
     now = files.select("path", "text", F.array().cast("array<string>").alias("missing"))

@@ -19,7 +19,7 @@ def combined(sections: DataFrame, key: str = "path", rule: str = "\n\n---\n\n")
 
 def images(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, name, data) of the base64 images in Markdown, numbered within the document, and the documents with links instead."""
-    pattern = r"!\[[^\]]*\]\(data:image/([a-z]+);base64,([A-Za-z0-9+/=\s]+)\)"
+    pattern = r"!\[[^]]*[]][(]data:image/([a-z]+);base64,([A-Za-z0-9+/=\s]+)[)]"
     found = docs.select("doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("code"))).alias("pos", "x"))
     name = F.format_string("imagen-%02d.%s", F.col("pos") + 1, F.regexp_replace(F.col("x.kind"), "^jpeg$", "jpg"))
     table = found.select("doc_id", (F.col("pos") + 1).alias("n"), name.alias("name"), F.unbase64(F.regexp_replace("x.code", r"\s", "")).alias("data"))

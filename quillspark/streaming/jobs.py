@@ -34,6 +34,7 @@ def resume_points(stream: DataFrame) -> DataFrame:
 
 
 def new_words(said: list[str], cue: list[str]) -> list[str]:
+    # for plain lists, so that it can be tried without Spark
     """The words of a cue behind its longest beginning that what was said ends with."""
     for k in range(min(len(said), len(cue)), 0, -1):
         if said[len(said) - k :] == cue[:k]:

@@ -32,7 +32,7 @@ def test_epub(spark, tmp_path):
 
 def test_plan(spark, tmp_path):
     p = tmp_path / "plan.json"
-    p.write_text('{"source": "x.pdf", "sections": [{"title": "T", "pages": [11, 20]}, {"title": "Bhāva", "start": 4}, {"slug": "01_Own", "title": "P", "pages": [9, null]}]}')
+    p.write_text('{"sections": [{"pages": [11, 20], "title": "T"}, {"title": "Bhāva", "start": 4}, {"slug": "01_Own", "title": "P", "pages": [9, null]}], "source": "x.pdf"}')
     got = D.read_plan(spark, str(p)).orderBy("sec_no").collect()
     assert [(r.slug, r.first_page, r.last_page) for r in got] == [("01_T", 11, 20), ("02_Bhāva", 4, None), ("01_Own", 9, None)]
 
