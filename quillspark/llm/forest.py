@@ -176,16 +176,20 @@ def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 20, depth: int
     return parts_.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), "group_size")
 
 
-def kept(docs: DataFrame, **how) -> DataFrame:
+def kept(docs: DataFrame, most: int = 1_000_000, **how) -> DataFrame:
     """The documents without near copies and the first of each group, with all their columns.
 
-    Of several rows with the kept doc_id and the same text, one stays.
+    Of several rows with the kept doc_id and the same text, one stays. The ids to drop are counted: up to
+    `most` they are broadcast, so that texts stay where they are; beyond that both sides are shuffled by doc_id.
     """
-    drop = groups(docs, **how).filter("doc_id <> group_id").select("doc_id")
-    rest = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = checkpoint(groups(docs, **how).filter("doc_id <> group_id").select("doc_id"))
+    rest = docs.join(F.broadcast(drop) if drop.count() <= most else drop, "doc_id", "left_anti").select(*docs.columns)
     flag = fresh(docs, "_again")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(flag)).filter(F.col(flag) > 1)
-    marked = rest.join(again, "doc_id", "left")
+    again = checkpoint(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(flag)).filter(F.col(flag) > 1))
+    repeated = again.count()
+    if not repeated:
+        return rest
+    marked = rest.join(F.broadcast(again) if repeated <= most else again, "doc_id", "left")
     once = marked.filter(F.col(flag).isNull()).select(*docs.columns)
     twice = marked.filter(F.col(flag).isNotNull()).select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(twice)
