@@ -34,13 +34,14 @@ from quillspark.llm.shared import flat, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WIDE = 48
+_SPREAD = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, matches boolean, round_trip boolean"
 
 
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -68,6 +69,9 @@ class Codec:
         for c, k in names.items():
             if len(c) == 1:
                 self.char[ord(c)] = k
+        for c, k in self.bytes.items():
+            if c < 128 and self.char[c] < 0:  # its byte is all that such a character can be, and no pair holds it
+                self.char[c] = k
         pairs = {}
         for x, (k, score) in words.items():
             for cut in range(1, len(x)):
@@ -75,18 +79,29 @@ class Codec:
                 if a is not None and b is not None:
                     pairs[a * self.span + b] = (k, score)
         self.pairs = pairs
-        keys = sorted(pairs)
-        self.keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
-        self.to = np.array([*(pairs[x][0] for x in keys), -1], np.int32)
-        self.score = np.array([*(pairs[x][1] for x in keys), -np.inf], np.float32)
+        # the rank of a pair's score, 0 for no pair, stands for the piece too, unless pieces share a score
+        scores = sorted({score for _, score in pairs.values()})
+        rank = {x: k + 1 for k, x in enumerate(scores)}
+        self.piece = np.full(len(scores) + 1, -1, np.int32)
+        self.shared = np.zeros(len(scores) + 1, bool)
+        for k, score in pairs.values():
+            r = rank[score]
+            self.shared[r] |= self.piece[r] not in (-1, k)
+            self.piece[r] = k
+        self._table(pairs, rank)
         self.surface = [b""] * self.size
         for x, (k, _) in words.items():
             self.surface[k] = x.replace(MARK, " ").encode()
         for value, k in self.bytes.items():
             self.surface[k] = bytes([value])
         self.surface[self.unknown] = kinds.unk_surface.encode()
+        lengths = np.array([len(x) for x in self.surface], np.int64)
+        self.flat, self.length = np.frombuffer(b"".join(self.surface), np.uint8), lengths
+        self.begin = np.cumsum(lengths) - lengths
         self.most = memo
-        self.memo: dict[str, tuple[int, ...]] = {}
+        # ids of words as the bytes of 32-bit numbers, which take little room and are joined at once
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what the memo held before it was full; words still in use come back from there
         self.wrong: set[str] = set()  # words on which the library differs
 
     def _final(self, symbols: list[int], chars: str) -> tuple[int, ...]:
@@ -130,60 +145,84 @@ class Codec:
             offer(a)
         return self._final([s for s in sym if s != -2], text)
 
-    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _table(self, pairs: dict[int, tuple[int, float]], rank: dict[float, int]) -> None:
+        """A hash table of pairs with open addresses, in numpy."""
+        self.shift = np.uint64(64 - max(8, (8 * len(pairs)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.slots, self.ranks = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int32)
+        for key, (_, score) in pairs.items():
+            at = (key * _SPREAD & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+            while self.slots[at] != -1:
+                at += 1
+            self.slots[at], self.ranks[at] = key, rank[score]
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols."""
         key = a.astype(np.int64) * self.span + b
-        key[(a < 0) | (b < 0)] = -1
-        at = np.searchsorted(self.keys, key)
-        at = np.where(self.keys[at] == key, at, len(self.keys) - 1)
-        return self.to[at], self.score[at]
+        key[(a < 0) | (b < 0)] = -2
+        at = ((key.view(np.uint64) * np.uint64(_SPREAD)) >> self.shift).astype(np.int64)
+        found = self.slots[at]
+        out = np.where(found == key, self.ranks[at], 0)
+        rest = np.flatnonzero((found != key) & (found != -1) & (key != -2))
+        while len(rest):
+            at[rest] += 1
+            found = self.slots[at[rest]]
+            hit = found == key[rest]
+            out[rest[hit]] = self.ranks[at[rest[hit]]]
+            rest = rest[~hit & (found != -1)]
+        return out
 
-    def side_by_side(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The agendas of many words of one length class, a step of each at once."""
+    def side_by_side(self, words: list[str]) -> list[bytes]:
+        """The agendas of many words of one length class, a step of each at once; a word in which pieces of equal score meet goes to the heap."""
         lengths = np.array([len(x) for x in words])
         n, most = len(words), int(lengths.max())
         sym = np.full((n, most + 1), -1, np.int32)
-        flat_ = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         within = np.arange(most + 1) < lengths[:, None]
-        sym[within] = flat_
-        to, score = self._look(sym[:, :-1], sym[:, 1:])
-        size = lengths.copy()
-        live = np.arange(n)
+        sym[within] = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        rank = self._look(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, most)
+        size, live = lengths.copy(), np.arange(n)
         done: list = [None] * n
-        place = np.arange(most + 1)
+        place = np.arange(most)
         while True:
-            top = score.argmax(axis=1)
+            top = rank.argmax(axis=1)
             row = np.arange(len(live))
-            go = score[row, top] > -np.inf
+            best = rank[row, top]
+            clash = self.shared[best]
+            go = (best > 0) & ~clash
             if not go.all():
                 over = np.flatnonzero(~go)
                 rows = sym[over]
-                odd = ((rows < 0) & (place < size[over][:, None])).any(axis=1) | (rows >= self.size).any(axis=1)
-                for k, x, m, strange in zip(live[over].tolist(), rows.tolist(), size[over].tolist(), odd.tolist()):
-                    done[k] = self._final(x[:m], words[k]) if strange else tuple(x[:m])
-                live, sym, to, score, size, top = live[go], sym[go], to[go], score[go], size[go], top[go]
+                odd = ((rows < 0) & (np.arange(most + 1) < size[over][:, None])).any(axis=1) | (rows >= self.size).any(axis=1)
+                data, wide = rows.tobytes(), 4 * (most + 1)
+                for i, (k, m) in enumerate(zip(live[over].tolist(), size[over].tolist())):
+                    done[k] = data[i * wide : i * wide + 4 * m]
+                for i in np.flatnonzero(odd | clash[over]):
+                    k = live[over[i]]
+                    done[k] = _packed(self.by_heap(words[k]) if clash[over[i]] else self._final(rows[i, : size[over[i]]].tolist(), words[k]))
+                live, sym, rank, size, top, best = live[go], sym[go], rank[go], size[go], top[go], best[go]
                 row = row[: len(live)]
             if not len(live):
                 return done
-            sym[row, top] = to[row, top]
+            sym[row, top] = self.piece[best]
             # close the gap: from the merged place on, everything moves one to the left
-            moved = place[:-1] > top[:, None]
+            moved = place > top[:, None]
             np.copyto(sym[:, :-1], sym[:, 1:].copy(), where=moved)
             sym[:, -1] = -1
-            np.copyto(to[:, :-1], to[:, 1:].copy(), where=moved[:, :-1])
-            np.copyto(score[:, :-1], score[:, 1:].copy(), where=moved[:, :-1])
-            score[:, -1] = -np.inf
+            np.copyto(rank[:, :-1], rank[:, 1:].copy(), where=moved[:, :-1])
+            rank[:, -1] = 0
             size -= 1
-            for at in (top - 1, top):
-                ok = at >= 0
-                r, c = row[ok], at[ok]
-                to[r, c], score[r, c] = self._look(sym[r, c], sym[r, c + 1])
+            left = np.flatnonzero(top)
+            r, c = np.concatenate([row, left]), np.concatenate([top, top[left] - 1])
+            rank[r, c] = self._look(sym[r, c], sym[r, c + 1])
 
     def _learn(self, words: set[str]) -> None:
+        if not words:
+            return
         classes: dict[int, list[str]] = {}
         for x in words:
             n = len(x)
             if n > WIDE:
-                self.memo[x] = self.by_heap(x)
+                self.memo[x] = _packed(self.by_heap(x))
             else:
                 classes.setdefault(n if n < 20 else 20 + n // 8, []).append(x)
         for own in classes.values():
@@ -192,46 +231,59 @@ class Codec:
         words = list(words)
         cut = len(self.prefix)
         theirs = self.library.encode([x[cut:].replace(MARK, " ") for x in words], num_threads=1)
-        theirs, ours = [*map(tuple, theirs)], [*map(self.memo.__getitem__, words)]
-        if ours != theirs:
-            for x, y, z in zip(words, ours, theirs):
+        ours = [*map(self.memo.__getitem__, words)]
+        if b"".join(ours) != _packed(itertools.chain.from_iterable(theirs)) or [*map(len, ours)] != [4 * len(z) for z in theirs]:
+            for x, y, z in zip(words, ours, map(_packed, theirs)):
                 if y != z and not x.strip(MARK):  # marks alone end a text; a full stop before them keeps the library's own prefix apart
-                    z = tuple(self.library.encode("." + " " * len(x))[len(self.library.encode(".")) :])
+                    z = _packed(self.library.encode("." + " " * len(x))[len(self.library.encode(".")) :])
                 if y != z:
                     self.wrong.add(x)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the library agrees."""
+        packed, same = self.pack(texts)
+        return [np.frombuffer(x, np.int32).tolist() for x in packed], same
+
+    def pack(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """As encode, with the ids as bytes of 32-bit numbers."""
         was = gc.isenabled()
         gc.disable()  # it would walk the memo again and again; nothing here makes cycles
         try:
-            return self._encode(texts)
+            return self._pack(texts)
         finally:
             if was:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+    def _pack(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         marked = [self.prefix + x.replace(" ", MARK) if x else "" for x in texts]
         if not self.apart:
-            ids = [list(self.by_heap(x)) for x in marked]
-            return ids, [x == y for x, y in zip(ids, self.library.encode(texts, num_threads=1))]
+            ids = [_packed(self.by_heap(x)) for x in marked]
+            return ids, [x == _packed(y) for x, y in zip(ids, self.library.encode(texts, num_threads=1))]
         parts = [self.split(x) for x in marked]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-            self.wrong.clear()
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
+            self.wrong = {x for x in self.wrong if x in self.older}
         new = set().union(*parts) - self.memo.keys()
-        self._learn(new)
+        known = new & self.older.keys()
+        self.memo.update(zip(known, map(self.older.__getitem__, known)))
+        self._learn(new - known)
         get = self.memo.__getitem__
-        ids = [list(itertools.chain.from_iterable(map(get, x))) for x in parts]
-        return ids, [not self.wrong or self.wrong.isdisjoint(x) for x in parts]
+        return [b"".join(map(get, x)) for x in parts], [not self.wrong or self.wrong.isdisjoint(x) for x in parts]
 
     def decode(self, lists: list[list[int]]) -> list[str]:
-        surface = self.surface.__getitem__
-        out = []
-        for ids in lists:
-            x = b"".join(map(surface, ids)).decode("utf-8", "replace")
-            out.append(x[1:] if self.prefix and x.startswith(" ") else x)
-        return out
+        return [self.unpack(np.asarray(ids, np.int32)) for ids in lists]
+
+    def unpack(self, ids: np.ndarray) -> str:
+        """The text of ids: their pieces' bytes one after the other, without the first space."""
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[ids] - ends + length, length)
+        x = self.flat[at].tobytes().decode("utf-8", "replace")
+        return x[1:] if self.prefix and x.startswith(" ") else x
+
+
+def _packed(ids) -> bytes:
+    return np.fromiter(ids, np.int32).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -248,10 +300,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             text, doc = flat(batch.column("text")), batch.column("doc_id")
             for a, b in slices(text):
                 texts = [x or "" for x in text.slice(a, b - a).to_pylist()]
-                ids, same = c.encode(texts)
-                back = [x == y.replace(MARK, " ") for x, y in zip(c.decode(ids), texts)]
-                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-                values = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                packed, same = c.pack(texts)
+                values = np.frombuffer(b"".join(packed), np.int32)
+                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                ends = np.cumsum(sizes)
+                back = [c.unpack(values[e - n : e]) == t.replace(MARK, " ") for e, n, t in zip(ends.tolist(), sizes.tolist(), texts)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), lists, pa.array(sizes.astype(np.int64)), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "ids", "n_tokens", "matches", "round_trip"])
 
