@@ -53,7 +53,7 @@ def bounded_sample(rows: DataFrame, key: str, strata: str, bound: int, seed: int
     return rows.filter(F.col(strata).isNotNull() & (unit(F.col(key), seed) < share))
 
 
-def slices(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows with at most about `most` bytes of text each, a row at least."""
     if len(col) == 0:
         return
