@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components
-from quillspark.llm.shared import checkpoint, flat, fresh, slices
+from quillspark.llm.shared import checkpoint, flat, fresh, slices, trimmed
 from quillspark.llm.textvec import Words, mix, shingles
 
 HASHES = 128
@@ -103,7 +103,7 @@ def signature_table(docs: DataFrame, width: int = 3) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(have)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * HASHES), len(have), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())], ["doc_id", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, signature binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, signature binary")
 
 
 def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 20, depth: int = 8, least: int = 2, region: int = 2048, width: int = 3) -> DataFrame:
@@ -166,10 +166,10 @@ def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 20, depth: int
         if hold:
             yield handle(*(np.concatenate(x) for x in zip(*hold)))
 
-    rows = sigs.select("doc_id", "signature").mapInArrow(explode, "region long, label binary, doc_id long")
+    rows = sigs.select("doc_id", "signature").mapInArrow(trimmed(explode), "region long, label binary, doc_id long")
     # a region with one document has no neighbour; the others come sorted by label
     spread = rows.repartition("region").sortWithinPartitions("region", "label")
-    edges = spread.mapInArrow(scan, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = spread.mapInArrow(trimmed(scan), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     same = sigs.filter(F.size("members") > 1).select(F.col("doc_id").alias("a"), F.explode("members").alias("b"))
     parts_ = connected_components(edges.unionAll(same))
     size = parts_.groupBy("component").agg(F.count("*").alias("group_size"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import bounded_sample, flat, slices
+from quillspark.llm.shared import bounded_sample, flat, slices, trimmed
 from quillspark.llm.textvec import Words
 
 BUCKETS = 1 << 16
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, bound: int = 2000, smooth: float = 0.5) -> tuple[list[s
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "code", "n"])
 
-    got = rows.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("lang", "text").mapInArrow(trimmed(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(got["lang"].unique())
     model = np.zeros((BUCKETS, len(names) + 1))
     for k, x in enumerate(names):
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
                 ["doc_id", "languages", "shares", "unknown", "main", "n_words", "keep"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def kept(docs: DataFrame, model: tuple[list[str], np.ndarray], **how) -> DataFrame:
@@ -197,4 +197,4 @@ def kept(docs: DataFrame, model: tuple[list[str], np.ndarray], **how) -> DataFra
             rows = infer(flat(batch.column("text")), names, table, **opts)
             yield batch.filter(pa.array([x[5] for x in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

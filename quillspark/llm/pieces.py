@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import flat, slices
+from quillspark.llm.shared import flat, slices, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -308,7 +308,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), lists, pa.array(sizes.astype(np.int64)), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "ids", "n_tokens", "matches", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:

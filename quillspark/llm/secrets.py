@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import flat, slices
+from quillspark.llm.shared import flat, slices, trimmed
 
 IDENTIFIERS = (
     "null None undefined true false example sample changeme change_me your_password_here your-token-here "
@@ -116,7 +116,7 @@ def find(docs: DataFrame, **how) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def redact(text: str, found: list[tuple]) -> str:
@@ -153,4 +153,4 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
