@@ -141,10 +141,10 @@ def _spread(d):  # P25: which pages are spreads
     return f"SELECT page_id, w, h, CASE WHEN w >= CAST(1.05 AS DOUBLE) * h THEN 'split' ELSE 'keep' END AS act, sum(CASE WHEN w >= CAST(1.05 AS DOUBLE) * h THEN 2 ELSE 1 END) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS last_page FROM (SELECT page_id, CAST(400 + page_id % 7 * 50 AS DOUBLE) AS w, CAST(600 AS DOUBLE) AS h FROM pages) _p"
 
 
-def _sizes(d):  # W23: font sizes linked while the gap to the last is small
-    lines = f"SELECT doc_id, line_no, round(CAST(9 AS DOUBLE) + length(line) % 23 * CAST(0.3 AS DOUBLE), 1) AS size FROM ({damaged_lines(d)}) _l"
-    return f"""SELECT doc_id, grp, dense_rank() OVER (PARTITION BY doc_id ORDER BY grp) AS level, count(*) AS n, round(avg(size), 6) AS mean FROM (SELECT x.doc_id, x.size, g.grp FROM ({lines}) x JOIN (
-      SELECT doc_id, size, sum(CASE WHEN before - size > 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS grp FROM (
+def _sizes(d):  # W23: font sizes, in tenths of a point, linked while the gap to the last is small
+    lines = f"SELECT doc_id, line_no, CAST(90 + length(line) % 23 * 3 AS BIGINT) AS size FROM ({damaged_lines(d)}) _l"
+    return f"""SELECT doc_id, grp, dense_rank() OVER (PARTITION BY doc_id ORDER BY grp) AS level, count(*) AS n, CAST(sum(size) AS DOUBLE) / (10 * count(*)) AS mean FROM (SELECT x.doc_id, x.size, g.grp FROM ({lines}) x JOIN (
+      SELECT doc_id, size, sum(CASE WHEN before - size > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS grp FROM (
         SELECT doc_id, size, lag(size) OVER (PARTITION BY doc_id ORDER BY size DESC) AS before FROM (SELECT DISTINCT doc_id, size FROM ({lines}) _a) _b) _c) g ON x.doc_id = g.doc_id AND x.size = g.size) _d GROUP BY doc_id, grp HAVING count(*) >= 3"""
 
 
