@@ -10,7 +10,8 @@ fingerprint is the set of a document's digests, each weighing its chunk's length
 
 `fingerprints` measures each document against the rest of the corpus (`containment`), and against the
 origin that holds most of it: the origin of a digest is the document with the least doc_id that has it.
-`containment_pairs` finds every pair of documents with a containment of at least a threshold.
+`containment_pairs` finds every pair of documents with a containment of at least a threshold, `with_containers` adds
+the containers of each document to its row.
 
 Defined results: null and empty texts have no chunk, an empty fingerprint and containment 0. Rows with a
 null doc_id are left out. Repeated rows of one doc_id are one document (their digests are joined) and
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.shared import checkpoint, flat, slices
 
 LEAST, NORMAL, MOST, BITS = 64, 256, 1024, 8
+# about 49 bytes a chunk: passages of 50 words hold whole chunks
+FINE = {"least": 16, "normal": 48, "most": 160, "bits": 5}
 GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -157,3 +160,63 @@ def containment_pairs(docs: DataFrame, threshold: float = 0.5, **how) -> DataFra
     ids = same.select("rep", F.explode("ids").alias("id"))
     full = reps.unionByName(own).join(ids.withColumnRenamed("rep", "a").withColumnRenamed("id", "x"), "a").join(ids.withColumnRenamed("rep", "b").withColumnRenamed("id", "y"), "b")
     return full.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.round("containment", 6).alias("containment"))
+
+
+def with_containers(docs: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
+    """The columns of `fingerprints` and same_as, n_same, container_id, container_containment, containers.
+
+    same_as: the least of the n_same doc_ids with the same fingerprint, itself included. containers: all others that hold
+    at least the threshold, as (doc_id, containment) from the fullest on; one doc_id stands for all that are same_as it, so
+    groups of copies don't make it grow. container_id: the one that holds most, copies of the same fingerprint included,
+    the least id among equals; null where none reaches the threshold.
+
+    The pairs are those of `containment_pairs`, found the same way among the digests that several documents have. Digests are
+    shuffled once to find these, and once by document; only the shared ones go on.
+    """
+    chunked = chunk_table(docs, **how).filter("doc_id is not null")
+    merged = chunked.groupBy("doc_id").agg(F.flatten(F.collect_list("digests")).alias("d"), F.flatten(F.collect_list("sizes")).alias("s"))
+    zipped = merged.select("doc_id", F.array_sort(F.array_distinct(F.arrays_zip("d", "s"))).alias("z"))
+    prints = checkpoint(zipped.select("doc_id", F.col("z.d").alias("fingerprint"), F.aggregate("z", F.lit(0).cast("long"), lambda n, x: n + x["s"]).alias("n_bytes")))
+    once = _holdings(chunked).repartition("digest").dropDuplicates(["digest", "doc_id"])
+    among = W.partitionBy("digest")
+    common = checkpoint(once.withColumn("origin", F.min("doc_id").over(among)).withColumn("last", F.max("doc_id").over(among)).filter("origin <> last").drop("last"))
+
+    # shares of each document, as in fingerprints
+    before = F.when(F.col("origin") < F.col("doc_id"), F.col("origin"))
+    part = common.groupBy("doc_id", before.alias("before")).agg(F.sum("size").alias("bytes"))
+    shares = part.groupBy("doc_id").agg(
+        F.sum("bytes").alias("shared"), F.sum(F.when(F.col("before").isNotNull(), F.col("bytes")).otherwise(0)).alias("before"),
+        F.max(F.when(F.col("before").isNotNull(), F.struct("bytes", (-F.col("before")).alias("origin")))).alias("best"),
+    )
+
+    # one representative of each fingerprint; its hash has 128 bits
+    keys = prints.filter("n_bytes > 0").select("doc_id", "n_bytes", F.xxhash64("fingerprint", F.lit(1)).alias("k1"), F.xxhash64("fingerprint", F.lit(2)).alias("k2"))
+    same = checkpoint(keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_list("doc_id")).alias("ids"), F.first("n_bytes").alias("total")))
+    rows = common.join(same.select(F.col("rep").alias("doc_id"), "total"), "doc_id").select(F.col("doc_id").alias("rep"), "digest", "size", "total")
+    rows = checkpoint(rows)
+    df = rows.groupBy("digest").agg(F.count("*").alias("df"))
+    held, own = W.partitionBy("rep"), W.partitionBy("rep").orderBy("df", "digest").rowsBetween(W.unboundedPreceding, -1)
+    # digests that only one document has come first among the rarest
+    past = F.col("total") - F.sum("size").over(held) + F.coalesce(F.sum("size").over(own), F.lit(0))
+    prefix = rows.join(df, "digest").withColumn("past", past).filter(F.col("past") <= (1 - threshold) * F.col("total") + 1e-9).filter("df > 1")
+    right = rows.select(F.col("rep").alias("b"), "digest")
+    meet = prefix.select(F.col("rep").alias("a"), "digest").join(right, "digest").filter("a <> b").select("a", "b").distinct()
+    both = meet.join(rows.withColumnRenamed("rep", "a"), "a").join(right, ["b", "digest"]).groupBy("a", "b", "total").agg(F.sum("size").alias("sum"))
+    pairs = both.select("a", "b", (F.col("sum") / F.col("total")).alias("containment")).filter(F.col("containment") >= threshold - 1e-12)
+
+    entry = F.struct((-F.round("containment", 6)).alias("less"), F.col("b").alias("doc_id"))
+    best = pairs.groupBy(F.col("a").alias("rep")).agg(F.array_sort(F.collect_list(entry)).alias("held"))
+    member = same.join(best, "rep", "left").select(F.explode("ids").alias("doc_id"), F.col("rep").alias("same_as"), F.size("ids").cast("long").alias("n_same"), F.slice("ids", 1, 2).alias("two"), "held")
+    # the first two ids name a partner for each of a group
+    copy = F.when(F.col("n_same") > 1, F.when(F.col("two")[0] == F.col("doc_id"), F.col("two")[1]).otherwise(F.col("two")[0]))
+    alike = F.when(copy.isNotNull(), F.struct(F.lit(-1.0).alias("less"), copy.alias("doc_id")))
+    found = member.withColumn("first", F.least(F.get("held", F.lit(0)), alike)).drop("two")
+
+    named = F.transform("held", lambda x: F.struct(x["doc_id"].alias("doc_id"), (-x["less"]).alias("containment")))
+    none = F.array().cast("array<struct<doc_id: bigint, containment: double>>")
+    share = lambda x: F.when(F.col("n_bytes") > 0, F.round(x / F.col("n_bytes"), 6))
+    return prints.join(shares.join(found, "doc_id", "full"), "doc_id", "left").select(
+        "doc_id", F.size("fingerprint").cast("long").alias("n_chunks"), "n_bytes", "fingerprint", F.coalesce(share(F.col("shared")), F.lit(0.0)).alias("containment"), F.coalesce(share(F.col("before")), F.lit(0.0)).alias("earlier"),
+        (-F.col("best.origin")).alias("origin_id"), share(F.col("best.bytes")).alias("origin_containment"),
+        "same_as", "n_same", F.col("first.doc_id").alias("container_id"), (-F.col("first.less")).alias("container_containment"), F.coalesce(named, none).alias("containers"),
+    )

@@ -73,3 +73,27 @@ def test_awkward_rows(spark):
     assert got[3].n_chunks == got[4].n_chunks == 0 and got[3].containment == 0.0 and got[3].fingerprint == []
     assert got[6].n_bytes > 200_000
     assert chunks.fingerprints(empty(spark)).count() == 0 and chunks.containment_pairs(empty(spark)).count() == 0
+
+
+def test_every_container_is_named(spark):
+    a, b, c = words(200, 1), words(200, 2), words(150, 3)
+    whole = f"{a} {b}"
+    rows = [(1, c, "en", "s"), (2, f"{words(80, 4)} {c} {words(80, 5)}", "en", "s"), (3, a, "en", "s"), (4, whole, "en", "s"), (5, whole, "en", "s"), (6, f"{whole} {words(20, 6)}", "en", "s"), (7, words(90, 8), "en", "s"), (8, None, "en", "s")]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in chunks.with_containers(docs, 0.5, **chunks.FINE).collect()}
+    assert set(got) == set(range(1, 9))
+    # a short early document within a later one, and copies
+    assert got[1].container_id == 2 and got[1].container_containment > 0.8 and got[1].origin_id is None
+    assert (got[4].container_id, got[5].container_id, got[5].container_containment, got[4].same_as, got[5].same_as, got[5].n_same) == (5, 4, 1.0, 4, 4, 2)
+    assert {x.doc_id for x in got[3].containers} == {4, 6}
+    # the origin of a part of 6 is 3, yet 4 holds nearly all of it
+    assert got[6].container_id == 4 and got[6].container_containment > 0.8 and got[6].origin_containment < 0.7
+    assert got[7].container_id is None and got[7].containers == [] and got[8].containers == [] and got[8].same_as is None
+    pairs = {(r.a, r.b): r.containment for r in chunks.containment_pairs(docs, 0.5, **chunks.FINE).collect()}
+    ids = {x: [y for y in got if got[y].same_as == x] for x in got}
+    named = {(d, y): c.containment for d in got for c in got[d].containers for y in ids[c.doc_id]} | {(d, y): 1.0 for d in got for y in ids.get(got[d].same_as, []) if y != d}
+    assert pairs == named and pairs
+    cols = ["doc_id", "n_chunks", "n_bytes", "fingerprint", "containment", "earlier", "origin_id", "origin_containment"]
+    for some in (docs, awkward(spark), empty(spark)):
+        shown = lambda df: sorted(map(tuple, df.select(*cols).collect()))
+        assert shown(chunks.with_containers(some)) == shown(chunks.fingerprints(some))
