@@ -75,6 +75,21 @@ def test_awkward_rows(spark):
     assert chunks.fingerprints(empty(spark)).count() == 0 and chunks.containment_pairs(empty(spark)).count() == 0
 
 
+def test_fine_chunks_find_short_passages_and_edited_copies(spark):
+    rows, edited = [], []
+    for k in range(40):
+        shared = words(60, 900 + k, least=4)
+        rows += [(2 * k, f"{words(150, 300 + k)} {shared} {words(150, 400 + k)}", "en", "s"), (2 * k + 1, f"{words(150, 500 + k)} {shared} {words(150, 600 + k)}", "en", "s")]
+        own = words(200, 700 + k).split()
+        for i in (20, 80, 120, 180):
+            own[i] = words(1, 1000 * k + i, "qrstuvwxyz")
+        edited += [(100 + 2 * k, words(200, 700 + k), "en", "s"), (101 + 2 * k, " ".join(own), "en", "s")]
+    got = {r.doc_id: r for r in chunks.with_containers(frame(spark, rows + edited), 0.02, **chunks.FINE).select("doc_id", "containment", "containers").collect()}
+    assert sum(any(c.doc_id == 2 * k for c in got[2 * k + 1].containers) for k in range(40)) >= 36
+    near = [got[k].containment for k in range(100, 180)]
+    assert np.mean(near) > 0.55 and min(near) > 0
+
+
 def test_every_container_is_named(spark):
     a, b, c = words(200, 1), words(200, 2), words(150, 3)
     whole = f"{a} {b}"
