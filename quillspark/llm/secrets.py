@@ -5,8 +5,8 @@ api_key, a bearer header, a token with a well-known prefix, or a private key blo
 number of bytes by which it lengthens the compressed form of its surroundings, with a compressor
 primed with identifiers, placeholders and the words of ordinary code: what reads like code or
 prose costs little, what was drawn at random costs nearly its entropy. Candidates whose marginal
-bytes reach `least_bytes` and `least_share` of their length, and that don't read as one plain word,
-are reported.
+bytes reach `least_bytes` and `least_share` of their length are reported, but for assigned values that split into
+ordinary words.
 
 Defined results: null or empty texts have no findings. Repeated rows give repeated findings; a null
 doc_id stays null in them. Findings of one document come in the order of their places and don't
@@ -36,10 +36,32 @@ IDENTIFIERS = (
     "/usr/local/bin /etc/ssl/private /home/user https://www.example.com/index.html http://localhost:8080/api/v1/ .json .yaml .txt .py .env "
 ).encode()
 
-_NAMES = r"pass(?:word|wd|phrase)|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth(?:orization)?|bearer|credentials?|private[_-]?keys?|signing[_-]?keys?|encryption[_-]?keys?"
+#: Words that an assigned value may consist of without being a secret, besides those of IDENTIFIERS.
+ORDINARY = frozenset(
+    re.findall("[a-z]{3,}", re.sub("abcdef[a-z]+|x{4,}", "", IDENTIFIERS.decode().lower()))
+    + """
+    about above access account action active address after again against all already also always among and another any application are array authentication
+    authorized available back base basic because been before begin being below between binary block body both boolean buffer build button byte call can cannot
+    case change character check child class clear client close cloud code column command common company complete connection constant container content context
+    control cookie copy correct could count create current custom data database date day decode delete demo deploy description development different directory
+    disabled document does domain done down each element email empty enabled encode end ensure entry enum environment error event every execute expected expired
+    field file filter find first following for format forgotten found from full general generate given global good great group hash have header hello help here
+    hidden host how http https identifier implementation important include index info input instance integer internal into invalid item its javascript json
+    just keep key known language last length level library line link list load local log login long lookup made main make manager many map master matching
+    message method missing mode model module more most must name need needed network never next node none not nothing null number object offer one only open
+    operation option optional order other our output over owner package page parameter parse part path person please point policy possible previous principal
+    process production project property provider public query random read ready received record reference register regular remote remove replace request required
+    reset resource response result right role root rule same sample save schema scope search section see select send server service session should show sign
+    signature simple since single size some source special standard start state status still stored string strong such super support system table tag take
+    temporary test testing text than that the their them then there these they this those through time timeout true type undefined under unique unknown until update
+    upload url used user username using valid validate value variable verify version very view want was web welcome well were what when where which while will window
+    with within without word words world would write written wrong your
+    """.split()
+)
+_NAMES = r"pass(?:word|wd|phrase)|(?<![a-z])(?:db|user|root|admin)?pass(?![a-z])|pwd|secrets?|tokens?|api[ _-]?keys?|access[ _-]?keys?|auth(?:orization)?|bearer|credentials?|private[ _-]?keys?|signing[ _-]?keys?|encryption[ _-]?keys?"
 _KEYS = re.compile(_NAMES + r"|AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk_live_|sk-|glpat-|eyJ|-----BEGIN", re.I)
 # every match of _KEYS holds one of these in lower case; most texts hold none
-_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "akia", "asia", "aiza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "sk-", "glpat-", "eyj", "-----begin")
+_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "akia", "asia", "aiza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "sk-", "glpat-", "eyj", "-----begin")
 _ASSIGNED = re.compile(r"""[\w.-]{0,40}["'\]]{0,2}[ \t]{0,4}(?::=|=>|=|:|[ \t])[ \t]{0,4}(?:bearer[ \t]{1,4}|basic[ \t]{1,4})?["'`]?([A-Za-z0-9+/_~.!@#$%^&*=-]{8,})""", re.I)
 _SHAPES = [
     ("access_key_id", re.compile(r"A(?:KIA|SIA)[0-9A-Z]{16}(?![0-9A-Za-z])")),
@@ -51,6 +73,20 @@ _SHAPES = [
 SCHEMA = "doc_id long, begin long, end long, kind string, digest string, n_chars long, marginal_bytes long, share double"
 
 
+def ordinary(value: str) -> bool:
+    """Whether a value is made of letters and splits into ordinary words, joined or parted by _ . or -"""
+    if not re.fullmatch(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*", value):
+        return False
+    for part in re.split("[_.-]", value.lower()):
+        ends = {0}
+        for k in range(3, len(part) + 1):
+            if any(part[j:k] in ORDINARY for j in ends if k - j <= 14):
+                ends.add(k)
+        if len(part) not in ends:
+            return False
+    return True
+
+
 class Scanner:
     def __init__(self, least_bytes: int = 8, least_share: float = 0.45, around: int = 1024):
         self.least_bytes, self.least_share, self.around = least_bytes, least_share, around
@@ -81,7 +117,7 @@ class Scanner:
                         end -= 1
                     if end - m.start(1) >= 8:
                         past = end
-                        yield m.start(1), end, "password" if hit.group().lower().startswith(("pass", "pwd")) else "token"
+                        yield m.start(1), end, "password" if re.search("pass|pwd", hit.group(), re.I) else "token"
 
     def novelty(self, text: str, begin: int, end: int) -> int:
         """Bytes that the string adds to the compressed form of what stands around it, without other copies of itself."""
@@ -96,7 +132,7 @@ class Scanner:
             value = text[begin:end]
             cost = self.novelty(text, begin, end)
             share = cost / len(value)
-            plain = kind in ("password", "token") and re.fullmatch(r"[A-Za-z][a-z]*(?:[_.-]?[A-Za-z][a-z]*)*", value) is not None
+            plain = kind in ("password", "token") and ordinary(value)
             if cost >= self.least_bytes and share >= self.least_share and not plain:
                 out.append((begin, end, kind, hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()[:16], len(value), cost, round(share, 4)))
         return out

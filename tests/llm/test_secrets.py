@@ -58,3 +58,16 @@ def test_awkward_rows(spark):
     assert clear.columns == docs.columns and len(rows) == docs.count() and not any(secret in (r.text or "") for r in rows)
     assert all(r.n_chars == len(r.text) for r in rows if r.text is not None) and sum("[SECRET]" in (r.text or "") for r in rows) == 4
     assert secrets.find(empty(spark)).count() == 0 and secrets.redacted(empty(spark)).count() == 0
+
+
+def test_secrets_of_letters_alone_and_short_names():
+    s, lower = secrets.Scanner(), "abcdefghijklmnopqrstuvwxyz"
+    for k in range(20):
+        for name, letters in (("password=", lower + lower.upper()), ('token="', lower), ("api key: ", lower), ("access key = ", lower.upper()), ("encryption key: ", lower), ("DB_PASS=", lower + lower.upper())):
+            secret = drawn(20, 50 + k, letters)
+            text = f"{words(80, k)} {name}{secret}\" {words(80, 99 + k)}"
+            assert [text[a:b] for a, b, *_ in s.scan(text)] == [secret], (name, secret)
+    for text in ["password=QzXvKpLmWrTyBnHgQzRs", 'token="xkcjvqpwzhtmrblfgdns"', "signing key = qvzkxwjhpfmtrbgd", "private-key: zqxjkvbpwmfhgtyr"]:
+        assert len(s.scan(text)) == 1, text
+    for text in ["password: passwordString", "token = currentUserName", "passage: westerly.winds of a compass", "token: authentication_required", "auth = request.session.user"]:
+        assert s.scan(text) == [], text
