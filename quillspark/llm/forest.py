@@ -3,12 +3,11 @@
 Every document has a MinHash signature of the runs of `width` words. A tree orders the documents by
 a label, a sequence of `depth` of its hashes drawn anew for each tree. Documents whose labels share
 their first `least` hashes form a region of a tree; neighbours in the sorted order share a longest
-common prefix. Where a region holds more than `region` documents, the tree goes one level deeper
-there, and so on, so dense parts of the corpus are compared at a greater depth than sparse ones. All
-pairs of a final region are compared, by estimated Jaccard similarity of the sketches; a region
-that has reached the full depth is compared whatever its size. Comparing walks the connected parts
-of a region and visits each document once more than its part needs, so thousands of copies take
-time in proportion to their number and no partner is dropped.
+common prefix. All pairs of a region are compared, whatever its size, by estimated Jaccard similarity of the
+sketches; where a region holds more than `region` documents, equal sketches are compared once. Comparing walks the connected
+parts of a region and visits each document once more than its part needs, so thousands of copies take
+time in proportion to their number. Documents of a region that are alike in no part take time with the square of their number:
+splitting a dense region by further hashes would lose the partners that these part.
 
 Defined results: documents with a null doc_id, or without a word, belong to no group. Repeated rows of
 one doc_id are one document of the group's list; rows of one doc_id with different texts count as
@@ -64,31 +63,37 @@ def similar(a: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((a == one).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
+def _equal(a: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many bytes of each sketch agree: flags of a byte, summed eight at a time."""
+    flags = (a == one).view(np.uint64).sum(axis=1)
+    return (flags * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
 def parts(sketch: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Edges that span the connected parts of the graph of all pairs at or above the threshold."""
-    edges, free = [], np.arange(len(sketch))
+    n = sketch.shape[1]
+    enough = next((k for k in range(n + 1) if (k / n - 1 / 256) / (1 - 1 / 256) >= threshold), n + 1)
+    edges, free, pool = [], np.arange(len(sketch)), np.ascontiguousarray(sketch)
     while len(free):
-        queue, free = [free[0]], free[1:]
+        queue, free, pool = [free[0]], free[1:], pool[1:]
         while queue and len(free):
             one = queue.pop()
-            hit = similar(sketch[free], sketch[one]) >= threshold
+            hit = _equal(pool, sketch[one]) >= enough
             new = free[hit]
-            edges += [(one, x) for x in new]
-            queue += new.tolist()
-            free = free[~hit]
+            if len(new):
+                edges += [(one, x) for x in new]
+                queue += new.tolist()
+                free, pool = free[~hit], pool[~hit]
     return edges
 
 
-def _region_edges(labels: np.ndarray, sketch: np.ndarray, level: int, region: int, threshold: float) -> list[tuple[int, int]]:
-    """Edges within one sorted region, deeper where it is dense."""
-    if len(labels) <= region or level >= labels.shape[1]:
+def _region_edges(sketch: np.ndarray, region: int, threshold: float) -> list[tuple[int, int]]:
+    """Edges within one region; in a dense one, equal sketches stand for one."""
+    if len(sketch) <= region:
         return parts(sketch, threshold)
-    cut = np.flatnonzero(labels[1:, level] != labels[:-1, level]) + 1
-    out = []
-    for a, b in zip([0, *cut], [*cut, len(labels)]):
-        if b - a > 1:
-            out += [(a + x, a + y) for x, y in _region_edges(labels[a:b], sketch[a:b], level + 1, region, threshold)]
-    return out
+    _, first, at = np.unique(np.ascontiguousarray(sketch).view(f"V{sketch.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    copies = [(first[k], x) for x, k in enumerate(at) if first[k] != x]
+    return copies + [(first[x], first[y]) for x, y in parts(sketch[first], threshold)]
 
 
 def signature_table(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -143,8 +148,7 @@ def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 20, depth: int
             a, b = [], []
             several = end - begin > 1
             for s, e in zip(begin[several], end[several]):
-                labels = np.ascontiguousarray(both[s:e, :tail]).view(">u4")
-                for x, y in _region_edges(labels, both[s:e, tail:], 0, region, threshold):
+                for x, y in _region_edges(both[s:e, tail:], region, threshold):
                     a.append(ids[s + x])
                     b.append(ids[s + y])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -75,3 +75,24 @@ def test_awkward_rows(spark):
     ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect())
     assert ids == [-1, -1, 1, 3, 4, 5, 6, 7, 8, 9]
     assert forest.groups(empty(spark)).count() == 0 and forest.kept(empty(spark)).count() == 0
+
+
+def test_dense_regions_lose_no_partner(spark):
+    # one region of 3,000 sketches whose later hashes all differ
+    rng = np.random.default_rng(6)
+    sketch = rng.integers(0, 256, (3000, 128), dtype=np.uint8)
+    for k in range(0, 400, 2):
+        sketch[k + 1, :75] = sketch[k, :75]
+    sketch[500:510] = sketch[500]
+    edges = {tuple(sorted(map(int, x))) for x in forest._region_edges(sketch, 2048, 0.5)}
+    assert {x for x in edges if x[0] < 400} == {(k, k + 1) for k in range(0, 400, 2)}
+    assert len([x for x in edges if 500 <= x[0] < 510]) == 9 and len(edges) == 209
+
+    # documents that share boilerplate, and pairs of them at 0.5 to 0.7
+    boiler = words(130, 900)
+    rows = [(k, f"{boiler} {words(170, 2000 + k)}", "en", "s") for k in range(400)]
+    rows += [(1000 + k, f"{boiler} {edited(words(170, 2000 + k), 0.07 + 0.01 * (k % 5), k)}", "en", "s") for k in range(100)]
+    sets = {d: shingles(t) for d, t, *_ in rows}
+    want = [k for k in range(100) if 0.58 <= len(sets[k] & sets[1000 + k]) / len(sets[k] | sets[1000 + k]) <= 0.8]
+    group = {r.doc_id: r.group_id for r in forest.groups(frame(spark, rows), region=16).collect()}
+    assert len(want) > 50 and np.mean([group.get(k) is not None and group.get(k) == group.get(1000 + k) for k in want]) >= 0.97
