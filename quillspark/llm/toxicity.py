@@ -1,12 +1,12 @@
 """Operator 10: toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as its own vector joined with two character vectors: the mean of its trigrams' and the
-mean of those of its beginnings of 3 to 8 bytes. Windows of
-`WINDOW` words, each overlapping the next, pass through gated recurrent units in both directions;
+mean of those of its beginnings of 3 to 8 bytes. All overlapping windows of
+`WINDOW` words, one from each word on, pass through gated recurrent units in both directions;
 attention weighs the steps and a logistic unit scores the window. A document's score is its highest
 window's. The network is trained in numpy on a bounded sample of labelled documents: the labels are
-those of documents, so each toxic one stands for its highest window of the moment. The threshold
-is set on held-out labelled documents.
+those of documents, so each toxic one stands for its highest window of the moment, among every `APART`th. The threshold
+is set on all windows of held-out labelled documents, as they are scored.
 
 Defined results: null text, empty text or text without a word has the score 0, no window, and isn't
 toxic. Repeated rows give repeated rows, equal texts equal scores. Without labels of both classes there is
@@ -28,7 +28,7 @@ from quillspark.llm.language import _trigrams
 from quillspark.llm.shared import bounded_sample, flat, join_sample, slices
 from quillspark.llm.textvec import Words, mix
 
-WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHARS, HEADS = 32, 24, 8, 8, 8, 1 << 12, 1 << 15
+WINDOW, STRIDE, APART, HIDDEN, WORD_DIM, CHAR_DIM, CHARS, HEADS = 32, 1, 24, 8, 8, 8, 1 << 12, 1 << 15
 SCHEMA = "doc_id long, score double, n_windows long, worst_word long, toxic boolean"
 
 
@@ -39,7 +39,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Inputs:
     """The distinct words of some texts and their windows."""
 
-    def __init__(self, col: pa.Array, vocabulary: np.ndarray):
+    def __init__(self, col: pa.Array, vocabulary: np.ndarray, stride: int = STRIDE):
         w = Words(col)
         h = w.hashes()
         distinct, first, self.at = np.unique(h, return_index=True, return_inverse=True)
@@ -62,12 +62,12 @@ class Inputs:
                     self.head[:, k - 2] = np.where(length > k, 1 + (acc % np.uint64(HEADS)).astype(np.int64), 0)
         self.rows, self.counts = w.rows, w.counts
         begin = np.cumsum(w.counts) - w.counts
-        n = np.where(w.counts == 0, 0, 1 + np.maximum(0, -(-(w.counts - WINDOW) // STRIDE)))
+        n = np.where(w.counts == 0, 0, 1 + np.maximum(0, -(-(w.counts - WINDOW) // stride)))
         self.row = np.repeat(np.arange(w.rows), n)
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        self.start = begin[self.row] + k * STRIDE
+        self.start = begin[self.row] + k * stride
         self.size = np.minimum(WINDOW, begin[self.row] + w.counts[self.row] - self.start)
-        self.offset = k * STRIDE
+        self.offset = k * stride
         self.n_windows = n
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,16 +183,16 @@ class Network:
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 3) -> tuple[Network, float] | None:
     """A network and its threshold from labelled texts that have words; None without both classes."""
-    some = Inputs(pa.array(texts, pa.string()), np.zeros(0, np.uint64)).counts > 0
+    some = Inputs(pa.array(texts, pa.string()), np.zeros(0, np.uint64), APART).counts > 0
     texts, toxic = [t for t, s in zip(texts, some) if s], np.asarray(toxic, bool)[some]
     if toxic.all() or not toxic.any():
         return None
     rng = np.random.default_rng(seed)
     col = pa.array(texts, pa.string())
-    plain = Inputs(col, np.zeros(0, np.uint64))
+    plain = Inputs(col, np.zeros(0, np.uint64), APART)
     per_doc = np.unique(np.stack([plain.at.astype(np.int64), np.repeat(np.arange(len(texts)), plain.counts)]), axis=1)[0]
     vocabulary = plain.hash[np.bincount(per_doc, minlength=len(plain.hash)) >= 3] if len(plain.hash) else plain.hash
-    x = Inputs(col, vocabulary)
+    x = Inputs(col, vocabulary, APART)
     held = rng.random(len(texts)) < 0.25
     if not (toxic & ~held).any() or toxic[~held].all():
         held[:] = False
@@ -228,11 +228,10 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64
                 v[k] += 0.01 * (g[k] ** 2 - v[k])
                 q -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
         rate *= 0.85
-    now = net.scores(x)
-    best = np.zeros(len(texts), np.float32)
-    np.maximum.at(best, owner, now)
     judge = held if (held & toxic).any() and (held & ~toxic).any() else np.ones(len(texts), bool)
-    score, truth = best[judge], toxic[judge]
+    every = Inputs(pa.array([t for t, j in zip(texts, judge) if j], pa.string()), vocabulary)
+    score, truth = np.zeros(every.rows, np.float32), toxic[judge]
+    np.maximum.at(score, every.row, net.scores(every))
     # the threshold with the highest F1; in the middle of the gap to the next score below
     order = np.argsort(-score, kind="stable")
     hits = np.cumsum(truth[order])

@@ -86,3 +86,17 @@ def test_awkward_rows(spark):
         assert by[k].score == 0.0 and by[k].n_windows == 0 and not by[k].toxic and by[k].worst_word is None
     assert by[6].n_windows > 2000
     assert toxicity.score(empty(spark), toxicity.fit(docs, both)).count() == 0
+
+
+def test_the_place_of_a_passage_never_changes_the_verdict():
+    x = toxicity.Inputs(pa.array([words(300, 1), words(20, 2)]), np.zeros(0, np.uint64))
+    assert x.n_windows.tolist() == [300 - 31, 1] and x.start[: 300 - 31].tolist() == list(range(300 - 31))
+    net, least = toxicity.train(docs_of(80, 2, True) + docs_of(160, 3, False), np.array([1] * 80 + [0] * 160))
+    clean, passage = words(240, 31).split(), " grumpf a blarghix the snidworm of grumpf and snidworm to blarghix ".split()
+    moved = [" ".join(clean[:k] + passage + clean[k:]) for k in range(len(clean) + 1)]
+    x = toxicity.Inputs(pa.array([" ".join(clean), *moved]), net.vocabulary)
+    best = np.zeros(1 + len(moved))
+    np.maximum.at(best, x.row, net.scores(x))
+    assert best[0] < least and (best[1:] >= least).all()
+    whole = [((x.offset[x.row == k + 1] <= k) & (x.offset[x.row == k + 1] + 32 >= k + len(passage))).any() for k in range(len(moved))]
+    assert all(whole)
