@@ -6,6 +6,9 @@ that go with bad pages. Rules below the least confidence or support go, those wh
 stands out from the share of bad pages by less than `least_z` standard errors, and those that a
 shorter rule of no less confidence covers. Rules are matched through an inverted index by the rarest token of each.
 
+Labels are those of documents. A page's document is the one numbered in its URL's path (`document`); where
+the URL has no such number, it is the one with the page's own number.
+
 Defined results: a null or empty url has no tokens, matches nothing and passes. Repeated rows give repeated
 rows, and repeated labels of a page count once (bad, if any of them is). Without labelled pages of both kinds there are no
 rules and everything passes. Pages with a null page_id are matched too, yet not mined. An empty table gives an
@@ -48,14 +51,20 @@ def tokens(url: Column) -> Column:
     return F.when(F.coalesce(low, F.lit("")) != "", every).otherwise(F.array().cast("array<string>"))
 
 
+def document(url: Column, page_id: Column) -> Column:
+    """The number that is the last part of a URL's path, an extension aside; else page_id."""
+    path = F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*([^?#]*)", 1)
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[A-Za-z0-9]{1,5})?/?$", 1), F.lit("")).cast("long"), page_id.cast("long"))
+
+
 def mine(pages: DataFrame, labels: DataFrame, least_support: float = 0.002, least_count: int = 5, least_confidence: float = 0.4, least_z: float = 4.0) -> DataFrame:
     """rule (sorted tokens), anchor, support, confidence, lift of each rule for bad pages.
 
     The itemsets are distributed; their number is bounded by the support, not by the pages.
     """
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad")
-    marks = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("page_id")).agg(bad)
-    items = pages.filter("page_id is not null").select("page_id", tokens(F.col("url").cast("string")).alias("t")).join(marks, "page_id").filter("size(t) > 0")
+    marks = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(bad)
+    items = pages.filter("page_id is not null").select(document(F.col("url").cast("string"), F.col("page_id")).alias("doc"), tokens(F.col("url").cast("string")).alias("t")).join(marks, "doc").filter("size(t) > 0")
     baskets = checkpoint(items.select(F.when(F.col("bad") == 1, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")))
     n = baskets.count()
     spark = pages.sparkSession

@@ -58,3 +58,12 @@ def test_awkward_rows(spark):
         got = urls.screen(df, labels).collect()
         assert len(got) == 6 and not any(r.block for r in got) and all(r.n_rules == 0 for r in got)
     assert urls.screen(df.limit(0), lab).count() == 0
+
+
+def test_labels_of_the_document_in_the_url(spark):
+    rows = [(k, f"http://{'casino' if d % 4 == 0 else 'fine'}.example.org/en/{d}{('', '/', '.html', '?page=2', '#top')[k % 5]}") for k in range(400) for d in [(k * 7 + 3) % 400]]
+    lab = spark.createDataFrame([(d, 0 if d % 4 == 0 else 1, 0) for d in range(400)], "doc_id long, quality int, toxic int")
+    got = urls.screen(pages(spark, rows), lab).collect()
+    assert len(got) == 400 and all(r.block == ("casino" in r.url) for r in got)
+    some = pages(spark, [(7, "http://a.b/en/12.html"), (7, "http://a.b/12/x"), (7, "http://a.b?p=12"), (7, None), (7, "a.b/c/00012/#3")])
+    assert [r[0] for r in some.select(urls.document(F.col("url"), F.col("page_id"))).collect()] == [12, 7, 7, 7, 12]
