@@ -12,7 +12,8 @@ Defined results: null text, empty text or text without a word has the score 0, n
 toxic. Repeated rows give repeated rows, equal texts equal scores. Without labels of both classes there is
 no model: scores are null and nothing is toxic. A document with contradicting labels counts as toxic in
 training. Null doc_id stays null. An empty table gives an empty result. Every window of every
-document is scored, whatever its length.
+document is scored, whatever its length: a text of many million words in blocks of windows. Of windows with equal scores
+the first is reported. Extra columns of docs and labels, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.language import _trigrams
-from quillspark.llm.shared import bounded_sample, flat, join_sample, slices
+from quillspark.llm.shared import bounded_sample, checkpoint, flat, join_sample, slices, unit
 from quillspark.llm.textvec import Words, mix
 
 WINDOW, STRIDE, APART, HIDDEN, WORD_DIM, CHAR_DIM, CHARS, HEADS = 32, 1, 24, 8, 8, 8, 1 << 12, 1 << 15
@@ -68,7 +69,7 @@ class Inputs:
         self.start = begin[self.row] + k * stride
         self.size = np.minimum(WINDOW, begin[self.row] + w.counts[self.row] - self.start)
         self.offset = k * stride
-        self.n_windows = n
+        self.n_windows, self.stride = n, stride
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of distinct words (window, step) and the mask of steps that exist."""
@@ -175,10 +176,66 @@ class Network:
 
     def scores(self, x: Inputs) -> np.ndarray:
         """Of all windows."""
-        if not len(x.row):
-            return np.zeros(0, np.float32)
+        out = np.zeros(len(x.row), np.float32)
+        if not len(out):
+            return out
         vec = self.vectors(x)
-        return np.concatenate([self.forward(vec, *x.windows(np.arange(a, min(a + 2048, len(x.row))))) for a in range(0, len(x.row), 2048)])
+        # windows one word apart slide over the words of their texts; the others are looked up one by one
+        whole = (x.size == WINDOW) & (x.stride == 1)
+        if whole.any():
+            at = x.at[np.repeat(x.counts >= WINDOW, x.counts)]
+            score = self._sliding(vec, at)
+            skipped = np.cumsum(np.where(x.counts < WINDOW, x.counts, 0))  # words of shorter texts before each row
+            out[whole] = score[x.start[whole] - skipped[x.row[whole]]]
+        rest = np.flatnonzero(~whole)
+        for a in range(0, len(rest), 2048):
+            out[rest[a : a + 2048]] = self.forward(vec, *x.windows(rest[a : a + 2048]))
+        return out
+
+    def _sliding(self, vec: np.ndarray, at: np.ndarray, block: int = 2048, most: int = 1 << 14) -> np.ndarray:
+        """Scores of the windows of WINDOW words from each place of a run of words, as `forward` gives them.
+
+        Both directions step at once, units before windows, so a step's inputs are a slice of the run's. The factors of
+        the logistic function, (1 + tanh(x / 2)) / 2, are in the weights.
+        """
+        p, H, K = self.p, HIDDEN, HIDDEN
+        half = np.float32(0.5)
+        scale = np.r_[np.full(2 * H, half), np.ones(H, np.float32)]
+        table = np.stack([((vec @ p["w" + s] + p["b" + s]) * scale).T for s in "fb"])
+        gates, inner = (np.stack([np.ascontiguousarray((p["u" + s][:, part] * half).T) for s in "fb"]) for part in (slice(0, 2 * H), slice(2 * H, None)))
+        # rows of the attention layer, and the output unit as one more
+        heads = [np.ascontiguousarray(np.concatenate([p["a"][k * H : (k + 1) * H], p["o"][k * H : (k + 1) * H, None]], axis=1).T) for k in (0, 1)]
+        out = np.empty(max(0, len(at) - WINDOW + 1), np.float32)
+        for a in range(0, len(out), most):
+            xs = np.ascontiguousarray(table[:, :, at[a : min(a + most, len(out)) + WINDOW - 1]])
+            for b in range(0, min(most, len(out) - a), block):
+                n = min(block, most - b, len(out) - a - b)
+                h, g, c, rh = np.zeros((2, H, n), np.float32), np.empty((2, 2 * H, n), np.float32), np.empty((2, H, n), np.float32), np.empty((2, H, n), np.float32)
+                e = np.empty((2, WINDOW, K + 1, n), np.float32)
+                for t in range(WINDOW):
+                    u = WINDOW - 1 - t
+                    np.matmul(gates, h, out=g)
+                    g[0] += xs[0, : 2 * H, b + t : b + t + n]
+                    g[1] += xs[1, : 2 * H, b + u : b + u + n]
+                    np.tanh(g, out=g)
+                    g += np.float32(1)
+                    np.multiply(g[:, H:], h, out=rh)
+                    np.matmul(inner, rh, out=c)
+                    c[0] += xs[0, 2 * H :, b + t : b + t + n]
+                    c[1] += xs[1, 2 * H :, b + u : b + u + n]
+                    np.tanh(c, out=c)
+                    c -= h
+                    c *= g[:, :H]
+                    c *= half
+                    h += c
+                    np.matmul(heads[0], h[0], out=e[0, t])
+                    np.matmul(heads[1], h[1], out=e[1, u])
+                e = e[0] + e[1]
+                q = e[:, K].copy()
+                s = np.einsum("k,tkn->tn", p["av"], np.tanh(e[:, :K]))
+                s = np.exp(s - s.max(axis=0))
+                out[a + b : a + b + n] = _sigmoid((s * q).sum(axis=0) / s.sum(axis=0) + p["ob"][0])
+        return out
 
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 3) -> tuple[Network, float] | None:
@@ -251,12 +308,16 @@ class _Some:
         self.code = x.code[np.arange(int(self.sizes.sum())) - np.repeat(self.bounds - x.bounds[used], self.sizes)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 800) -> tuple[Network, float] | None:
-    """Trains on about `bound` labelled documents of each class; the driver gets their texts."""
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 800, bound_bytes: int = 32 << 20) -> tuple[Network, float] | None:
+    """Trains on about `bound` labelled documents of each class and about `bound_bytes` of text; the driver gets their texts."""
     label = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = bounded_sample(label, "doc_id", "toxic", bound)
-    rows = join_sample(docs.select("doc_id", "text"), some, "doc_id").filter("text is not null").orderBy("doc_id", "text").select("text", "toxic").toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy() > 0) if len(rows) else None
+    rows = checkpoint(join_sample(docs.select("doc_id", "text"), some, "doc_id").filter("text is not null").select("doc_id", F.col("text").cast("string").alias("text"), "toxic"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > bound_bytes:
+        rows = rows.filter(unit(F.col("doc_id"), 23) < bound_bytes / size)
+    got = rows.orderBy("doc_id", "text").select("text", "toxic").toPandas()
+    return train(got["text"].tolist(), got["toxic"].to_numpy() > 0) if len(got) else None
 
 
 def score(docs: DataFrame, model: tuple[Network, float] | None) -> DataFrame:

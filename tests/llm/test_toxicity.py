@@ -100,3 +100,49 @@ def test_the_place_of_a_passage_never_changes_the_verdict():
     assert best[0] < least and (best[1:] >= least).all()
     whole = [((x.offset[x.row == k + 1] <= k) & (x.offset[x.row == k + 1] + 32 >= k + len(passage))).any() for k in range(len(moved))]
     assert all(whole)
+
+
+def by_loops(net, text):
+    """Score of each window of a text: one unit, one word at a time."""
+    x = toxicity.Inputs(pa.array([text]), net.vocabulary)
+    vec, n, size, out = net.vectors(x), len(x.at), toxicity.HIDDEN, []
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for start in range(max(1, n - toxicity.WINDOW + 1)):
+        own = [vec[k].astype(float) for k in x.at[start : start + toxicity.WINDOW]]
+        states = [[None] * len(own), [None] * len(own)]
+        for side, name in enumerate("fb"):
+            w, u, b = (net.p[k + name].astype(float) for k in "wub")
+            h = np.zeros(size)
+            for t in range(len(own)) if side == 0 else range(len(own) - 1, -1, -1):
+                y = own[t] @ w + b
+                z, r = sig(y[:size] + h @ u[:, :size]), sig(y[size : 2 * size] + h @ u[:, size : 2 * size])
+                c = np.tanh(y[2 * size :] + (r * h) @ u[:, 2 * size :])
+                h = (1 - z) * h + z * c
+                states[side][t] = h
+        both = [np.r_[f, b] for f, b in zip(*states)]
+        weight = np.exp([np.tanh(h @ net.p["a"]) @ net.p["av"] for h in both])
+        pooled = sum(w * h for w, h in zip(weight / weight.sum(), both))
+        out.append(sig(pooled @ net.p["o"] + net.p["ob"][0]))
+    return out
+
+
+def test_rows_equal_a_network_of_plain_loops(spark):
+    net, least = toxicity.train(docs_of(40, 2, True) + docs_of(80, 3, False), np.array([1] * 40 + [0] * 80), epochs=3)
+    texts = [words(n, 50 + n) + (" grumpf snidworm" if n % 2 else "") for n in (1, 5, 29, 30, 31, 32, 33, 70, 131)]
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), (net, least)).collect()}
+    for k, t in enumerate(texts):
+        own = by_loops(net, t)
+        assert got[k].n_windows == len(own) and abs(got[k].score - max(own)) < 2e-5 and own[got[k].worst_word] > max(own) - 1e-5
+        assert abs(max(own) - least) < 1e-4 or got[k].toxic == (max(own) >= least)
+
+
+def test_training_text_is_bounded_by_bytes(spark):
+    docs = frame(spark, [(k, t, "en", "s") for k, t in enumerate(docs_of(100, 2, True) + docs_of(100, 3, False))])
+    labels = spark.createDataFrame([(k, int(k < 100)) for k in range(200)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, bound_bytes=60_000) is not None
+
+
+def test_blocks_of_windows_join_without_a_seam():
+    net = toxicity.Network(np.zeros(0, np.uint64))
+    x = toxicity.Inputs(pa.array([words(900, 7)]), net.vocabulary)
+    assert np.array_equal(net._sliding(net.vectors(x), x.at, block=50, most=120), net._sliding(net.vectors(x), x.at))
