@@ -196,29 +196,30 @@ class Network:
         """Scores of the windows of WINDOW words from each place of a run of words, as `forward` gives them.
 
         Both directions step at once, units before windows, so a step's inputs are a slice of the run's. The factors of
-        the logistic function, (1 + tanh(x / 2)) / 2, are in the weights.
+        the logistic function, (1 + tanh(x / 2)) / 2, are in the weights. A step's attention is added as soon as both its states are there.
         """
-        p, H, K = self.p, HIDDEN, HIDDEN
-        half = np.float32(0.5)
+        p, H, half, one = self.p, HIDDEN, np.float32(0.5), np.float32(1)
         scale = np.r_[np.full(2 * H, half), np.ones(H, np.float32)]
         table = np.stack([((vec @ p["w" + s] + p["b" + s]) * scale).T for s in "fb"])
         gates, inner = (np.stack([np.ascontiguousarray((p["u" + s][:, part] * half).T) for s in "fb"]) for part in (slice(0, 2 * H), slice(2 * H, None)))
         # rows of the attention layer, and the output unit as one more
-        heads = [np.ascontiguousarray(np.concatenate([p["a"][k * H : (k + 1) * H], p["o"][k * H : (k + 1) * H, None]], axis=1).T) for k in (0, 1)]
+        heads = np.stack([np.ascontiguousarray(np.concatenate([p["a"][k * H : (k + 1) * H], p["o"][k * H : (k + 1) * H, None]], axis=1).T) for k in (0, 1)])
+        attention, shift = p["av"][None], np.float32(np.abs(p["av"]).sum())  # no weight overflows
         out = np.empty(max(0, len(at) - WINDOW + 1), np.float32)
         for a in range(0, len(out), most):
             xs = np.ascontiguousarray(table[:, :, at[a : min(a + most, len(out)) + WINDOW - 1]])
             for b in range(0, min(most, len(out) - a), block):
                 n = min(block, most - b, len(out) - a - b)
                 h, g, c, rh = np.zeros((2, H, n), np.float32), np.empty((2, 2 * H, n), np.float32), np.empty((2, H, n), np.float32), np.empty((2, H, n), np.float32)
-                e = np.empty((2, WINDOW, K + 1, n), np.float32)
+                e, weights, total = np.empty((WINDOW // 2, 2, H + 1, n), np.float32), np.zeros((2, 1, n), np.float32), np.zeros((2, 1, n), np.float32)
+                both, w = np.empty((2, H + 1, n), np.float32), np.empty((2, 1, n), np.float32)
                 for t in range(WINDOW):
                     u = WINDOW - 1 - t
                     np.matmul(gates, h, out=g)
                     g[0] += xs[0, : 2 * H, b + t : b + t + n]
                     g[1] += xs[1, : 2 * H, b + u : b + u + n]
                     np.tanh(g, out=g)
-                    g += np.float32(1)
+                    g += one
                     np.multiply(g[:, H:], h, out=rh)
                     np.matmul(inner, rh, out=c)
                     c[0] += xs[0, 2 * H :, b + t : b + t + n]
@@ -228,13 +229,17 @@ class Network:
                     c *= g[:, :H]
                     c *= half
                     h += c
-                    np.matmul(heads[0], h[0], out=e[0, t])
-                    np.matmul(heads[1], h[1], out=e[1, u])
-                e = e[0] + e[1]
-                q = e[:, K].copy()
-                s = np.einsum("k,tkn->tn", p["av"], np.tanh(e[:, :K]))
-                s = np.exp(s - s.max(axis=0))
-                out[a + b : a + b + n] = _sigmoid((s * q).sum(axis=0) / s.sum(axis=0) + p["ob"][0])
+                    if t < WINDOW // 2:
+                        np.matmul(heads, h, out=e[t])
+                    else:  # the forward state of step t meets the backward one of step t, and so do those of step u
+                        np.matmul(heads, h, out=both)
+                        both += e[u][::-1]
+                        np.tanh(both[:, :H], out=both[:, :H])
+                        np.matmul(attention, both[:, :H], out=w)
+                        w -= shift
+                        weights += np.exp(w, out=w)
+                        total += np.multiply(w, both[:, H:], out=w)
+                out[a + b : a + b + n] = _sigmoid(total.sum(axis=(0, 1)) / weights.sum(axis=(0, 1)) + p["ob"][0])
         return out
 
 
@@ -328,7 +333,7 @@ def score(docs: DataFrame, model: tuple[Network, float] | None) -> DataFrame:
         model = shared.value
         for batch in batches:
             text, ids = flat(batch.column("text")), batch.column("doc_id")
-            for a, b in slices(text):
+            for a, b in slices(text, 1 << 20):
                 if model is None:
                     cols = [pa.nulls(b - a, pa.float64()), pa.array([0] * (b - a), pa.int64()), pa.nulls(b - a, pa.int64()), pa.array([False] * (b - a))]
                 else:
@@ -336,9 +341,12 @@ def score(docs: DataFrame, model: tuple[Network, float] | None) -> DataFrame:
                     x = Inputs(text.slice(a, b - a), net.vocabulary)
                     s = net.scores(x)
                     best, where = np.zeros(b - a), np.full(b - a, -1)
-                    order = np.lexsort((x.offset, -s, x.row))
-                    top = order[np.r_[True, x.row[order][1:] != x.row[order][:-1]]] if len(order) else order
-                    best[x.row[top]], where[x.row[top]] = s[top], x.offset[top]
+                    have = np.flatnonzero(x.n_windows)
+                    if len(have):  # windows come in order of row and place
+                        best[have] = np.maximum.reduceat(s, np.cumsum(x.n_windows)[have] - x.n_windows[have])
+                        top = np.flatnonzero(s == best.astype(np.float32)[x.row])
+                        rows, first = np.unique(x.row[top], return_index=True)
+                        where[rows] = x.offset[top[first]]
                     cols = [pa.array(np.round(best, 5)), pa.array(x.n_windows.astype(np.int64)), pa.array(where, pa.int64(), mask=where < 0), pa.array((x.n_windows > 0) & (best >= least))]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *cols], ["doc_id", "score", "n_windows", "worst_word", "toxic"])
 
