@@ -45,7 +45,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashing.nearest(table(spark, sf_dir, "embeddings"))
+    return hashing.search(table(spark, sf_dir, "embeddings"))
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
