@@ -8,14 +8,14 @@ fingerprint is the set of a document's digests, each weighing its chunk's length
 
     containment of A in X = bytes of A's digests that are also in X / bytes of A's digests.
 
-`fingerprints` measures each document against the rest of the corpus (`containment`), and against the
-origin that holds most of it: the origin of a digest is the document with the least doc_id that has it.
-`containment_pairs` finds every pair of documents with a containment of at least a threshold, `with_containers` adds
-the containers of each document to its row.
+`fingerprints` measures each document against the rest of the corpus (`containment`), against its origin, the document
+of the least id that holds most of it, and against every other text: the links of a document are the different
+fingerprints that hold at least a threshold of it. They are found exactly, by `container_pairs` among one representative of each fingerprint.
 
 Defined results: null and empty texts have no chunk, an empty fingerprint and containment 0. Rows with a
 null doc_id are left out. Repeated rows of one doc_id are one document (their digests are joined) and
-give one row. An empty table gives no rows.
+give one row. Ties go to the least id. Very long texts are chunked whole. An empty table gives no rows. Extra columns are
+left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import checkpoint, flat, slices
+from quillspark.llm.shared import checkpoint, flat, slices, stored, trimmed, unit
 
 LEAST, NORMAL, MOST, BITS = 64, 256, 1024, 8
 # about 49 bytes a chunk: passages of 50 words hold whole chunks
@@ -100,123 +99,240 @@ def chunk_table(docs: DataFrame, least: int = LEAST, normal: int = NORMAL, most:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digests array<long>, sizes array<int>")
 
 
-def _holdings(chunked: DataFrame) -> DataFrame:
-    """doc_id, digest, size: the set of each document that has a digest."""
-    rows = chunked.filter("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("digests", "sizes")).alias("x"))
-    return rows.select("doc_id", F.col("x.digests").alias("digest"), F.col("x.sizes").alias("size"))
+def documents(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, digests, sizes: one row a document; only rows whose doc_id occurs again are shuffled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    again = checkpoint(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not again.count():
+        return chunk_table(rows, **how)
+    merged = chunk_table(rows.join(again, "doc_id", "left_semi"), **how).groupBy("doc_id").agg(F.flatten(F.collect_list(F.arrays_zip("digests", "sizes"))).alias("z"))
+    once = merged.select("doc_id", F.array_distinct("z").alias("z")).select("doc_id", F.col("z.digests").alias("digests"), F.col("z.sizes").alias("sizes"))
+    return chunk_table(rows.join(again, "doc_id", "left_anti"), **how).unionByName(once)
 
 
-def fingerprints(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_chunks, n_bytes, fingerprint, containment, earlier, origin_id, origin_containment.
+def _lists(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Length of each row's lists, and their values end to end."""
+    cols = [flat(batch.column(x)) for x in names]
+    sizes = cols[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, [c.flatten().to_numpy(zero_copy_only=False) for c in cols]
 
-    containment: share of the bytes whose digests any other document has; earlier: those that a
-    document with a smaller id has; origin_id: the origin of most of those bytes, the least id among equals.
-    n_bytes counts each digest once. Texts stay where they are: the digests are shuffled to find who shares
-    them (least and greatest holder, combined before the shuffle), to be joined with that, where Spark
-    splits skewed digests, and by document.
-    """
-    rows = chunk_table(docs, **how).filter("doc_id is not null").select("doc_id", F.explode_outer(F.arrays_zip("digests", "sizes")).alias("x"))
-    held = rows.select("doc_id", F.col("x.digests").alias("digest"), F.col("x.sizes").alias("size"))
-    shared = held.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).filter("origin <> last").select("digest", "origin")
-    each = held.join(shared, "digest", "left").repartition("doc_id").dropDuplicates(["doc_id", "digest"])
-    before = F.when(F.col("origin") < F.col("doc_id"), F.col("origin"))
-    part = each.groupBy("doc_id", before.alias("before")).agg(
-        F.count("digest").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.sum(F.when(F.col("origin").isNotNull(), F.col("size")).otherwise(0)).alias("shared"), F.collect_list("digest").alias("digests")
-    )
-    doc = part.groupBy("doc_id").agg(
-        F.sum("n").alias("n_chunks"), F.sum("bytes").alias("n_bytes"), F.array_sort(F.flatten(F.collect_list("digests"))).alias("fingerprint"),
-        F.sum("shared").alias("shared"), F.sum(F.when(F.col("before").isNotNull(), F.col("bytes")).otherwise(0)).alias("before"),
-        F.max(F.when(F.col("before").isNotNull(), F.struct("bytes", (-F.col("before")).alias("origin")))).alias("best"),
-    )
-    share = lambda c: F.when(F.col("n_bytes") > 0, F.round(c / F.col("n_bytes"), 6))
-    none = F.lit(0.0)
-    return doc.select(
-        "doc_id", "n_chunks", "n_bytes", "fingerprint", F.coalesce(share(F.col("shared")), none).alias("containment"), F.coalesce(share(F.col("before")), none).alias("earlier"),
-        (-F.col("best.origin")).alias("origin_id"), share(F.col("best.bytes")).alias("origin_containment"),
-    )
 
+def _summaries(chunked: DataFrame) -> DataFrame:
+    """doc_id, n_chunks, n_bytes and a hash of 128 bits of the set of digests; null hashes for empty sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, (digests, sizes) = _lists(batch, "digests", "sizes")
+            ends = np.cumsum(n)
+            total = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
+            prints = [xxhash.xxh3_128_digest(np.sort(digests[e - k : e]).tobytes()) if k else b"" for e, k in zip(ends.tolist(), n.tolist())]
+            halves = np.frombuffer(b"".join(x or bytes(16) for x in prints), np.int64).reshape(-1, 2)
+            none = n == 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n), pa.array(total[ends] - total[ends - n]), pa.array(halves[:, 0], mask=none), pa.array(halves[:, 1], mask=none)], ["doc_id", "n_chunks", "n_bytes", "k1", "k2"]
+            )
 
-def containment_pairs(docs: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
-    """a, b, containment: every ordered pair of documents with a containment of a in b of at least the threshold.
+    return chunked.mapInArrow(run, "doc_id long, n_chunks long, n_bytes long, k1 long, k2 long")
+
+
+def _common(docs: DataFrame, chunked: DataFrame, packed: int = 1 << 20, part: int = 64, **how) -> DataFrame:
+    """doc_id, digest, size, origin, df: the digests that several documents have, with the least holder and their number.
+
+    Digests travel packed by bucket, about 11 bytes each. Those that a sample of one document in `part` shows to be frequent (more
+    than one in 2,000 documents: at most 2,000 times the chunks of a document) don't meet in one task: each stays with
+    its own document, and what is needed of all its holders is summed before the shuffle.
+    """
+    spark = docs.sparkSession
+    some = docs.filter(unit(F.col("doc_id").cast("long"), 41) < 1 / part)
+    times = chunk_table(some, **how).select(F.explode("digests").alias("digest")).groupBy("digest").count()
+    hot = np.sort(np.array([r[0] for r in times.filter(F.col("count") >= max(64, some.count() // 2000)).select("digest").collect()], np.int64))
+    shared = spark.sparkContext.broadcast(hot)
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold: list = []
+
+        def flush() -> pa.RecordBatch:
+            ids, digests, sizes = (np.concatenate(x) for x in zip(*hold))
+            hold.clear()
+            frequent = np.isin(digests, shared.value)
+            bucket = (digests.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)
+            bucket = np.where(frequent, ids % buckets - buckets, bucket.astype(np.int64))
+            order = np.lexsort((ids, bucket))
+            bucket, ids, digests, sizes = bucket[order], ids[order], digests[order], sizes[order].astype(np.int32)
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            data = []
+            for a, z in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist()):
+                # bytes of equal weight side by side, so that the high ones take no room when compressed
+                data.append(digests[a:z].tobytes() + ids[a:z].view(np.uint8).reshape(-1, 8).T.tobytes() + sizes[a:z].view(np.uint8).reshape(-1, 4).T.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(data, pa.binary())], ["bucket", "data"])
+
+        waiting = 0
+        for batch in batches:
+            n, (digests, sizes) = _lists(batch, "digests", "sizes")
+            if len(digests):
+                hold.append((np.repeat(batch.column("doc_id").to_numpy(), n), digests, sizes))
+                waiting += len(digests)
+                if waiting >= packed:
+                    yield flush()
+                    waiting = 0
+        if hold:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(rows: list[bytes]) -> pa.RecordBatch:
+            parts_ = []
+            for x in rows:
+                k = len(x) // 20
+                raw = np.frombuffer(x, np.uint8)
+                parts_.append((raw[: 8 * k].view(np.int64), np.ascontiguousarray(raw[8 * k : 16 * k].reshape(8, k).T).view(np.int64).ravel(), np.ascontiguousarray(raw[16 * k :].reshape(4, k).T).view(np.int32).ravel()))
+            return tuple(np.concatenate(x) for x in zip(*parts_))
+
+        def handle(bucket: int, rows: list[bytes]) -> pa.RecordBatch:
+            digest, ids, size = opened(rows)
+            if bucket < 0:
+                origin, df, keep = pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), slice(None)
+            else:
+                order = np.lexsort((ids, digest))
+                digest, ids, size = digest[order], ids[order], size[order]
+                first = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]])
+                n = np.diff(np.append(first, len(digest)))
+                keep = np.repeat(n > 1, n)
+                origin, df = pa.array(np.repeat(ids[first], n)[keep]), pa.array(np.repeat(n, n)[keep])
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(digest[keep]), pa.array(size[keep]), origin, df], ["doc_id", "digest", "size", "origin", "df"])
+
+        now, rows = None, []
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+                if bucket != now and rows:
+                    yield handle(now, rows)
+                    rows = []
+                now = bucket
+                rows.append(data)
+        if rows:
+            yield handle(now, rows)
+
+    spread = chunked.mapInArrow(trimmed(pack), "bucket long, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = stored(spread.mapInArrow(trimmed(meet), "doc_id long, digest long, size int, origin long, df long"))
+    if not len(hot):
+        return found
+    sums = found.filter("df is null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
+    whole = found.join(F.broadcast(sums), "digest", "left")  # as many rows as `hot` has at most
+    return whole.select("doc_id", "digest", "size", F.coalesce("origin", "least").alias("origin"), F.coalesce("df", "times").alias("df")).filter("df > 1")
+
+
+def _held(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_chunks, n_bytes, same_as, n_same of each document; of those that share digests, doc_id, total, is_rep and the shared digests in order of their number of holders."""
+    chunked = documents(docs, **how)
+    own = stored(_summaries(chunked))
+    same = own.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("same_as"), F.count("*").alias("n_same"))
+    own = stored(own.join(same, ["k1", "k2"], "left").select("doc_id", "n_chunks", "n_bytes", "same_as", "n_same"))
+    entry = F.struct("df", "digest", "size", "origin")
+    lists = _common(docs, chunked, **how).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("z"))
+    rows = lists.join(own.select("doc_id", F.col("n_bytes").alias("total"), (F.col("same_as") == F.col("doc_id")).alias("is_rep")), "doc_id")
+    return own, stored(rows.select("doc_id", "total", "is_rep", F.col("z.digest").alias("digests"), F.col("z.size").alias("sizes"), F.col("z.origin").alias("origins")))
+
+
+def _shares(held: DataFrame) -> DataFrame:
+    """doc_id, shared, before, origin_id, origin_bytes: bytes that others have, that an earlier document has, and the origin of most."""
 
-    Exact. Documents with one and the same fingerprint stand for one in the search. A document can reach the
-    threshold only through its rarest digests, those that make up more than 1 - threshold of its
-    bytes: only these seek partners, so a passage that many documents share brings nobody together
-    unless they share more. The result itself grows with the square of a group of copies.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, (sizes, origins) = _lists(batch, "sizes", "origins")
+            ids = batch.column("doc_id").to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            past = origins < ids[row]
+            r, o, z = row[past], origins[past], sizes[past]
+            order = np.lexsort((o, r))
+            r, o, z = r[order], o[order], z[order]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (o[1:] != o[:-1])]) if len(r) else np.zeros(0, np.int64)
+            each = np.add.reduceat(z, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+            best = np.lexsort((o[first], -each, r[first]))
+            best = best[np.r_[True, r[first][best][1:] != r[first][best][:-1]]] if len(best) else best
+            at = r[first][best]
+            origin, most = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            origin[at], most[at] = o[first][best], each[best]
+            none = np.ones(len(n), bool)
+            none[at] = False
+            sums = [np.bincount(row, sizes, len(n)).astype(np.int64), np.bincount(r, z, len(n)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums), pa.array(origin, mask=none), pa.array(most, mask=none)], ["doc_id", "shared", "before", "origin_id", "origin_bytes"])
+
+    return held.select("doc_id", "sizes", "origins").mapInArrow(run, "doc_id long, shared long, before long, origin_id long, origin_bytes long")
+
+
+def _pairs(held: DataFrame, threshold: float) -> DataFrame:
+    """a, b, containment between representatives of fingerprints.
+
+    Exact: a document can reach the threshold only through digests beyond those that make up 1 - threshold of its bytes, so only its rarest
+    ones up to there seek partners, those that it alone has coming first. A passage that many documents share brings nobody together unless they share more.
     """
-    held = _holdings(chunk_table(docs, **how)).distinct()
-    print_ = held.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("digest", "size"))).alias("chunks"))
-    same = checkpoint(print_.groupBy("chunks").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("ids")))
-    rows = same.select("rep", F.explode("chunks").alias("x")).select("rep", F.col("x.digest").alias("digest"), F.col("x.size").alias("size"))
-    rare = rows.groupBy("digest").agg(F.count("*").alias("df"))
-    total = rows.groupBy("rep").agg(F.sum("size").alias("total"))
-    order = W.partitionBy("rep").orderBy("df", "digest").rowsBetween(W.unboundedPreceding, -1)
-    prefix = rows.join(rare, "digest").join(total, "rep").withColumn("past", F.coalesce(F.sum("size").over(order), F.lit(0))).filter(F.col("past") <= (1 - threshold) * F.col("total") + 1e-9).filter("df > 1")
-    meet = prefix.select(F.col("rep").alias("a"), "digest").join(rows.select(F.col("rep").alias("b"), "digest"), "digest").filter("a <> b").select("a", "b").distinct()
-    left = meet.join(rows.select(F.col("rep").alias("a"), "digest", "size"), "a")
-    both = left.join(rows.select(F.col("rep").alias("b"), "digest"), ["b", "digest"]).groupBy("a", "b").agg(F.sum("size").alias("common"))
-    reps = both.join(total.withColumnRenamed("rep", "a"), "a").select("a", "b", (F.col("common") / F.col("total")).alias("containment")).filter(F.col("containment") >= threshold - 1e-12)
-    own = same.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("containment"))
-    ids = same.select("rep", F.explode("ids").alias("id"))
-    full = reps.unionByName(own).join(ids.withColumnRenamed("rep", "a").withColumnRenamed("id", "x"), "a").join(ids.withColumnRenamed("rep", "b").withColumnRenamed("id", "y"), "b")
-    return full.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.round("containment", 6).alias("containment"))
-
-
-def with_containers(docs: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
-    """The columns of `fingerprints` and same_as, n_same, container_id, container_containment, containers.
-
-    same_as: the least of the n_same doc_ids with the same fingerprint, itself included. containers: all others that hold
-    at least the threshold, as (doc_id, containment) from the fullest on; one doc_id stands for all that are same_as it, so
-    groups of copies don't make it grow. container_id: the one that holds most, copies of the same fingerprint included,
-    the least id among equals; null where none reaches the threshold.
-
-    The pairs are those of `containment_pairs`, found the same way among the digests that several documents have. Digests are
-    shuffled once to find these, and once by document; only the shared ones go on.
+    reps = held.filter("is_rep")
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, (digests, sizes) = _lists(batch, "digests", "sizes")
+            row = np.repeat(np.arange(len(n)), n)
+            total = batch.column("total").to_numpy()
+            upto = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
+            start = np.cumsum(n) - n
+            past = upto[:-1] - upto[start][row] + (total - (upto[start + n] - upto[start]))[row]
+            some = past <= (1 - threshold) * total[row] + 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_id").to_numpy()[row[some]]), pa.array(digests[some])], ["a", "digest"])
+
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, (d, z) = _lists(batch, "da", "za")
+            m, (e,) = _lists(batch, "db")
+            row, other = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+            # digests that occur on either side, numbered; a pair's own number before them
+            names, at = np.unique(np.concatenate([d, e]), return_inverse=True)
+            mine, theirs = row * len(names) + at[: len(d)], other * len(names) + at[len(d) :]
+            common = np.bincount(row, z * np.isin(mine, theirs), len(n))
+            share = common / batch.column("total").to_numpy()
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.round(share, 6))], ["a", "b", "containment"])
+            yield out.filter(pa.array(share >= threshold - 1e-12))
+
+    seekers = reps.select("doc_id", "total", "digests", "sizes").mapInArrow(seek, "a long, digest long")
+    meet = seekers.join(reps.select(F.col("doc_id").alias("b"), F.explode("digests").alias("digest")), "digest").filter("a <> b").select("a", "b").distinct()
+    left = meet.join(reps.select(F.col("doc_id").alias("a"), "total", F.col("digests").alias("da"), F.col("sizes").alias("za")), "a")
+    both = left.join(reps.select(F.col("doc_id").alias("b"), F.col("digests").alias("db")), "b").select("a", "b", "total", "da", "za", "db")
+    return both.mapInArrow(trimmed(overlap), "a long, b long, containment double")
+
+
+def container_pairs(docs: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
+    """a, b, containment: every ordered pair of different fingerprints with a containment of a in b of at least the threshold, by the least doc_id of each.
+
+    `fingerprints` says which documents have the fingerprint of a representative (`same_as`).
     """
-    chunked = chunk_table(docs, **how).filter("doc_id is not null")
-    merged = chunked.groupBy("doc_id").agg(F.flatten(F.collect_list("digests")).alias("d"), F.flatten(F.collect_list("sizes")).alias("s"))
-    zipped = merged.select("doc_id", F.array_sort(F.array_distinct(F.arrays_zip("d", "s"))).alias("z"))
-    prints = checkpoint(zipped.select("doc_id", F.col("z.d").alias("fingerprint"), F.aggregate("z", F.lit(0).cast("long"), lambda n, x: n + x["s"]).alias("n_bytes")))
-    once = _holdings(chunked).repartition("digest").dropDuplicates(["digest", "doc_id"])
-    among = W.partitionBy("digest")
-    common = checkpoint(once.withColumn("origin", F.min("doc_id").over(among)).withColumn("last", F.max("doc_id").over(among)).filter("origin <> last").drop("last"))
-
-    # shares of each document, as in fingerprints
-    before = F.when(F.col("origin") < F.col("doc_id"), F.col("origin"))
-    part = common.groupBy("doc_id", before.alias("before")).agg(F.sum("size").alias("bytes"))
-    shares = part.groupBy("doc_id").agg(
-        F.sum("bytes").alias("shared"), F.sum(F.when(F.col("before").isNotNull(), F.col("bytes")).otherwise(0)).alias("before"),
-        F.max(F.when(F.col("before").isNotNull(), F.struct("bytes", (-F.col("before")).alias("origin")))).alias("best"),
-    )
+    return _pairs(_held(docs, **how)[1], threshold)
+
 
-    # one representative of each fingerprint; its hash has 128 bits
-    keys = prints.filter("n_bytes > 0").select("doc_id", "n_bytes", F.xxhash64("fingerprint", F.lit(1)).alias("k1"), F.xxhash64("fingerprint", F.lit(2)).alias("k2"))
-    same = checkpoint(keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_list("doc_id")).alias("ids"), F.first("n_bytes").alias("total")))
-    rows = common.join(same.select(F.col("rep").alias("doc_id"), "total"), "doc_id").select(F.col("doc_id").alias("rep"), "digest", "size", "total")
-    rows = checkpoint(rows)
-    df = rows.groupBy("digest").agg(F.count("*").alias("df"))
-    held, own = W.partitionBy("rep"), W.partitionBy("rep").orderBy("df", "digest").rowsBetween(W.unboundedPreceding, -1)
-    # digests that only one document has come first among the rarest
-    past = F.col("total") - F.sum("size").over(held) + F.coalesce(F.sum("size").over(own), F.lit(0))
-    prefix = rows.join(df, "digest").withColumn("past", past).filter(F.col("past") <= (1 - threshold) * F.col("total") + 1e-9).filter("df > 1")
-    right = rows.select(F.col("rep").alias("b"), "digest")
-    meet = prefix.select(F.col("rep").alias("a"), "digest").join(right, "digest").filter("a <> b").select("a", "b").distinct()
-    both = meet.join(rows.withColumnRenamed("rep", "a"), "a").join(right, ["b", "digest"]).groupBy("a", "b", "total").agg(F.sum("size").alias("sum"))
-    pairs = both.select("a", "b", (F.col("sum") / F.col("total")).alias("containment")).filter(F.col("containment") >= threshold - 1e-12)
-
-    entry = F.struct((-F.round("containment", 6)).alias("less"), F.col("b").alias("doc_id"))
-    best = pairs.groupBy(F.col("a").alias("rep")).agg(F.array_sort(F.collect_list(entry)).alias("held"))
-    member = same.join(best, "rep", "left").select(F.explode("ids").alias("doc_id"), F.col("rep").alias("same_as"), F.size("ids").cast("long").alias("n_same"), F.slice("ids", 1, 2).alias("two"), "held")
-    # the first two ids name a partner for each of a group
-    copy = F.when(F.col("n_same") > 1, F.when(F.col("two")[0] == F.col("doc_id"), F.col("two")[1]).otherwise(F.col("two")[0]))
-    alike = F.when(copy.isNotNull(), F.struct(F.lit(-1.0).alias("less"), copy.alias("doc_id")))
-    found = member.withColumn("first", F.least(F.get("held", F.lit(0)), alike)).drop("two")
-
-    named = F.transform("held", lambda x: F.struct(x["doc_id"].alias("doc_id"), (-x["less"]).alias("containment")))
-    none = F.array().cast("array<struct<doc_id: bigint, containment: double>>")
+def fingerprints(docs: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
+    """doc_id, n_chunks, n_bytes, containment, earlier, origin_id, origin_containment, same_as, n_same, container_id, container_containment, n_containers.
+
+    containment: share of the bytes whose digests any other document has; earlier: those that a document with a smaller id has;
+    origin_id: the origin of most of those bytes, where the origin of a digest is its least holder. n_bytes counts each digest once.
+    same_as: the least of the n_same doc_ids with the same fingerprint, itself included. n_containers: how many other fingerprints hold at
+    least `threshold` of it. container_id: the document that holds most, one of the same fingerprint first, then the least id; null where
+    none reaches the threshold.
+
+    Shuffled: the digests once, packed; those that several documents have once more, by document; and of the candidate pairs the
+    digests that either has in common with anyone. Texts stay where they are and are read three times.
+    """
+    own, held = _held(docs, **how)
+    best = _pairs(held, threshold).groupBy(F.col("a").alias("same_as")).agg(F.count("*").alias("links"), F.max(F.struct("containment", (-F.col("b")).alias("less"))).alias("most"))
+    copy = F.when(F.col("n_same") > 1, F.when(F.col("same_as") == F.col("doc_id"), F.col("copy")).otherwise(F.col("same_as")))
+    second = _second(own)
+    rows = own.join(second, "same_as", "left").join(best, "same_as", "left").join(_shares(held), "doc_id", "left")
     share = lambda x: F.when(F.col("n_bytes") > 0, F.round(x / F.col("n_bytes"), 6))
-    return prints.join(shares.join(found, "doc_id", "full"), "doc_id", "left").select(
-        "doc_id", F.size("fingerprint").cast("long").alias("n_chunks"), "n_bytes", "fingerprint", F.coalesce(share(F.col("shared")), F.lit(0.0)).alias("containment"), F.coalesce(share(F.col("before")), F.lit(0.0)).alias("earlier"),
-        (-F.col("best.origin")).alias("origin_id"), share(F.col("best.bytes")).alias("origin_containment"),
-        "same_as", "n_same", F.col("first.doc_id").alias("container_id"), (-F.col("first.less")).alias("container_containment"), F.coalesce(named, none).alias("containers"),
+    none = F.lit(0.0)
+    return rows.select(
+        "doc_id", "n_chunks", "n_bytes", F.coalesce(share(F.col("shared")), none).alias("containment"), F.coalesce(share(F.col("before")), none).alias("earlier"), "origin_id", share(F.col("origin_bytes")).alias("origin_containment"),
+        "same_as", "n_same", F.coalesce(copy, -F.col("most.less")).alias("container_id"), F.when(copy.isNotNull(), F.lit(1.0)).otherwise(F.col("most.containment")).alias("container_containment"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_containers"),
     )
+
+
+def _second(own: DataFrame) -> DataFrame:
+    """same_as, copy: of each fingerprint that several documents have, the second least doc_id."""
+    return own.filter("n_same > 1 and doc_id <> same_as").groupBy("same_as").agg(F.min("doc_id").alias("copy"))

@@ -37,7 +37,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.with_containers(table(spark, sf_dir, "documents"), **chunks.FINE)
+    return chunks.fingerprints(table(spark, sf_dir, "documents"), **chunks.FINE)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

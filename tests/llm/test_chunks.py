@@ -44,35 +44,87 @@ def brute(rows):
     return sets
 
 
-def test_fingerprints_and_pairs_against_brute_force(spark):
-    base = words(900, 7)
-    rows = [(k, base[k * 30 :] + words(60, 100 + k), "en", "s") for k in range(12)] + [(20 + k, words(300, 200 + k), "en", "s") for k in range(8)] + [(40, base, "en", "s"), (41, base, "en", "s")]
-    docs = frame(spark, rows)
-    sets = brute(chunks.chunk_table(docs).collect())
-    for r in chunks.fingerprints(docs).collect():
-        mine, total = sets[r.doc_id], sum(sets[r.doc_id].values())
-        others = [d for d in sets if d != r.doc_id]
-        assert r.fingerprint == sorted(mine) and r.n_bytes == total and r.n_chunks == len(mine)
-        assert abs(r.containment - sum(z for x, z in mine.items() if any(x in sets[d] for d in others)) / total) < 1e-6
+def by_hand(rows, threshold):
+    """The rows of fingerprints and of container_pairs, from the digests of each document."""
+    sets, out, pairs = brute(rows), {}, {}
+    prints = {}
+    for d in sorted(sets):
+        if sets[d]:
+            prints.setdefault(frozenset(sets[d]), []).append(d)
+    reps = [ids[0] for ids in prints.values()]
+    for d, mine in sets.items():
+        total = sum(mine.values())
+        share = lambda x: round(x / total, 6) if total else 0.0  # noqa: E731, B023
+        others = [o for o in sets if o != d]
         held = {}
         for x, z in mine.items():
-            first = min(d for d in sets if x in sets[d])
-            if first < r.doc_id:
+            first = min(o for o in sets if x in sets[o])
+            if first < d:
                 held[first] = held.get(first, 0) + z
-        assert abs(r.earlier - sum(held.values()) / total) < 1e-6
-        assert r.origin_id == (min(held, key=lambda d: (-held[d], d)) if held else None)
-    want = {(a, b): round(sum(z for x, z in sets[a].items() if x in sets[b]) / sum(sets[a].values()), 6) for a in sets for b in sets if a != b}
-    got = {(r.a, r.b): r.containment for r in chunks.containment_pairs(docs, 0.3).collect()}
-    assert got == {k: v for k, v in want.items() if v >= 0.3} and got
+        origin = min(held, key=lambda o: (-held[o], o)) if held else None
+        same = prints.get(frozenset(mine), [])
+        inside = {r: sum(z for x, z in mine.items() if x in sets[r]) / total for r in reps if total and r not in same}
+        links = {r: round(c, 6) for r, c in inside.items() if c >= threshold - 1e-12}
+        if d in reps:
+            pairs |= {(d, r): c for r, c in links.items()}
+        copies = [o for o in same if o != d]
+        best = (copies[0], 1.0) if copies else min(((r, c) for r, c in links.items()), key=lambda x: (-x[1], x[0]), default=(None, None))
+        out[d] = (len(mine), total, share(sum(z for x, z in mine.items() if any(x in sets[o] for o in others))), share(sum(held.values())), origin, share(held[origin]) if held else None, same[0] if same else None, len(same) or None, *best, len(links))
+    return out, pairs
+
+
+NAMES = ["n_chunks", "n_bytes", "containment", "earlier", "origin_id", "origin_containment", "same_as", "n_same", "container_id", "container_containment", "n_containers"]
+
+
+def shown(df):
+    return {r.doc_id: tuple(r[x] for x in NAMES) for r in df.collect()}
+
+
+def family():
+    base = words(900, 7)
+    rows = [(k, base[k * 30 :] + words(60, 100 + k), "en", "s") for k in range(12)] + [(20 + k, words(300, 200 + k), "en", "s") for k in range(8)] + [(40, base, "en", "s"), (41, base, "en", "s")]
+    a, b, c = words(200, 1), words(200, 2), words(150, 3)
+    rows += [(51, c, "en", "s"), (52, f"{words(80, 4)} {c} {words(80, 5)}", "en", "s"), (53, a, "en", "s"), (54, f"{a} {b}", "en", "s"), (55, f"{a} {b}", "en", "s"), (56, f"{a} {b} {words(20, 6)}", "en", "s"), (57, words(90, 8), "en", "s"), (58, None, "en", "s"), (53, words(20, 9), "en", "s")]
+    return rows
+
+
+def test_rows_and_pairs_against_brute_force(spark):
+    for how in ({}, chunks.FINE):
+        docs = frame(spark, family())
+        want, pairs = by_hand(chunks.chunk_table(docs, **how).collect(), 0.3)
+        assert shown(chunks.fingerprints(docs, 0.3, **how)) == want
+        assert {(r.a, r.b): r.containment for r in chunks.container_pairs(docs, 0.3, **how).collect()} == pairs and pairs
+    fine = shown(chunks.fingerprints(docs, **chunks.FINE))
+    at = NAMES.index("container_id")
+    assert fine[51][at] == 52 and fine[51][at + 1] > 0.8  # a short early document within a later one
+    assert fine[54][at : at + 2] == (55, 1.0) and fine[55][at : at + 2] == (54, 1.0) and fine[56][at] == 54
+
+
+def test_frequent_digests_take_their_own_way(spark):
+    line = words(40, 77, least=5)
+    rows = [(k, f"{words(30, 100 + k)} {line} {words(30, 500 + k)}", "en", "s") for k in range(150)] + [(200 + k, line, "en", "s") for k in range(3)] + [(300, f"{line} {line}", "en", "s")]
+    docs = frame(spark, rows)
+    want, _ = by_hand(chunks.chunk_table(docs, **chunks.FINE).collect(), 0.5)
+    chunked = chunks.documents(docs, **chunks.FINE)
+    table = lambda part: sorted(map(tuple, chunks._common(docs, chunked, part=part, **chunks.FINE).select("doc_id", "digest", "size", "origin", "df").collect()))
+    assert table(1) == table(10**9) and table(1)
+    assert shown(chunks.fingerprints(docs, **chunks.FINE)) == want and want[200][NAMES.index("n_containers")] > 50
+
+
+def test_packets_of_few_digests(spark):
+    docs = frame(spark, family())
+    chunked = chunks.documents(docs)
+    small, large = (sorted(map(tuple, chunks._common(docs, chunked, packed=k).collect())) for k in (3, 1 << 20))
+    assert small == large and small
 
 
 def test_awkward_rows(spark):
-    got = {r.doc_id: r for r in chunks.fingerprints(awkward(spark)).collect()}
-    assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8, 9}
-    assert got[2].origin_id == 1 and got[2].containment == got[2].origin_containment == 1.0 and got[1].origin_id is None and got[1].containment == 1.0
-    assert got[3].n_chunks == got[4].n_chunks == 0 and got[3].containment == 0.0 and got[3].fingerprint == []
-    assert got[6].n_bytes > 200_000
-    assert chunks.fingerprints(empty(spark)).count() == 0 and chunks.containment_pairs(empty(spark)).count() == 0
+    docs = awkward(spark)
+    want, _ = by_hand(chunks.chunk_table(docs).collect(), 0.5)
+    got = shown(chunks.fingerprints(docs))
+    assert got == want and set(got) == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    assert got[3][:3] == got[4][:3] == (0, 0, 0.0) and got[6][1] > 200_000
+    assert chunks.fingerprints(empty(spark)).count() == 0 and chunks.container_pairs(empty(spark)).count() == 0
 
 
 def test_fine_chunks_find_short_passages_and_edited_copies(spark):
@@ -84,31 +136,8 @@ def test_fine_chunks_find_short_passages_and_edited_copies(spark):
         for i in (20, 80, 120, 180):
             own[i] = words(1, 1000 * k + i, "qrstuvwxyz")
         edited += [(100 + 2 * k, words(200, 700 + k), "en", "s"), (101 + 2 * k, " ".join(own), "en", "s")]
-    got = {r.doc_id: r for r in chunks.with_containers(frame(spark, rows + edited), 0.02, **chunks.FINE).select("doc_id", "containment", "containers").collect()}
-    assert sum(any(c.doc_id == 2 * k for c in got[2 * k + 1].containers) for k in range(40)) >= 36
-    near = [got[k].containment for k in range(100, 180)]
+    docs = frame(spark, rows + edited)
+    found = {(r.a, r.b) for r in chunks.container_pairs(docs, 0.02, **chunks.FINE).collect()}
+    assert sum((2 * k + 1, 2 * k) in found for k in range(40)) >= 36
+    near = [x[2] for d, x in shown(chunks.fingerprints(docs, **chunks.FINE)).items() if d >= 100]
     assert np.mean(near) > 0.55 and min(near) > 0
-
-
-def test_every_container_is_named(spark):
-    a, b, c = words(200, 1), words(200, 2), words(150, 3)
-    whole = f"{a} {b}"
-    rows = [(1, c, "en", "s"), (2, f"{words(80, 4)} {c} {words(80, 5)}", "en", "s"), (3, a, "en", "s"), (4, whole, "en", "s"), (5, whole, "en", "s"), (6, f"{whole} {words(20, 6)}", "en", "s"), (7, words(90, 8), "en", "s"), (8, None, "en", "s")]
-    docs = frame(spark, rows)
-    got = {r.doc_id: r for r in chunks.with_containers(docs, 0.5, **chunks.FINE).collect()}
-    assert set(got) == set(range(1, 9))
-    # a short early document within a later one, and copies
-    assert got[1].container_id == 2 and got[1].container_containment > 0.8 and got[1].origin_id is None
-    assert (got[4].container_id, got[5].container_id, got[5].container_containment, got[4].same_as, got[5].same_as, got[5].n_same) == (5, 4, 1.0, 4, 4, 2)
-    assert {x.doc_id for x in got[3].containers} == {4, 6}
-    # the origin of a part of 6 is 3, yet 4 holds nearly all of it
-    assert got[6].container_id == 4 and got[6].container_containment > 0.8 and got[6].origin_containment < 0.7
-    assert got[7].container_id is None and got[7].containers == [] and got[8].containers == [] and got[8].same_as is None
-    pairs = {(r.a, r.b): r.containment for r in chunks.containment_pairs(docs, 0.5, **chunks.FINE).collect()}
-    ids = {x: [y for y in got if got[y].same_as == x] for x in got}
-    named = {(d, y): c.containment for d in got for c in got[d].containers for y in ids[c.doc_id]} | {(d, y): 1.0 for d in got for y in ids.get(got[d].same_as, []) if y != d}
-    assert pairs == named and pairs
-    cols = ["doc_id", "n_chunks", "n_bytes", "fingerprint", "containment", "earlier", "origin_id", "origin_containment"]
-    for some in (docs, awkward(spark), empty(spark)):
-        shown = lambda df: sorted(map(tuple, df.select(*cols).collect()))
-        assert shown(chunks.with_containers(some)) == shown(chunks.fingerprints(some))
