@@ -210,10 +210,18 @@ class Network:
             xs = np.ascontiguousarray(table[:, :, at[a : min(a + most, len(out)) + WINDOW - 1]])
             for b in range(0, min(most, len(out) - a), block):
                 n = min(block, most - b, len(out) - a - b)
-                h, g, c, rh = np.zeros((2, H, n), np.float32), np.empty((2, 2 * H, n), np.float32), np.empty((2, H, n), np.float32), np.empty((2, H, n), np.float32)
+                h, g, c, rh = np.empty((2, H, n), np.float32), np.empty((2, 2 * H, n), np.float32), np.empty((2, H, n), np.float32), np.empty((2, H, n), np.float32)
                 e, weights, total = np.empty((WINDOW // 2, 2, H + 1, n), np.float32), np.zeros((2, 1, n), np.float32), np.zeros((2, 1, n), np.float32)
                 both, w = np.empty((2, H + 1, n), np.float32), np.empty((2, 1, n), np.float32)
-                for t in range(WINDOW):
+                # the first step has no state before it
+                for k, at_ in ((0, b), (1, b + WINDOW - 1)):
+                    np.tanh(xs[k, :H, at_ : at_ + n], out=g[k, :H])
+                    np.tanh(xs[k, 2 * H :, at_ : at_ + n], out=h[k])
+                g[:, :H] += one
+                h *= g[:, :H]
+                h *= half
+                np.matmul(heads, h, out=e[0])
+                for t in range(1, WINDOW):
                     u = WINDOW - 1 - t
                     np.matmul(gates, h, out=g)
                     g[0] += xs[0, : 2 * H, b + t : b + t + n]
