@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from quillspark.functions.predicates import folded  # noqa: F401
 
-MINOR_ES = "de del la las el los y e o u a al en con por para un una que sin".split()
-MINOR = sorted({*MINOR_ES, *"of the and or in on at to for from by with a an".split()})
-TEX = {"textemdash": "—", "textendash": "–", "ldots": "…", "dots": "…", "alpha": "α", "beta": "β", "gamma": "γ", "textbackslash": "\\", "times": "×", "degree": "°", "S": "§", "copyright": "©", "pounds": "£", "ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "aa": "å", "AA": "Å", "textquoteleft": "‘", "textquoteright": "’", "guillemotleft": "«", "guillemotright": "»"}
-MARKS = {"´": ("aeiouAEIOU", "áéíóúÁÉÍÓÚ"), "`": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"), "¨": ("aeiouAEIOU", "äëïöüÄËÏÖÜ"), "ˆ": ("aeiouAEIOU", "âêîôûÂÊÎÔÛ")}
+PARTICLES = "de del al a en con por para sin sobre la el los las y o u que se su sus".split()  # stay small in a title but for its first word
+_PLANETS = dict(zip("Moon Mercury Venus Earth Mars Jupiter Saturn Uranus Neptune Pluto".split(), "☽☿♀⊕♂♃♄♅♆♇")) | {"Sun": "☉", "Fortune": "⊗", "Ascendant": "Asc", "Retrograde": "℞"}
+_SIGNS = {name: chr(0x2648 + k) for k, name in enumerate("Aries Taurus Gemini Cancer Leo Virgo Libra Scorpio Sagittarius Capricorn Aquarius Pisces".split())}
+_ASPECTS = dict(zip(["Conjunction", "Opposition", "Trine", "Square", "Sextile"], "☌☍△□⚹")) | {a + "Node": c for a, c in (("Asc", "☊"), ("Desc", "☋"))} | {a + "node": c for a, c in (("Asc", "☊"), ("Desc", "☋"))}
+TEX = _PLANETS | _SIGNS | _ASPECTS
 
 
 def chain(d, x, *steps):
@@ -16,41 +17,70 @@ def chain(d, x, *steps):
     return x
 
 
-def slug(d, x, most=80, lower=False, fallback="section"):  # R1
-    s = f"lower({x})" if lower else x
-    s = chain(d, f"trim({s})", (r"[^\p{L}\p{N}\p{M}_\s-]", ""), (r"[\s_]+", "_"))
+def slug(d, x, most=80, lower=False, fallback="section", ascii_only=False):  # R1
+    s = d.plain(x) if ascii_only else d.composed(x)
+    s = f"lower({s})" if lower else s
+    s = chain(d, s, (r"[^\p{L}\p{N}\p{M}_\s-]", ""), (r"^\s+|\s+$", ""), (r"[\s_]+", "_"))
     s = d.rep(f"substr({s}, 1, {most})", r"^[_-]+|[_-]+$", "")
     return f"CASE WHEN {s} = '' THEN {d.lit(fallback)} ELSE {s} END"
 
 
-def diacritics(d, x):  # R5
-    x = chain(d, x, ("ı´", "í"), ("ı`", "ì"), ("ı¨", "ï"), ("ıˆ", "î"), ("´ı", "í"), ("`ı", "ì"), ("¨ı", "ï"), ("ˆı", "î"))
+def diacritics(d, x):  # R5: dotless i and what stands behind it, the umlaut that became a euro sign, marks behind their letters
+    y = chain(d, x, ("ı\\s*[€¨\u0308]", "ï"), ("ı\\s*[´\u0301]", "í"), ("ı\\s*[`\u0300]", "ì"), ("ı\\s*\u0302", "î"), ("ı", "i"))
     for v, u in zip("aouAOU", "äöüÄÖÜ"):
-        x = f"replace({x}, '€{v}', '{u}')"
-    for mark, (plain, done) in MARKS.items():
-        for a, b in zip(plain, done):
-            x = f"replace({x}, {d.lit(mark + a)}, '{b}')"
-    return f"replace(replace({x}, '¸c', 'ç'), '¸C', 'Ç')"
+        y = d.rep(y, rf"€\s?{v}", u)
+    return d.composed(accents_behind(d, f"CASE WHEN {d.like(x, '[ı€]')} THEN {y} ELSE {x} END"))
 
 
-def docling(d, x):  # R6
-    x = f"replace(replace({x}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-    return chain(d, x, (r"(\p{L}) ´ ?([aeiou])", r"\1´\2"), (r"(\p{L})\s+(fi|fl|ff)\s+(\p{Ll})", r"\1\2\3"), (r"[ \t]+([,;:.!?])", r"\1"), (r"\([ \t]+", "("), (r"[ \t]+\)", ")"), (r"[ \t]{2,}", " "))
+ACCENTS = {"´\u0301": ("aeiouAEIOU", "áéíóúÁÉÍÓÚ"), "`\u0300": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"), "¨\u0308": ("aeiouAEIOU", "äëïöüÄËÏÖÜ"), "\u0302": ("aeiouAEIOU", "âêîôûÂÊÎÔÛ"), "¸\u0327": ("cC", "çÇ")}
 
 
-def ordinals(d, x):  # R7: the suffix follows from the number, so 31 enumerated steps
+def accents_behind(d, x):  # a mark behind its letter, a space between them at most
+    done = x
+    for marks, (plain, with_mark) in ACCENTS.items():
+        for a, b in zip(plain, with_mark):
+            done = d.rep(done, f"{a} ?[{marks}]", b)
+    return f"CASE WHEN {d.like(x, '[' + ''.join(ACCENTS) + ']')} THEN {done} ELSE {x} END"
+
+
+def docling(d, x):  # R6: accents, spaces, ligatures that stand alone
+    x = f"replace({accents_behind(d, x)}, 'ı€', 'ï')"
+    for v, u in zip("aouAOU", "äöüÄÖÜ"):
+        x = d.rep(x, rf"€\s?{v}", u)
+    edge = r"(^|[^\p{L}\p{N}_])"
+    x = chain(
+        d, x, (edge + "R ([a-z])", r"\1R\2"), (r"([0-9]) (st|nd|rd|th)([^\p{L}\p{N}_]|$)", r"\1\2\3"), (r"([0-9]) ?: ?([0-9])", r"\1:\2"), (r"([0-9]) ?- ?([0-9])", r"\1-\2"),
+        (r"([\p{L}\p{N}_]) ([\].:;,)])", r"\1\2"), (r"([\[(]) ([\p{L}\p{N}_])", r"\1\2"), (" +", " "),
+    )
+    for _ in range(2):  # some follow upon each other
+        for c, to in LIGATURES.items():
+            x = d.rep(x, f"([a-zA-Z]) {c} ([a-z]+)", rf"\1{to}\2")
+    return x
+
+
+LIGATURES = {"V": "ff", "W": "fi", "X": "fl", "Y": "ffi", "Z": "ffl"}
+
+
+def ordinals(d, x):  # R7: days of a month and houses; the ending follows from the number
     junk = r"(?:nd|rd|st|th|l\s*h|[,\x27’]\s*h|,\s*t|t\s*[\x27’]?\s*I|\}\s*,|v|h)"
-    x = chain(d, x, (r"(^|[^\p{L}\p{N}_])ll(\s*[\x27’,]?\s*[h}])", r"\g11\2".replace(r"\g11", r"\1#11#")), (r"(^|[^\p{L}\p{N}_])I\s*1\s*[\x27’]", r"\1#1st#"))
-    x = f"replace(replace({x}, '#11#', '11'), '#1st#', '1st')"
-    x = d.rep(x, r"(^|[^\p{L}\p{N}_])([0-9]{1,2})\s*[\x27’,]?\s*" + junk + r"([\])\s:;,.]|$)", r"\1<ord \2>\3")
-    for n in range(1, 32):
-        end = "th" if 10 <= n <= 20 or n % 10 not in (1, 2, 3) else ("st", "nd", "rd")[n % 10 - 1]
-        x = f"replace(replace({x}, '<ord {n}>', '{n}{end}'), '<ord {n:02d}>', '{n}{end}')"
-    return d.rep(x, r"<ord ([0-9]+)>", r"\1 th")
+    y = chain(d, x, (r"(^|[^\p{L}\p{N}_])ll(\s*[\x27’,]?\s*[h}])", r"\1#11#\2"), (r"(^|[^\p{L}\p{N}_])I\s*1\s*[\x27’]", r"\1#1st#"))
+    y = f"replace(replace({y}, '#11#', '11'), '#1st#', '1st')"
+    y = d.rep(y, r"(^|[^\p{L}\p{N}_])(0?[1-9]|[12][0-9]|3[01])\s*[\x27’,]?\s*" + junk + r"([\])\s:;,.]|$)", r"\1<ord \2>\3")
+    y = chain(d, y, (r"<ord 0?([23]?1)>", r"\1st"), (r"<ord 0?(2?2)>", r"\1nd"), (r"<ord 0?(2?3)>", r"\1rd"), (r"<ord 0?([0-9]+)>", r"\1th"))
+    # lines without a number or what is read for one are let through
+    return f"CASE WHEN {d.like(x, '[0-9]|ll')} THEN {y} ELSE {x} END"
+
+
+# what follows the pronoun I: auxiliaries, then regular and irregular verbs of writing and thinking with their past
+FIRST_PERSON = {
+    "auxiliaries": "am have had do did can cannot could may might must shall should will would ll ve m won don",
+    "regular": "believe intend intended suggest suggested publish published translate translated note noted use used want wanted call called hope consider assume argue present",
+    "irregular": "think write wrote read say said see saw find found know knew give gave take took make made mean meant",
+}
 
 
 def pronoun(d, x):  # R9
-    verbs = "will|shall|would|could|should|can|may|might|must|am|have|had|do|did|think|believe|present|publish|translate|wrote|note|mean|suggest|use|see|saw|find|found|know|hope|intend|want|give|gave|take|took|make|made|say|said|call|consider|assume|argue|cannot"
+    verbs = "|".join(sorted({f for own in FIRST_PERSON.values() for f in own.split()}))
     return d.rep(x, rf"(^|[\s(])[Tl|](\s+)({verbs})([^\p{{L}}]|$)", r"\1I\2\3\4")
 
 
@@ -66,20 +96,25 @@ def dehyphenate(d, a, b):  # R12
     return f"CASE WHEN {d.like(a, '[A-Za-zÀ-ÿ]-$')} THEN substr({a}, 1, length({a}) - 1) || {b} ELSE {a} || ' ' || {b} END"
 
 
-def leading_number(d, x):  # R13
-    return chain(d, x, (r"^[0-9]{1,3}(\p{Ll})", r"\1"), (r"^[\s•·.,;:-]+", ""), (r"\s+[0-9]{1,3}\s*$", ""))
+def leading_number(d, x):  # R13: a folio glued to the first word, junk before it, and a folio within a broken word
+    letter = r"[\p{L}¡«¿]"
+    return chain(d, x, (rf"^[\s-]*[0-9]{{1,3}}({letter})", r"\1"), (rf"^[\s*+.·•-]+({letter})", r"\1"), (r"([\p{L}\p{N}_]+)-\s+[0-9]{1,3}\.?\s+[0-9]{0,3}\s+([a-záéíóúüñ])", r"\1\2"), (r"([\p{L}\p{N}_]+)-\s+[0-9]{1,3}\s+([a-záéíóúüñ])", r"\1\2"))
 
 
 def fixes(d, x, pairs=(("tbe", "the"), ("aud", "and"), ("rn([aeiou])", r"m\1"))):  # R14
     return chain(d, x, *pairs)
 
 
-def title_case(d, x, minor=tuple(MINOR)):  # R15, R16
-    words = d.split(f"lower({x})", " ")
+def title_case(d, x, minor=tuple(PARTICLES)):  # R15, R16: signs around a word stay, particles behind the first word are small
+    words = d.keep(d.split(f"lower({x})", r"\s+"), "w", "w <> ''")
     listed = d.array(*(d.lit(w) for w in minor))
-    done = d.each(words, "w", f"CASE WHEN {d.has(listed, 'w')} OR {d.like('w', '^[ßﬀﬁﬂﬃﬄ]')} THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END")
-    text = d.join(done, " ")
-    return f"upper(substr({text}, 1, 1)) || substr({text}, 2)"
+    # what comes before a word's first letter stays; a sharp s has no capital of one letter, a ligature none at all
+    def raised(x):
+        lead, core = d.ext(x, r"^[^\p{L}]*", 0), d.rep(x, r"^[^\p{L}]+", "")
+        return f"{lead} || CASE WHEN {d.like(core, '^[ﬀﬁﬂﬃﬄ]')} THEN {core} ELSE replace(upper(substr({core}, 1, 1)), 'ẞ', 'SS') || substr({core}, 2) END"
+
+    done = d.each(words, "w", f"CASE WHEN {d.has(listed, 'w')} THEN w ELSE {raised('w')} END")
+    return raised(d.join(done, " "))
 
 
 def soft_hyphens(d, x):  # R20
@@ -103,10 +138,11 @@ def glyph(d, x):  # R29
     return d.char(f"upper({d.ext(x, r'_img_([0-9A-Fa-f]{4})[.]', 1)})")
 
 
-def tex_symbols(d, x):  # R30
+def tex_symbols(d, x):  # R30: commands of the astronomical sets, with braces, a space or nothing behind them
+    y = x
     for name in sorted(TEX, key=lambda n: (-len(n), n)):
-        x = f"replace({x}, {d.lit(chr(92) + name + '{}')}, {d.lit(TEX[name])})"
-    return x
+        y = chain(d, y, (rf"\\{name}(?:\{{\}}|([^A-Za-z]|$))", rf"{TEX[name]}\1"))
+    return f"CASE WHEN contains({x}, {d.lit(chr(92))}) THEN {y} ELSE {x} END"
 
 
 def caption(d, x):  # R32
@@ -149,12 +185,13 @@ def match_case(d, old, new):  # R39
     return f"CASE WHEN {old} = upper({old}) AND length({old}) > 1 THEN upper({new}) WHEN {d.like(old, '^' + chr(92) + 'p{Lu}')} THEN upper(substr({new}, 1, 1)) || substr({new}, 2) ELSE {new} END"
 
 
-def resolve_href(d, x, base):  # R40: no fragment, joined, dot segments folded
-    s = f"{base} || '/' || {d.rep(x, '#.*$', '')}"
-    s = d.rep(s, r"/\./", "/")
-    for _ in range(3):
-        s = d.rep(s, r"[^/]+/\.\./", "")
-    return d.rep(s, r"^[./]+", "")
+def resolve_href(d, x, base):  # R40: no fragment, joined, dot segments folded however many there are
+    parts = d.keep(d.split(f"{base} || '/' || {d.rep(x, '#.*$', '')}", "/"), "v", "v <> '' AND v <> '.'")
+    if d.name == "spark":
+        fold = f"aggregate({parts}, cast(array() as array<string>), (a, v) -> CASE WHEN v <> '..' THEN concat(a, array(v)) WHEN size(a) > 0 THEN slice(a, 1, size(a) - 1) ELSE a END)"
+    else:
+        fold = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda v: [v])), lambda a, v: CASE WHEN v[1] <> '..' THEN list_concat(a, v) WHEN len(a) > 0 THEN list_slice(a, 1, len(a) - 1) ELSE a END)"
+    return d.rep(d.join(fold, "/"), r"^[./]+", "")
 
 
 def tokens(d, x, kind="word"):  # R41

@@ -25,6 +25,27 @@ def page_range(d, pages_, first, last):  # S3, J3
     return f"SELECT * FROM ({pages_}) _p WHERE page_no BETWEEN {first} AND {last}"
 
 
+def outside(text):
+    """Spark: the lines outside code fences as array<struct<no, line>>, within the row. A text splits at its fences into parts of which every other is outside."""
+    parts = f"split({text}, '(?md)^[ \\\\t]*```[^\\n]*$', -1)"
+    before = "aggregate(slice(_p, 1, k), 0, (n, q) -> n + length(q) - length(replace(q, '\\n', '')))"
+    own = f"""transform(filter(sequence(0, size(_p) - 1), k -> k % 2 = 0), k -> named_struct('from', {before}, 'cut', split(_p[k], '\\n', -1), 'head', CASE WHEN k = 0 THEN 0 ELSE 1 END, 'tail', CASE WHEN k = size(_p) - 1 THEN 0 ELSE 1 END))"""
+    rows = "flatten(transform(_own, g -> transform(slice(g.cut, 1 + g.head, greatest(size(g.cut) - g.head - g.tail, 0)), (l, i) -> named_struct('no', g.from + g.head + i, 'line', l))))"
+    return parts, own, rows
+
+
+def outside_lines(docs):
+    """Spark: doc_id and _o, its lines outside fences; no shuffle, as a document is a row."""
+    parts, own, rows = outside("text")
+    return f"SELECT doc_id, {rows} AS _o FROM (SELECT doc_id, {own} AS _own FROM (SELECT doc_id, {parts} AS _p FROM ({docs}) _d) _e) _f"
+
+
+def each_row(rel, array, pos, *fields):
+    """Spark: one row for each element of an array of structs."""
+    named = ", ".join(f"_z.{f} AS {f}" for f in fields)
+    return f"SELECT doc_id, {pos}, {named} FROM ({rel}) _r LATERAL VIEW posexplode({array}) _e AS {pos}, _z"
+
+
 def without_head(d, lines_):  # S4: the first line that isn't blank goes
     return f"""SELECT doc_id, line_no, line FROM (SELECT *, min(CASE WHEN trim(line) <> '' THEN line_no END) OVER (PARTITION BY doc_id) AS head FROM ({lines_}) _l) _m
       WHERE line_no <> coalesce(head, -1)"""
@@ -37,8 +58,59 @@ def islands(d, lines_, breaks, sep=" ", keep="trim(line) <> ''", unit="para_no")
       WHERE {keep} GROUP BY doc_id, {unit}"""
 
 
-def paragraphs(d, lines_):  # D6
-    return islands(d, lines_, "trim(line) = ''", "\n")
+def paragraphs(d, lines_):  # D6, numbered from 0
+    return f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INT) AS para_no, first_line, text FROM ({islands(d, lines_, 'trim(line) = ' + chr(39) * 2, chr(10))}) _i"
+
+
+# == the same within the row: Spark alone, no shuffle, as a document is a row ==
+
+
+def _paragraph_array(lines_, blank, join):
+    """Runs of lines that aren't blank as array<struct<first_line, text>>."""
+    first = f"filter(sequence(0, size({lines_}) - 1), i -> NOT {blank(f'{lines_}[i]')} AND (i = 0 OR {blank(f'{lines_}[i - 1]')}))"
+    last = f"filter(sequence(0, size({lines_}) - 1), i -> NOT {blank(f'{lines_}[i]')} AND (i = size({lines_}) - 1 OR {blank(f'{lines_}[i + 1]')}))"
+    return f"zip_with({first}, {last}, (a, z) -> named_struct('first_line', a, 'text', array_join(transform(slice({lines_}, a + 1, z - a + 1), x -> trim(x)), '{join}')))"
+
+
+def local_paragraphs(docs):  # D6
+    rows = f"SELECT doc_id, split(text, '\\n', -1) AS _l FROM ({docs}) _d"
+    return each_row(rows, _paragraph_array("_l", lambda x: f"trim({x}) = ''", "\\n"), "para_no", "first_line", "text")
+
+
+def _runs(array, breaks):
+    """The array cut where breaks(i) holds."""
+    starts = f"filter(sequence(0, size({array}) - 1), i -> i = 0 OR {breaks})"
+    return starts, f"transform(_s, (a, k) -> slice({array}, a + 1, coalesce(try_element_at(_s, k + 2), size({array})) - a))"
+
+
+def local_merged(docs):  # W3
+    from quillspark.plans.dialect import SPARK as d
+
+    paras = f"SELECT doc_id, transform({_paragraph_array('_l', lambda x: f'trim({x}) = {chr(39) * 2}', chr(92) + 'n')}, z -> z.text) AS _p FROM (SELECT doc_id, split(text, '\\n', -1) AS _l FROM ({docs}) _d) _e"
+    starts, groups = _runs("_p", opens_paragraph(d, "_p[i - 1]", "_p[i]"))
+    joined = f"transform({groups}, g -> named_struct('text', {merged_text(d, 'g')}, 'n_parts', CAST(size(g) AS BIGINT)))"
+    return each_row(f"SELECT doc_id, _p, {starts} AS _s FROM ({paras}) _f WHERE size(_p) > 0", joined, "grp", "text", "n_parts")
+
+
+def local_passages(docs):  # W7: a heading holds for what follows up to the next
+    heads = "regexp_extract_all(text, '(?md)^#+ [^\\n]*$', 0)"
+    texts = "filter(transform(split(p, '\\n[ ]*(?=\\n|$)', -1), b -> array_join(filter(transform(split(b, '\\n', -1), x -> trim(x)), x -> x <> ''), ' ')), b -> b <> '')"
+    rows = f"SELECT doc_id, {heads} AS _h, split(text, '(?md)^#+ [^\\n]*$', -1) AS _p FROM ({docs}) _d"
+    array = f"flatten(transform(_p, (p, k) -> transform({texts}, b -> named_struct('heading', CASE WHEN k > 0 THEN regexp_replace(_h[k - 1], '^#+ +', '') END, 'body', b))))"
+    return f"SELECT doc_id, _i + 1 AS passage_no, heading, body FROM ({each_row(rows, array, '_i', 'heading', 'body')}) _q"
+
+
+def local_split(docs, level=2):  # W8
+    mark = f"(?md)^{'#' * level} [^\\n]*$"
+    rows = f"SELECT doc_id, regexp_extract_all(text, '{mark}', 0) AS _h, split(text, '{mark}', -1) AS _p FROM ({docs}) _d"
+    # what is left of the heading's own line, and the line break before the next, go
+    body = "regexp_replace(CASE WHEN k > 0 THEN substr(p, 2) ELSE p END, CASE WHEN k < size(_p) - 1 THEN '\\n\\\\z' ELSE '(?!)' END, '')"
+    array = f"filter(transform(_p, (p, k) -> named_struct('title', CASE WHEN k > 0 THEN regexp_replace(_h[k - 1], '^#+ +', '') ELSE 'front' END, 'body', {body})), z -> trim(z.body) <> '')"
+    return f"SELECT doc_id, _i + 1 AS seq, title, body FROM ({each_row(rows, array, '_i', 'title', 'body')}) _q"
+
+
+def local_fences(docs):  # W27
+    return f"SELECT doc_id, line_no, line FROM ({each_row(outside_lines(docs), 'transform(_o, o -> named_struct(' + chr(39) + 'line_no' + chr(39) + ', o.no, ' + chr(39) + 'line' + chr(39) + ', o.line))', '_i', 'line_no', 'line')}) _q"
 
 
 def page_paragraphs(d, lines_):  # W1: furniture goes, an indent opens a paragraph too
@@ -53,9 +125,21 @@ def reflow(d, lines_):  # W4
     return f"SELECT doc_id, para_no, {text} AS text FROM ({joined}) _p"
 
 
-def merged(d, paras):  # W2, W3 on the last character: a sentence that goes on joins its paragraph
-    flag = f"CASE WHEN before IS NULL OR {d.like('before', '[.!?:”»)' + chr(92) + 'x27' + chr(34) + ']$')} OR NOT {d.like('text', '^' + chr(92) + 'p{Ll}')} OR {d.like('before', '^#')} THEN 1 ELSE 0 END"
-    return f"""SELECT doc_id, grp, {d.gather('text', 'para_no', ' ')} AS text, count(*) AS n_parts FROM (
+def opens_paragraph(d, before, text):  # W3: what doesn't go on the paragraph before; a heading is gone on from by nothing
+    ends = d.like(before, "[.!?”»…)\\x27\"]$")
+    hyphen = d.like(before, "[-\u00ad]$")
+    return f"NOT ({d.like(text, '^' + chr(92) + 'p{Ll}')} AND NOT {P.caps_heading(d, before)} AND ({hyphen} OR NOT {ends}))"
+
+
+def merged_text(d, array):
+    """Spark: the parts of a paragraph; behind a hyphen without it or a space."""
+    return f"regexp_replace(regexp_replace(array_join({array}, '\\u0001'), '[-\\u00ad]\\u0001', ''), '\\u0001', ' ')"
+
+
+def merged(d, paras):  # W3: a sentence that goes on joins its paragraph
+    flag = f"CASE WHEN before IS NULL OR {opens_paragraph(d, 'before', 'text')} THEN 1 ELSE 0 END"
+    joined = d.gather("text", "para_no", "\x01")
+    return f"""SELECT doc_id, CAST(grp - 1 AS INT) AS grp, replace({d.rep(joined, '[-\u00ad]\x01', '')}, {d.lit(chr(1))}, ' ') AS text, count(*) AS n_parts FROM (
       SELECT *, sum({flag}) OVER (PARTITION BY doc_id ORDER BY para_no ROWS UNBOUNDED PRECEDING) AS grp FROM (
         SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY para_no) AS before FROM ({paras}) _a) _b) _c GROUP BY doc_id, grp"""
 
@@ -137,7 +221,7 @@ def consecutive_cues(d, cues):  # W18, without overlap: drop repeats of the cue
     return f"SELECT doc_id, line_no, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM ({cues}) _c) _d WHERE before IS NULL OR line <> before"
 
 
-def fences(d, lines_):  # W27: lines outside code fences
+def fences(d, lines_):  # W27: lines outside code fences; outside_lines does the same within the row
     return f"SELECT doc_id, line_no, line FROM (SELECT *, {d.like('line', '^ *```')} AS fence, sum(CASE WHEN {d.like('line', '^ *```')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS k FROM ({lines_}) _l) _m WHERE k % 2 = 0 AND NOT fence"
 
 
@@ -149,12 +233,16 @@ def leading_run(d, paras, match):  # R18, R19: matching paragraphs at the start
     return f"SELECT doc_id, para_no, text FROM (SELECT *, min(CASE WHEN NOT ({match}) THEN para_no END) OVER (PARTITION BY doc_id) AS s FROM ({paras}) _p) _q WHERE para_no >= s"
 
 
-def openings(d, lines_):  # R23: title debris goes up to a split drop-cap, unless prose comes first
-    cap = d.like("line", r"^[A-Z] [a-z]")
-    prose = d.like("line", r"^[^#].*[a-z]{4}")
-    return f"""SELECT doc_id, line_no, CASE WHEN line_no = c THEN {d.rep('line', '^([A-Z]) ([a-z])', chr(92) + '1' + chr(92) + '2')} ELSE line END AS line FROM (
-      SELECT *, min(CASE WHEN {cap} THEN line_no END) OVER (PARTITION BY doc_id) AS c, min(CASE WHEN {prose} AND NOT {cap} THEN line_no END) OVER (PARTITION BY doc_id) AS p FROM ({lines_}) _l) _m
-      WHERE c IS NULL OR p < c OR line_no >= c OR {d.like('line', '^#')}"""
+def openings(d, docs):  # R23: debris between the title and a split capital goes, unless prose comes first; an orphaned first line is joined
+    head = d.ext("text", r"\A(#[^\n]*)", 1)
+    # lines without four small letters in a row and no split capital, up to one
+    debris = r"\A#[^\n]*\n((?:[^\n]*\n)*?)[A-Z] [a-z]"
+    low = "[a-zàáéíóúüñ]{4}"
+    between = d.ext("text", debris, 1)
+    found = f"({d.like("text", debris)} AND NOT {d.like(between, low)})"
+    rest = d.rep(f"substr(text, length({head}) + 2 + length({between}))", r"\A([A-Z]) ", r"\1")
+    joined = d.rep(rest, r"\A((?:[^\n]|\n[^\n])*[a-z,])\s*\n\n\s*", r"\1 ")
+    return f"SELECT doc_id, CASE WHEN {found} THEN {head} || {d.lit(chr(10) * 2)} || {joined} ELSE text END AS text FROM ({docs}) _d"
 
 
 def page_runs(d, numbers):  # R37: 5,6,7,12 to 5-7, 12
@@ -171,41 +259,78 @@ def word_counts(d, docs, kind="ascii"):  # G2
     return f"SELECT word, count(*) AS n FROM ({d.rows(docs, R.tokens(d, 'text', kind), 'pos', 'word')}) _w GROUP BY word"
 
 
+def fts_tokens(d, passages_):
+    return d.rows(f"SELECT doc_id, passage_no, body FROM ({passages_}) _p WHERE length(body) > 15", d.all(d.fold("body"), r"[\p{L}\p{N}]+"), "pos", "term")
+
+
 def fts_postings(d, passages_):  # Q1
-    toks = d.rows(f"SELECT doc_id, passage_no, body FROM ({passages_}) _p WHERE length(body) > 15", d.all(d.fold("body"), r"[\p{L}\p{N}]+"), "pos", "term")
+    toks = fts_tokens(d, passages_)
     return f"SELECT doc_id, passage_no, term, count(*) AS tf FROM ({toks}) _t GROUP BY doc_id, passage_no, term"
 
 
-def bm25(d, postings, terms):  # Q2
+def bm25(d, postings, terms):  # Q2: the postings once; of the corpus, two numbers and a frequency for each term asked for
     listed = ", ".join(d.lit(t) for t in terms)
-    return f"""SELECT t.doc_id, t.passage_no, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 8) AS score FROM ({postings}) t
-      JOIN (SELECT term, count(*) AS df FROM ({postings}) _a GROUP BY term) f ON t.term = f.term
-      JOIN (SELECT doc_id, passage_no, sum(tf) AS dl FROM ({postings}) _b GROUP BY doc_id, passage_no) l ON t.doc_id = l.doc_id AND t.passage_no = l.passage_no
-      CROSS JOIN (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT sum(tf) AS dl FROM ({postings}) _c GROUP BY doc_id, passage_no) _e) g
-      WHERE t.term IN ({listed}) GROUP BY t.doc_id, t.passage_no"""
-
-
-def artifacts(d, blocks):  # P18, G6: kinds of each block
-    s = "trim(text)"
-    body = f"NOT {d.like(s, r'^([#|*]|> |\[\^|- )')}"
-    kinds = {
-        "garbage": P.garbage_block(d, "text"), "dash": d.like(s, "^- [a-z]"), "pagenum": d.like(s, r"^(1?[0-9]{1,2}) [a-z]"),
-        "bracket": f"({d.like(s, r'(?:^|\s)[()\[\]]\s*$')} AND NOT {d.like(s, '^[#|]')})",
-        "stray": d.like(s, r"[!?.”\"\x27]\s+[()\[\]]?\s?[A-Z](?:[a-z])?$"),
-        "glued": d.like(s, r"[.\x27’—\]] \p{Ll}[\p{L}-]*: \p{L}"),
-        "split": f"({body} AND NOT {d.like(s, r'[.?!:;\"”)\]]$')} AND {d.like('following', '^' + chr(92) + 'p{Ll}')})",
+    idf = "ln((n - df + 0.5) / (df + 0.5))"
+    score = f"round(-sum(CASE WHEN {idf} <= 0 THEN 1e-6 ELSE {idf} END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 8)"
+    if d.name == "duckdb":
+        return f"""WITH _p AS MATERIALIZED ({postings}) SELECT t.doc_id, t.passage_no, {score} AS score FROM _p t
+          JOIN (SELECT term, count(*) AS df FROM _p GROUP BY term) f ON t.term = f.term
+          JOIN (SELECT doc_id, passage_no, sum(tf) AS dl FROM _p GROUP BY doc_id, passage_no) l ON t.doc_id = l.doc_id AND t.passage_no = l.passage_no
+          CROSS JOIN (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT sum(tf) AS dl FROM _p GROUP BY doc_id, passage_no) _e) g
+          WHERE t.term IN ({listed}) GROUP BY t.doc_id, t.passage_no"""
+    # one row a passage: its length and the counts of the terms asked for
+    counts = ", ".join(f"count_if(term = {d.lit(t)}) AS _t{k}" for k, t in enumerate(terms))
+    sums = ", ".join(f"count_if(_t{k} > 0) AS _d{k}" for k in range(len(terms)))
+    tf = ", ".join(f"named_struct('tf', _t{k}, 'df', _d{k})" for k in range(len(terms)))
+    own = f"SELECT doc_id, passage_no, count(*) AS dl, {counts} FROM ({postings}) _q GROUP BY doc_id, passage_no"
+    each = f"SELECT doc_id, passage_no, dl, n, avgdl, x.tf AS tf, x.df AS df FROM _h LATERAL VIEW explode(filter(array({tf}), z -> z.tf > 0)) _x AS x"
+    return f"""WITH _own AS ({own}), _h AS (SELECT * FROM _own CROSS JOIN (SELECT /*+ BROADCAST(_g) */ count(*) AS n, avg(dl) AS avgdl, {sums} FROM _own) _g WHERE {' + '.join(f'_t{k}' for k in range(len(terms)))} > 0)
+      SELECT doc_id, passage_no, {score} AS score FROM ({each}) _e GROUP BY doc_id, passage_no"""
+
+
+def _artifact_kinds(d, s, following):
+    listed = "[#|]|[*][*]|> |\\[\\^|[*]|- "
+    glued = r"(?:[.’—\]] |(?:^|[^a-z ()\x27,-])[ ()\x27,-]*\x27 )[a-z][-a-z ()\x27,]{2,40}:\s+[a-zāēīōūáéíóú]"
+    return {
+        "garbage": P.garbage_block(d, s), "dash": d.like(s, "^- [a-z]"), "pagenum": d.like(s, r"^(1[0-9]{1,2}|[1-9][0-9]?) [a-z]"),
+        "bracket": f"({d.like(s, r'(^|\s)[()\[\]]$')} AND NOT {d.like(s, '^[#|]')})",
+        "stray": f"({d.like(s, r'[!?.”\"\x27]\s+[()\[\]]?\s?[A-Z][a-z]?$')} AND {d.like(s, r'(^|\s)[^\s]{1,3}$')})",
+        "glued": d.like(s, glued),
+        "split": f"(NOT {d.like(s, f'^({listed})')} AND NOT {d.like(s, r'[.?!:;\"”)\]]$')} AND {d.like(following, '^' + chr(92) + 'p{Ll}')})",
     }
-    each = " UNION ALL ".join(f"SELECT doc_id, para_no, '{k}' AS kind FROM _b WHERE {s} <> '' AND {v}" for k, v in kinds.items())
-    return f"WITH _b AS (SELECT *, lead(trim(text)) OVER (PARTITION BY doc_id ORDER BY para_no) AS following FROM ({blocks}) _a) {each}"
 
 
-def proofread(d, lines_):  # P19
-    clean = f"SELECT doc_id, line_no, {R.chain(d, 'line', ('`[^`]*`', ''), (r'https?://[^ )]+', ''))} AS line FROM ({fences(d, lines_)}) _f"
-    each = " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind FROM _c WHERE {d.like('line', p)}" for k, p in P.PROSE.items())
-    words = d.rows("SELECT doc_id, line_no, line FROM _c", d.all("lower(line)", r"[\p{L}\p{N}]+"), "pos", "w")
-    twice = f"SELECT DISTINCT doc_id, line_no, 'repeated_word' AS kind FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS b FROM ({words}) _w) _x WHERE w = b AND length(w) > 1"
-    blank = "SELECT doc_id, line_no, 'third_blank' AS kind FROM (SELECT *, lag(trim(line), 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS a, lag(trim(line), 2) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM _c) _y WHERE trim(line) = '' AND a = '' AND b = ''"
-    return f"WITH _c AS ({clean}) {each} UNION ALL {twice} UNION ALL {blank}"
+def artifacts(d, docs):  # P18, G6: kinds of each block; blocks are what an empty line parts
+    if d.name == "spark":
+        block = "named_struct('s', regexp_replace(b, '^\\\\s+|\\\\s+$', ''), 'following', regexp_replace(coalesce(try_element_at(_b, i + 2), ''), '^\\\\s+|\\\\s+$', ''))"
+        rows = each_row(f"SELECT doc_id, split(text, '\\n\\n', -1) AS _b FROM ({docs}) _d", f"transform(_b, (b, i) -> {block})", "block_no", "s", "following")
+        found = ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _artifact_kinds(d, "s", "following").items())
+        return f"SELECT doc_id, block_no, kind FROM ({rows}) _x LATERAL VIEW explode(filter(array({found}), k -> k IS NOT NULL)) _k AS kind WHERE s <> ''"
+    rows = d.rows(docs, d.split("text", "\n\n"), "block_no", "b")
+    blocks = f"SELECT doc_id, block_no, {d.strip('b')} AS s, coalesce(lead({d.strip('b')}) OVER (PARTITION BY doc_id ORDER BY block_no), '') AS following FROM ({rows}) _a"
+    each = " UNION ALL ".join(f"SELECT doc_id, block_no, '{k}' AS kind FROM _b WHERE s <> '' AND {v}" for k, v in _artifact_kinds(d, "s", "following").items())
+    return f"WITH _b AS MATERIALIZED ({blocks}) {each}"
+
+
+def proofread(d, docs):  # P19: code, addresses and link targets aside
+    clean = lambda x: R.chain(d, x, ("`[^`]*`", ""), (r"https?://[^\s]+|\]\([^)]*\)", ""))
+    allowed = ", ".join(d.lit(w) for w in P.TWICE)
+    if d.name == "spark":
+        third = "CASE WHEN trim(o.line) = '' AND i > 1 AND trim(_o[i - 1].line) = '' AND trim(_o[i - 2].line) = '' AND NOT coalesce(i > 2 AND trim(_o[i - 3].line) = '', false) THEN 1 ELSE 0 END"
+        lines_ = each_row(outside_lines(docs), f"filter(transform(_o, (o, i) -> named_struct('line_no', o.no, 'c', {clean('o.line')}, 'third', CASE WHEN i = 0 THEN 0 ELSE {third} END, 'blank', trim(o.line) = '')), z -> z.third = 1 OR NOT z.blank)", "_i", "line_no", "c", "third")
+        found = ", ".join(f"CASE WHEN {d.like('c', p)} THEN '{k}' END" for k, p in P.PROSE.items())
+        twice = r"(?iU)\b(\w{2,})\s+\1\b"
+        words = f"filter(regexp_extract_all(c, {d.pat(twice)}, 1), w -> lower(w) NOT IN ({allowed}))"
+        kinds = f"CASE WHEN third = 1 THEN array('third_blank') WHEN trim(c) = '' THEN array() ELSE concat(filter(array({found}), k -> k IS NOT NULL), CASE WHEN size({words}) > 0 THEN array('repeated_word') ELSE array() END) END"
+        return f"SELECT doc_id, line_no, kind FROM ({lines_}) _x LATERAL VIEW explode({kinds}) _k AS kind"
+    base = f"SELECT doc_id, line_no, line FROM ({fences(d, lines(d, docs))}) _f"
+    each = " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind FROM _c WHERE trim(line) <> '' AND {d.like('line', p)}" for k, p in P.PROSE.items())
+    # words with what parts each from the next; a pair of equal ones that only space parts isn't begun again by its second
+    pieces = d.rows("SELECT doc_id, line_no, line FROM _c", d.all("line", r"[\p{L}\p{M}\p{N}_]+|\s+|[^\p{L}\p{M}\p{N}_\s]+"), "pos", "w")
+    twice = f"SELECT DISTINCT doc_id, line_no, 'repeated_word' AS kind FROM (SELECT *, lag(w, 1) OVER z AS gap, lag(w, 2) OVER z AS b FROM ({pieces}) _w WINDOW z AS (PARTITION BY doc_id, line_no ORDER BY pos)) _x WHERE lower(w) = lower(b) AND trim(gap) = '' AND length(w) > 1 AND {d.like('w', r'^[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]')} AND lower(w) NOT IN ({allowed})"
+    w = "OVER (PARTITION BY doc_id ORDER BY line_no)"
+    blank = f"SELECT doc_id, line_no, 'third_blank' AS kind FROM (SELECT *, lag(trim(line), 1) {w} AS a, lag(trim(line), 2) {w} AS b, coalesce(lag(trim(line), 3) {w}, 'x') AS c FROM _l) _y WHERE trim(line) = '' AND a = '' AND b = '' AND c <> ''"
+    return f"WITH _l AS MATERIALIZED ({base}), _c AS MATERIALIZED (SELECT doc_id, line_no, {clean('line')} AS line FROM _l) {each} UNION ALL {twice} UNION ALL {blank}"
 
 
 def citations(d, lines_):  # P29
@@ -234,9 +359,11 @@ def relocated_notes(d, lines_):  # W30: notes of headings go to the next line of
       LEFT JOIN (SELECT doc_id, target, {d.gather('moved', 'line_no', '')} AS notes FROM ({place}) _g WHERE moved <> '' AND target IS NOT NULL GROUP BY doc_id, target) g ON p.doc_id = g.doc_id AND p.line_no = g.target"""
 
 
-def roles(d, heads):  # M1: front matter before the first numbered chapter, appendices behind
-    return f"""SELECT doc_id, pos, title, CASE WHEN {d.like('lower(title)', '^(ap[eé]ndice|appendix|anexo|annex)')} THEN 'appendix' WHEN pos < coalesce(first_no, 0) THEN 'front' ELSE 'chapter' END AS role FROM (
-      SELECT *, min(CASE WHEN {d.like('lower(title)', '^((cap[ií]tulo|chapter) )?[0-9]+')} THEN pos END) OVER (PARTITION BY doc_id) AS first_no FROM ({heads}) _h) _i"""
+def roles(d, heads):  # M1: chapters are the numbered ones; before the first of them front matter, what has no number later an appendix
+    number = d.like("lower(title)", r"^((cap[ií]tulo|chapter)\s+[^\s]+|[0-9]{1,3})\s*(—|–|-{1,3}|\.)")
+    front = d.like("lower(coalesce(title, ''))", r"^($|prefa(ce|cio)|pr[oó]logo|proemio|introduc(tion|ci[oó]n)|agradecimientos|acknowledg|dedicatoria|nota\s+(preliminar|del|de)([^\p{L}]|$))")
+    return f"""SELECT doc_id, pos, title, CASE WHEN first_no IS NOT NULL THEN CASE WHEN pos < first_no THEN 'front' WHEN {number} THEN 'chapter' ELSE 'appendix' END WHEN pos < coalesce(first_body, pos + 1) THEN 'front' ELSE 'appendix' END AS role FROM (
+      SELECT *, min(CASE WHEN {number} THEN pos END) OVER (PARTITION BY doc_id) AS first_no, min(CASE WHEN NOT {front} THEN pos END) OVER (PARTITION BY doc_id) AS first_body FROM ({heads}) _h) _i"""
 
 
 def batches(d, pages_, size=20):  # Z1: batch of each page

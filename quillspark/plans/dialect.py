@@ -7,12 +7,18 @@ look-around, \\x27 for an apostrophe. Replacements refer to groups as \\1.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ACCENTED = "áàâäãåāăąéèêëēĕėęěíìîïīĭįóòôöõōŏőúùûüũūŭůűñńňçćčýÿžźżšśşťţďłŕřğ"
 PLAIN = "aaaaaaaaaeeeeeeeeeiiiiiiioooooooouuuuuuuuunnncccyyzzzsssttdlrrg"
+COMPOSED: dict[str, list[tuple[str, str]]] = {}
+for _c in ACCENTED + ACCENTED.upper():
+    _parts = unicodedata.normalize("NFD", _c)
+    if len(_parts) == 2:
+        COMPOSED.setdefault(_parts[1], []).append((_parts[0], _c))
 
 
 class SparkDialect:
@@ -34,6 +40,18 @@ class SparkDialect:
     def n(self, x: str, p: str) -> str:
         return f"CAST(regexp_count({x}, {self.pat(p)}) AS BIGINT)"
 
+    def chars(self, x: str, one: str) -> str:
+        """How many characters match a pattern of one character."""
+        return f"CAST(length({x}) - length(regexp_replace({x}, {self.pat(one)}, '')) AS BIGINT)"
+
+    def marks(self, x: str, p: str) -> str:
+        """Number of matches, counted as marks put in their place; quicker than an array of them."""
+        marked = f"regexp_replace({x}, {self.pat(p)}, '\\u0001')"
+        return f"CAST(length({marked}) - length(replace({marked}, '\\u0001', '')) AS BIGINT)"
+
+    def strip(self, x: str) -> str:
+        return self.rep(x, r"^\s+|\s+$", "")
+
     def all(self, x: str, p: str, g: int = 0) -> str:
         return f"regexp_extract_all({x}, {self.pat(p)}, {g})"
 
@@ -94,6 +112,19 @@ class SparkDialect:
     def first(self, x: str) -> str:
         return f"first_value({x}) IGNORE NULLS"
 
+    def composed(self, x: str) -> str:
+        """Letters with combining marks as one character (NFC), for the letters of ACCENTED and their capitals."""
+        done = x
+        for mark, pairs in COMPOSED.items():
+            for a, b in pairs:
+                done = f"replace({done}, '{a}{mark}', '{b}')"
+        # the chain is for lines with such a mark alone
+        return f"CASE WHEN {self.like(x, '[' + ''.join(COMPOSED) + ']')} THEN {done} ELSE {x} END"
+
+    def plain(self, x: str) -> str:
+        """ASCII alone: accented letters without their marks, everything else outside ASCII gone."""
+        return self.rep(f"translate({self.composed(x)}, '{ACCENTED}{ACCENTED.upper()}', '{PLAIN}{PLAIN.upper()}')", r"[^\x00-\x7f]", "")
+
     def fold(self, x: str) -> str:
         return f"translate(lower({x}), '{ACCENTED}', '{PLAIN}')"
 
@@ -134,6 +165,9 @@ class DuckDialect(SparkDialect):
     def n(self, x: str, p: str) -> str:
         return f"CAST(len(regexp_extract_all({x}, {self.pat(p)})) AS BIGINT)"
 
+    def chars(self, x: str, one: str) -> str:
+        return f"CAST(length({x}) - length(regexp_replace({x}, {self.pat(one)}, '', 'g')) AS BIGINT)"
+
     def split(self, x: str, p: str) -> str:
         return f"string_split_regex({x}, {self.pat(p)})"
 
@@ -195,6 +229,9 @@ class DuckDialect(SparkDialect):
     def upto(self, a: str, b: str) -> str:
         return f"range(CAST({a} AS INT), CAST({b} AS INT) + 1)"
 
+    def composed(self, x: str) -> str:
+        return f"nfc_normalize({x})"
+
     def char(self, hexa: str) -> str:
         return f"chr(('0x' || {hexa})::INT)"
 

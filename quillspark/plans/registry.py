@@ -6,6 +6,7 @@ add the same damage to every document on both sides, in SQL. Every query runs ov
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,9 @@ from quillspark.plans.dialect import DUCK, SPARK
 TABLES = ("documents", "pages", "conversations", "benchmark", "labels", "events", "customer", "orders")
 
 DAMAGE = [
-    "\n\n12\n• 47 •\nxiv\nIV\nRUNNING HEAD OF A BOOK\nThe Running Head\n88 | A Title\nCHAPTER IV\nINTRODUCTION\nTHE WAY OF GOLD:\n# Title one\n## Part `one`\nProse of the first part is here[^1] and goes on-\nward to the next line[^2].\n\n- such a manner the effects\n\n|♄☿| a | Venus |\n[^1]: first note\n[^3]: third note\nSee @smith2001 and mail me@example.org or [-@jones:99].\n```\n@code in a fence\n```\n12 go on with it\n\n  \nthe  the text has  two spaces ,and more..\n``x`` http://a.b/c",
+    "\n\n12\n• 47 •\nxiv\nIV\nRUNNING HEAD OF A BOOK\nThe Running Head\n88 | A Title\nCHAPTER IV\nINTRODUCTION\nTHE WAY OF GOLD:\n# Title one\n## Part `one`\nProse of the first part is here[^1] and goes on-\nward to the next line[^2].\n\n- such a manner the effects\n\n|♄☿| a | Venus |\n|■ t?| £ | Mars |\n[^1]: first note\n[^3]: third note\nSee @smith2001 and mail me@example.org or [-@jones:99].\n```\n@code in a fence\n```\n12 go on with it\n\n  \nthe  the text has  two spaces ,and more..\n``x`` http://a.b/c",
     "\n\n3\nJUDIO DE GALILEA\n\tA paragraph with a note[1] by the way\n     and more of it\n4\nLA VIA DEL ORO\n\tAnother one[1].\nNotas\n[1]\nNote of one. <<\n[2]\nNote of two.\n[1]\nNote of the next. <<\n\n## Dos\n07 QX Ra zu Oel Ib wuuQX ru QX zo 7 XX FZ zu k\nxcvbnm qwrtp l0ve m1x h3re ~~~ ###\n1. first definition\n2. second\n1. again first\n7\n\nthe lone number's text\nT E X T S P A C E D O U T\n00:01:02.500 --> 00:01:04.000\nhello and <c>welcome</c>\nhello and <c>welcome</c>\n<00:00:01.000>welcome to &amp; fro",
-    "\n\n# Front `x`\nTITLE DEBRIS\nT he chapter begins with a split capital\n## Title two[^4]\n\nof prose after it.\n\nNOTES\n1. A note that runs\nover two lines\n2. Another note\n\n45 A page note that\ncontinues here\n46 Second page note\n\n(  )empty and word( ] \nHe went. A\nended. head: entry\n\n\n\nand lower case goes on\n— - \n....,,,;;\n_img_2644.gif",
+    "\n\n# Front `x`\nTITLE DEBRIS\nT he chapter begins with a split capital\n## Title two[^4]\n\nof prose after it.\n\nNOTES\n1. A note that runs\nover two lines\n2. Another note\n\n45 A page note that\ncontinues here\n46 Second page note\n\n(  )empty and word( ] \nHe went. A\nended. head: entry\n\n\n\nand lower case goes on\n— - \n....,,,;;\n_img_2644.gif\n\nsaid it. the second house: oikos. A place.\n\n35 texto que sigue.\n\nas said by Ptolemy. ] Bt\n\nends with a bracket [\n\nthe cut paragraph goes\n\non over here.\n\nmuy muy de de ¿por qué - \"so\"... [^1] x , y",
 ]
 SENTENCES = [
     " the 4 lh house, the 12 ,h house; the 9' h house. Venus in the 4' v house and the ll' h house, in 2015 th",
@@ -47,8 +48,9 @@ def damaged_lines(d) -> str:
 
 
 def sentences(d) -> str:
-    """First line of every document with character damage."""
-    return f"SELECT doc_id, {d.at(d.split('coalesce(text, ' + chr(39) * 2 + ')', chr(10)), '1')} || {_case(d, SENTENCES)} AS s FROM documents"
+    """Every line of every document with character damage, that follows document and line."""
+    damage = "CASE (doc_id + line_no) % " + str(len(SENTENCES)) + " " + " ".join(f"WHEN {k} THEN {d.lit(x)}" for k, x in enumerate(SENTENCES)) + " END"
+    return f"SELECT doc_id, line_no, line || {damage} AS s FROM ({O.lines(d, 'SELECT doc_id, coalesce(text, ' + chr(39) * 2 + ') AS text FROM documents')}) _l"
 
 
 def feeds(d) -> str:
@@ -61,7 +63,7 @@ def _flag(f, **how):
 
 
 def _rewrite(f, **how):
-    return lambda d: f"SELECT doc_id, {f(d, 's', **how)} AS s FROM ({sentences(d)}) _q"
+    return lambda d: f"SELECT doc_id, line_no, {f(d, 's', **how)} AS s FROM ({sentences(d)}) _q"
 
 
 def _whole(f, **how):
@@ -72,8 +74,17 @@ def _lines(f, *a):
     return lambda d: f(d, damaged_lines(d), *a)
 
 
+def _local(within, otherwise):
+    """Within the row where Spark runs it; DuckDB's text is another one, with windows over lines."""
+    return lambda d: within(dirty(d)) if d.name == "spark" else otherwise(d)
+
+
 def _paras(d):
-    return O.paragraphs(d, damaged_lines(d))
+    return O.local_paragraphs(dirty(d)) if d.name == "spark" else O.paragraphs(d, damaged_lines(d))
+
+
+def _passages(d):
+    return O.local_passages(dirty(d)) if d.name == "spark" else O.passages(d, damaged_lines(d))
 
 
 def _numbers(d):
@@ -88,6 +99,12 @@ def _heads(d):
     return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, {R.fixes(d, 'line')} AS title FROM ({damaged_lines(d)}) _l WHERE {P.caps_heading(d, 'line')} OR {d.like('line', '^#')} OR {P.page_number(d, 'line')}"
 
 
+def _opened(d):
+    """Documents as chapters: a title, in some of them debris before a split capital, or prose at once."""
+    start = ["# A title\nCHAPTER\nTHE TITLE\n\nT he text begins,\n\nand goes on: ", "# A title\nProse at once, no\nT he capital. ", "No title\nT he text "]
+    return f"SELECT doc_id, {_case(d, start)} || coalesce(text, '') AS text FROM documents"
+
+
 def _urls(d):
     return "SELECT page_id AS doc_id, url FROM pages"
 
@@ -111,16 +128,25 @@ def _multiset(d):  # E2, G12: numbers lost
     return f"SELECT doc_id, n, count(*) AS times FROM ({nums('text')} EXCEPT ALL {nums(R.fixes(d, 'text', (('1[0-9]', 'x'),)))}) _e GROUP BY doc_id, n"
 
 
-def _glossary(d):  # J10: terms that stayed in a translation
+def _glossary(d):  # J10: terms that stayed in a translation, as whole words
     terms = " UNION ALL ".join(f"SELECT '{w}' AS src" for w in ("the", "der", "les", "que", "license", "token"))
-    return f"SELECT d.doc_id, t.src FROM documents d JOIN ({terms}) t ON {d.like('lower(d.text)', '(^|[^a-z])the([^a-z]|$)')} AND t.src = 'the' OR t.src <> 'the' AND contains(lower(d.text), ' ' || t.src || ' ')"
+    return f"SELECT DISTINCT d.doc_id, t.src FROM ({d.rows('SELECT doc_id, text FROM documents', R.tokens(d, 'text'), 'pos', 'w')}) d JOIN ({terms}) t ON d.w = t.src"
 
 
-def _spelling(d):  # L6, J13: rare words one deletion from a common word
+def _spelling(d):  # L6, J13: an unknown word goes to the most frequent known one an edit away, else two; edits are of one letter or a swap
     words = O.word_counts(d, "SELECT text FROM documents", "ascii")
-    cut = lambda rel: f"SELECT word, n, v FROM ({d.rows(rel, 'concat(' + d.array('word') + ', ' + d.each(d.upto('1', 'length(word)'), 'i', 'substr(word, 1, i - 1) || substr(word, i + 1)') + ')' if d.name == 'spark' else 'list_concat([word], list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)))', 'pos', 'v')}) _v"
-    return f"""SELECT word, {d.pick('fix', d.struct('n', 'fix'))} AS fix FROM (SELECT DISTINCT r.word, c.word AS fix, c.n FROM ({cut(f'SELECT * FROM ({words}) _w WHERE n <= 2 AND length(word) >= 4')}) r JOIN ({cut(f'SELECT * FROM ({words}) _w WHERE n >= 8 AND length(word) >= 4')}) c ON r.v = c.v
-      WHERE levenshtein(r.word, c.word) <= 1) _x GROUP BY word"""
+    upto = d.upto("1", "length(word)")
+    one = d.each(upto, "i", "substr(word, 1, i - 1) || substr(word, i + 1)")
+    two = f"flatten({d.each(upto, 'i', d.each(d.upto('1', 'i'), 'j', 'substr(word, 1, j - 1) || substr(word, j + 1, i - j - 1) || substr(word, i + 1)'))})"
+    both = f"array_distinct(concat(array(word), {one}, {two}))" if d.name == "spark" else f"list_distinct(list_concat([word], {one}, {two}))"
+    cut = lambda rel: d.rows(f"SELECT word, n FROM ({rel}) _v", both, "pos", "v")
+    swaps = lambda w: d.each(d.upto("1", f"length({w}) - 1"), "i", f"substr({w}, 1, i - 1) || substr({w}, i + 1, 1) || substr({w}, i, 1) || substr({w}, i + 2)")
+    near = f"CASE WHEN levenshtein(a, b) <= 1 OR length(a) = length(b) AND {d.has(swaps('a'), 'b')} THEN 1 WHEN levenshtein(a, b) = 2 OR {d.some(swaps('a'), 's', 'levenshtein(s, b) <= 1')} OR {d.some(swaps('b'), 's', 'levenshtein(a, s) <= 1')} THEN 2 ELSE 3 END"
+    rare = f"SELECT * FROM ({words}) _w WHERE n < 3 AND length(word) BETWEEN 4 AND 12"
+    known = f"SELECT * FROM ({words}) _w WHERE n >= 3 AND length(word) >= 2"
+    pairs = f"SELECT DISTINCT r.word AS a, c.word AS b, c.n FROM ({cut(rare)}) r JOIN ({cut(known)}) c ON r.v = c.v"
+    best = f"SELECT a, {d.pick('b', d.struct('-edits', 'n', 'length(b)', 'b'))} AS fix, {d.pick('n', d.struct('-edits', 'n', 'length(b)', 'b'))} AS n FROM (SELECT a, b, n, {near} AS edits FROM ({pairs}) _p) _q WHERE edits <= 2 GROUP BY a"
+    return f"SELECT a AS word, fix FROM ({best}) _b WHERE n >= 8"
 
 
 def _html_text(d):  # S10, by patterns
@@ -132,13 +158,18 @@ def _tags(d):  # H1, counts
     return "SELECT page_id, " + ", ".join(f"{d.n('html', f'(?i)<{t}[ >]')} AS n_{t}" for t in ("p", "b", "li", "a", "h1", "br", "nav")) + " FROM pages"
 
 
-def _index(d):  # Q6, K6: pages of each term
-    hits = f"SELECT DISTINCT term, page_no FROM (SELECT {d.at(R.tokens(d, 'text', 'latin'), '1')} AS term FROM benchmark) b JOIN ({O.pages(d, feeds(d))}) p ON contains(lower(p.page), ' ' || b.term || ' ')"
-    return f"SELECT doc_id AS term, upper(substr({R.index_key(d, 'doc_id')}, 1, 1)) AS letter, runs FROM ({O.page_runs(d, f'SELECT term AS doc_id, CAST(page_no AS BIGINT) AS n FROM ({hits}) _h')}) _r"
+def _index(d):  # Q6, K6: pages of each word of the terms; words meet words, so nothing is searched by nested loops
+    terms = f"SELECT DISTINCT w AS term FROM ({d.rows('SELECT item_id, text FROM benchmark', R.tokens(d, 'text', 'latin'), 'pos', 'w')}) _t"
+    found = f"SELECT DISTINCT w, page_no FROM ({d.rows(O.pages(d, feeds(d)), R.tokens(d, 'page', 'latin'), 'pos', 'w')}) _p"
+    hits = f"SELECT b.term, p.page_no FROM ({found}) p JOIN ({terms}) b ON p.w = b.term"
+    return f"SELECT doc_id AS term, replace(upper(substr({R.index_key(d, 'doc_id')}, 1, 1)), 'ẞ', 'SS') AS letter, runs FROM ({O.page_runs(d, f'SELECT term AS doc_id, CAST(page_no AS BIGINT) AS n FROM ({hits}) _h')}) _r"
 
 
-def _spread(d):  # P25: which pages are spreads
-    return f"SELECT page_id, w, h, CASE WHEN w >= CAST(1.05 AS DOUBLE) * h THEN 'split' ELSE 'keep' END AS act, sum(CASE WHEN w >= CAST(1.05 AS DOUBLE) * h THEN 2 ELSE 1 END) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS last_page FROM (SELECT page_id, CAST(400 + page_id % 7 * 50 AS DOUBLE) AS w, CAST(600 AS DOUBLE) AS h FROM pages) _p"
+def _spread(d, ratio=1.05, none_below=2, all_pages=False):  # P25: which pages of a book are spreads, and the page numbers that come of it
+    act = f"CASE WHEN i <= {none_below} THEN 'keep' WHEN {'true' if all_pages else 'false'} OR w >= CAST({ratio} AS DOUBLE) * h THEN 'split' ELSE 'keep' END"
+    sized = "SELECT page_id % 25 AS book, page_id, CAST(400 + page_id % 7 * 50 AS DOUBLE) AS w, CAST(600 AS DOUBLE) AS h FROM pages"
+    own = f"SELECT *, {act} AS act FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_id) AS i FROM ({sized}) _p) _q"
+    return f"SELECT book, page_id, w, h, act, sum(CASE WHEN act = 'split' THEN 2 ELSE 1 END) OVER (PARTITION BY book ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS last_page FROM ({own}) _r"
 
 
 def _sizes(d):  # W23: font sizes, in tenths of a point, linked while the gap to the last is small
@@ -167,9 +198,10 @@ def _median(d):  # G4: the upper median
     return f"SELECT doc_id, max(CASE WHEN i = n {'div' if d.name == 'spark' else '//'} 2 + 1 THEN v END) AS median FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY v) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, CAST(length(line) AS BIGINT) AS v FROM ({damaged_lines(d)}) _l) _m) _n GROUP BY doc_id"
 
 
-def _fingerprint(d):  # G18, Q4
-    part = f"CAST(doc_id AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) || ':' || n_chars"
-    return f"SELECT source, md5({d.gather(part, 'doc_id', '|')}) AS print FROM documents GROUP BY source"
+def _fingerprint(d):  # G18, Q4: a sum of the files' digests, so their order doesn't matter and no task sees all names
+    part = f"md5(CAST(doc_id AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) || ':' || n_chars)"
+    number = f"CAST(conv(substr({part}, 1, 12), 16, 10) AS DECIMAL(38, 0))" if d.name == "spark" else f"CAST(('0x' || substr({part}, 1, 12))::BIGINT AS DECIMAL(38, 0))"
+    return f"SELECT source, CAST(sum({number}) AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) || '/' || count(*) AS print FROM documents GROUP BY source"
 
 
 def _sample(d):  # G16: every k-th page by a fixed step
@@ -229,12 +261,14 @@ def _cues(d):
     return "SELECT conv_id AS doc_id, turn AS line_no, coalesce(text, '') AS line FROM conversations UNION ALL SELECT conv_id, turn + 1000, coalesce(text, '') FROM conversations"
 
 
-def _overlap(d):  # W18: the longest suffix of what is out that the cue begins with isn't said again
-    words = f"SELECT doc_id, {d.collect('line', 'line_no')} AS cues FROM (SELECT conv_id AS doc_id, turn AS line_no, {d.join(d.cut(d.split('text', ' '), 1, 12), ' ')} AS line FROM conversations UNION ALL SELECT conv_id, turn + 0.5, {d.join(d.cut(d.split('text', ' '), 7, 12), ' ')} FROM conversations) _c GROUP BY doc_id"
+def _overlap(d):  # W18: the longest suffix of what is out that the cue begins with isn't said again; a cue of the second half follows each turn
+    half = d.join("slice(_w, CAST(size(_w) / 2 AS INT) + 1, size(_w))" if d.name == "spark" else "list_slice(_w, CAST(floor(len(_w) / 2) AS INT) + 1, len(_w))", " ")
+    turns = f"SELECT conv_id, turn, text, {d.split('text', ' ')} AS _w FROM conversations WHERE text IS NOT NULL"
+    words = f"SELECT doc_id, {d.collect('line', 'line_no')} AS cues FROM (SELECT conv_id AS doc_id, turn * 2 AS line_no, text AS line FROM ({turns}) _t UNION ALL SELECT conv_id, turn * 2 + 1, {half} || ' and on' FROM ({turns}) _u) _c GROUP BY doc_id"
     if d.name == "spark":
-        fold = "aggregate(transform(cues, c -> filter(split(c, ' '), w -> w <> '')), cast(array() as array<string>), (a, c) -> concat(a, slice(c, 1 + array_max(filter(sequence(0, least(size(a), size(c))), k -> k = 0 OR slice(a, size(a) - k + 1, k) = slice(c, 1, k))), greatest(size(c), 1))))"
+        fold = "aggregate(transform(cues, c -> filter(split(c, ' '), w -> w <> '')), cast(array() as array<string>), (a, c) -> concat(a, slice(c, 1 + array_max(filter(sequence(0, least(size(a), size(c))), k -> k = 0 OR (a[size(a) - k] = c[0] AND slice(a, size(a) - k + 1, k) = slice(c, 1, k)))), greatest(size(c), 1))))"
     else:
-        fold = "list_reduce(list_transform(cues, lambda c: list_filter(string_split(c, ' '), lambda w: w <> '')), lambda a, c: list_concat(a, list_slice(c, 1 + list_max(list_filter(range(0, least(len(a), len(c)) + 1), lambda k: k = 0 OR list_slice(a, len(a) - k + 1, len(a)) = list_slice(c, 1, k))), len(c))))"
+        fold = "list_reduce(list_transform(cues, lambda c: list_filter(string_split(c, ' '), lambda w: w <> '')), lambda a, c: list_concat(a, list_slice(c, 1 + list_max(list_filter(range(0, least(len(a), len(c)) + 1), lambda k: k = 0 OR (a[len(a) - k + 1] = c[1] AND list_slice(a, len(a) - k + 1, len(a)) = list_slice(c, 1, k)))), len(c))))"
     return f"SELECT doc_id, {d.join(fold, ' ')} AS text FROM ({words}) _w"
 
 
@@ -251,23 +285,23 @@ BUILDERS: dict[str, Callable[..., str]] = {
     "s14_cues": lambda d: f"SELECT doc_id, line_no, {R.caption(d, 'line')} AS line FROM ({damaged_lines(d)}) _l WHERE NOT contains(line, '-->')",
     "s18_glossary_leaks": _glossary,
     "k7_srt": lambda d: f"SELECT doc_id, s, {R.srt_time(d, 's')} AS t0, {R.srt_time(d, 'e')} AS t1 FROM ({_segments(d)}) _s",
-    "k12_combined": lambda d: f"SELECT source, {d.gather('text', 'doc_id', chr(10) * 2 + '---' + chr(10) * 2)} AS md FROM documents GROUP BY source",
+    "k12_combined": lambda d: f"SELECT conv_id, {d.gather('text', 'turn', chr(10) * 2 + '---' + chr(10) * 2)} AS md FROM conversations GROUP BY conv_id",
     "p1_page_numbers": _flag(P.page_number), "p2_ocr_page_numbers": _flag(P.ocr_page_number), "p3_roman_headings": _flag(P.roman_heading),
     "p4_running_heads": _flag(P.running_head), "p4_running_heads_at_start": _flag(P.running_head, start=True), "p5_folded_heads": _flag(P.running_head_folded),
     "p6_heads_with_folio": _flag(P.head_with_folio), "p7_garbage_lines": _flag(P.garbage_line),
     "p8_garbage_paragraphs": lambda d: f"SELECT doc_id, para_no, {P.garbage_paragraph(d, 'text')} AS hit FROM ({_paras(d)}) _q",
     "p9_caps_headings": _flag(P.caps_heading), "p10_ocr_headings": _flag(P.ocr_heading), "p11_layout_headings": _flag(P.layout_heading), "p12_chapter_markers": _markers,
-    "p13_skippable_units": _flag(P.skippable_unit), "p14_garbled_tokens": lambda d: f"SELECT doc_id, pos, w, {P.garbled_token(d, 'w')} AS hit FROM ({d.rows(dirty(d), d.all('text', '[A-Za-z]+'), 'pos', 'w')}) _q",
+    "p13_skippable_units": _flag(P.skippable_unit), "p13_skippable_titles": _flag(P.skippable_title), "p14_garbled_tokens": lambda d: f"SELECT doc_id, pos, w, {P.garbled_token(d, 'w')} AS hit FROM ({d.rows(dirty(d), d.all('text', '[A-Za-z]+'), 'pos', 'w')}) _q",
     "p15_garbage_blocks": _flag(P.garbage_block), "p16_corruption": lambda d: f"SELECT doc_id, line_no, round({P.corruption_score(d, 'line')}, 4) AS score FROM ({damaged_lines(d)}) _q",
-    "p17_garbled_cells": _garbled_cells, "p18_artifacts": lambda d: O.artifacts(d, _paras(d)), "p19_proofread": _lines(O.proofread), "p20_index_heads": _flag(P.plausible_head),
+    "p17_garbled_cells": _garbled_cells, "p18_artifacts": lambda d: O.artifacts(d, dirty(d)), "p19_proofread": lambda d: O.proofread(d, dirty(d)), "p20_index_heads": _flag(P.plausible_head),
     "p21_terminal": _flag(P.ends_terminal), "p22_only": lambda d: "SELECT doc_id, source FROM documents WHERE contains(lower(source), 'c1')", "p23_latin": _flag(P.latin), "p25_spreads": _spread, "p26_leaked_notes": _flag(P.leaked_note),
     "p27_anchors": _anchor, "p28_unquotable": _flag(P.unquotable), "p28_backmatter": _flag(P.backmatter), "p29_citations": _lines(O.citations),
     "r1_slugs": _rewrite(R.slug), "r1_slugs_lower": _rewrite(R.slug, most=20, lower=True), "r2_fold": _rewrite(R.folded), "r5_diacritics": _rewrite(R.diacritics), "r6_docling": _rewrite(R.docling), "r7_ordinals": _rewrite(R.ordinals),
-    "r9_pronoun": _rewrite(R.pronoun), "r10_join_lines": _whole(R.join_lines), "r11_join_paragraph": _whole(R.join_paragraph), "r12_dehyphenate": lambda d: f"SELECT doc_id, {R.dehyphenate(d, 's || ' + chr(39) + '-' + chr(39), chr(39) + 'end' + chr(39))} AS s FROM ({sentences(d)}) _q",
+    "r9_pronoun": _rewrite(R.pronoun), "r10_join_lines": _whole(R.join_lines), "r11_join_paragraph": _whole(R.join_paragraph), "r12_dehyphenate": lambda d: f"SELECT doc_id, line_no, {R.dehyphenate(d, 's || ' + chr(39) + '-' + chr(39), chr(39) + 'end' + chr(39))} AS s FROM ({sentences(d)}) _q",
     "r13_leading_numbers": lambda d: f"SELECT doc_id, line_no, {R.leading_number(d, 'line')} AS s FROM ({damaged_lines(d)}) _q",
     "r14_fixes": _rewrite(R.fixes), "r15_title_case": _rewrite(R.title_case), "r17_promoted_headings": lambda d: f"SELECT doc_id, line_no, CASE WHEN {P.caps_heading(d, 'line')} THEN '## ' || {R.title_case(d, 'line')} ELSE line END AS s FROM ({damaged_lines(d)}) _q",
     "r18_echoed_title": lambda d: O.leading_run(d, _paras(d), d.like("lower(text)", "^(the|der|la|le)")), "r20_soft_hyphens": _rewrite(R.soft_hyphens), "r21_collapse": lambda d: f"SELECT doc_id, line_no, {R.collapse_spaces(d, 'line')} AS s FROM ({damaged_lines(d)}) _q",
-    "r22_tidy": _whole(R.tidy), "r23_openings": _lines(O.openings), "r24_bracket_refs": _rewrite(R.bracket_refs), "r29_glyphs": lambda d: f"SELECT doc_id, line_no, {R.glyph(d, 'line')} AS s FROM ({damaged_lines(d)}) _q WHERE contains(line, '_img_')",
+    "r22_tidy": _whole(R.tidy), "r23_openings": lambda d: O.openings(d, _opened(d)), "r24_bracket_refs": _rewrite(R.bracket_refs), "r29_glyphs": lambda d: f"SELECT doc_id, line_no, {R.glyph(d, 'line')} AS s FROM ({damaged_lines(d)}) _q WHERE contains(line, '_img_')",
     "r30_tex_symbols": _rewrite(R.tex_symbols), "r32_captions": lambda d: f"SELECT doc_id, line_no, {R.caption(d, 'line')} AS s FROM ({damaged_lines(d)}) _q",
     "r33_seconds": lambda d: f"SELECT doc_id, {R.seconds(d, 't')} AS secs FROM (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '1:' ELSE '12:' END) || (n_chars % 60) || (CASE WHEN doc_id % 5 = 0 THEN '' ELSE ':' || (doc_id % 60) END) AS t FROM documents) _q",
     "r34_tex_escape": _rewrite(R.tex_escape), "r35_reference_text": _whole(R.reference_text), "r36_index_keys": _rewrite(R.index_key), "r37_page_runs": lambda d: O.page_runs(d, _numbers(d)), "r38_first_titles": _whole(R.first_title),
@@ -275,14 +309,14 @@ BUILDERS: dict[str, Callable[..., str]] = {
     "r40_hrefs": lambda d: f"SELECT doc_id, {R.resolve_href(d, 'url', chr(39) + 'OEBPS/text/..' + chr(39))} AS href FROM ({_urls(d)}) _u",
     **{f"r41_tokens_{k}": (lambda k: lambda d: f"SELECT doc_id, {d.size(R.tokens(d, 'text', k))} AS n, {d.join(R.tokens(d, 'text', k), ' ')} AS s FROM ({dirty(d)}) _q")(k) for k in ("word", "latin", "ascii", "apostrophe")},
     "r42_body": _whole(R.body), "r43_numbered_notes": lambda d: f"SELECT doc_id, {d.join(R.numbered_marks(d, 'text'), ',')} AS marks, {d.join(R.numbered_notes(d, 'text'), '|')} AS notes FROM ({dirty(d)}) _q",
-    "w1_page_paragraphs": _lines(O.page_paragraphs), "w3_merged_paragraphs": lambda d: O.merged(d, _paras(d)), "w4_reflow": _lines(O.reflow), "d6_paragraphs": _paras, "w7_passages": _lines(O.passages), "w8_split_by_heading": _lines(O.split_headings),
+    "w1_page_paragraphs": _lines(O.page_paragraphs), "w3_merged_paragraphs": _local(O.local_merged, lambda d: O.merged(d, _paras(d))), "w4_reflow": _lines(O.reflow), "d6_paragraphs": _paras, "w7_passages": _passages, "w8_split_by_heading": _local(O.local_split, lambda d: O.split_headings(d, damaged_lines(d))),
     "w9_plan_starts": lambda d: O.plan_starts(d, damaged_lines(d), _plan(d)), "w10_numbered_sections": _lines(O.sections_by_number), "w11_rtf_body": _lines(O.rtf_body), "w12_note_pool": _lines(O.note_pool), "w13_foot_zone": _lines(O.foot_zone), "w14_end_notes": _lines(O.end_notes),
     "w15_body_start": lambda d: O.body_start(d, _paras(d)), "w16_note_definitions": _lines(O.note_definitions), "w18_consecutive_cues": lambda d: O.consecutive_cues(d, _cues(d)), "w18_overlap": _overlap, "w23_size_tiers": _sizes, "w24_quotes": _quotes,
-    "w27_outside_fences": _lines(O.fences), "w28_context": lambda d: O.context(d, damaged_lines(d), "contains(line, 'the ')", 1), "w30_relocated_notes": _lines(O.relocated_notes), "w31_split_definitions": _lines(O.merge_split_definitions),
+    "w27_outside_fences": _local(O.local_fences, lambda d: O.fences(d, damaged_lines(d))), "w28_context": lambda d: O.context(d, damaged_lines(d), "contains(line, 'the ')", 1), "w30_relocated_notes": _lines(O.relocated_notes), "w31_split_definitions": _lines(O.merge_split_definitions),
     "j4_notes": _notes_join, "j7_citation_keys": _cited, "g1_word_map": lambda d: O.word_map(d, dirty(d)), "g2_word_counts": lambda d: O.word_counts(d, "SELECT text FROM documents"), "g3_mode": _mode, "g4_median": _median, "g5_hits": _search,
     "g7_ratio": _ratio, "g8_note_balance": lambda d: O.note_balance(d, dirty(d)), "g9_noise": _noise, "g10_translation": _translation, "g12_lost_numbers": _multiset, "g13_corruption": _corruption, "g14_missing_numbers": lambda d: O.missing_numbers(d, _numbers(d)),
-    "g16_page_sample": _sample, "g18_fingerprint": _fingerprint, "e4_note_pools": _pools, "l2_completeness": _completeness, "l6_spelling": _spelling, "q1_postings": lambda d: O.fts_postings(d, O.passages(d, damaged_lines(d))),
-    "q2_bm25": lambda d: O.bm25(d, O.fts_postings(d, O.passages(d, damaged_lines(d))), ("the", "token", "ersh", "license")), "q6_index": _index, "h1_tags": _tags,
+    "g16_page_sample": _sample, "g18_fingerprint": _fingerprint, "e4_note_pools": _pools, "l2_completeness": _completeness, "l6_spelling": _spelling, "q1_postings": lambda d: O.fts_postings(d, _passages(d)),
+    "q2_bm25": lambda d: O.bm25(d, (O.fts_tokens if d.name == "spark" else O.fts_postings)(d, _passages(d)), ("the", "token", "ersh", "license")), "q6_index": _index, "h1_tags": _tags,
     "m1_roles": lambda d: O.roles(d, _heads(d)), "m2_chapter_titles": lambda d: f"SELECT doc_id, {R.strip_chapter(d, chr(39) + '# Chapter 4 — ' + chr(39) + ' || text')} AS s FROM documents",
     "m3_first_chapter": lambda d: f"SELECT doc_id, {R.star_first_chapter(d, chr(39) + 'x ' + chr(92) * (2 if d.name == 'spark' else 1) + 'chapter{A {b} c} y ' + chr(39) + ' || text')} AS s FROM documents",
     "m4_star_sections": lambda d: f"SELECT doc_id, {R.star_sections(d, chr(39) + 'x ' + chr(92) * (2 if d.name == 'spark' else 1) + 'section{A} ' + chr(39) + ' || text')} AS s FROM documents",
@@ -345,7 +379,7 @@ def _same_paragraphs(d):  # J9: paragraphs that a translation left as they were
 
 def _variants(d):  # J11: of a term's variants the first that any page has
     terms = "SELECT 'x' AS term, 1 AS rank, 'zzzz' AS v UNION ALL SELECT 'x', 2, 'the' UNION ALL SELECT 'x', 3, 'of' UNION ALL SELECT 'y', 1, 'der' UNION ALL SELECT 'y', 2, 'und'"
-    hits = f"SELECT t.term, t.rank, t.v, p.doc_id, p.page_no FROM ({O.pages(d, feeds(d))}) p JOIN ({terms}) t ON contains(lower(p.page), ' ' || t.v || ' ')"
+    hits = f"SELECT DISTINCT t.term, t.rank, t.v, p.doc_id, p.page_no FROM ({d.rows(O.pages(d, feeds(d)), R.tokens(d, 'page'), 'pos', 'w')}) p JOIN ({terms}) t ON p.w = t.v"
     return f"SELECT doc_id, term, v, count(*) AS pages FROM (SELECT *, min(rank) OVER (PARTITION BY doc_id, term) AS first FROM ({hits}) _h) _i WHERE rank = first GROUP BY doc_id, term, v"
 
 
@@ -382,11 +416,11 @@ def _first_success(d):  # E5: of a key's rows the first that succeeded
 
 
 def _kinds(d):  # G6
-    return f"SELECT kind, count(*) AS n FROM ({O.artifacts(d, _paras(d))}) _a GROUP BY kind"
+    return f"SELECT kind, count(*) AS n FROM ({O.artifacts(d, dirty(d))}) _a GROUP BY kind"
 
 
 def _changes(d):  # G17: what a rewrite changed, and how often
-    old, new = d.rows(sentences(d), d.split("s", " "), "pos", "w"), R.fixes(d, "w", (("an", "AN"), ("er$", "ER")))
+    old, new = d.rows(f"SELECT doc_id, s FROM ({sentences(d)}) _s", d.split("s", " "), "pos", "w"), R.fixes(d, "w", (("an", "AN"), ("er$", "ER")))
     return f"SELECT w, fixed, count(*) AS n FROM (SELECT w, {new} AS fixed FROM ({old}) _w) _x WHERE w <> fixed GROUP BY w, fixed"
 
 
@@ -396,9 +430,17 @@ def _line_diff(d):  # L5: lines that only one side has
     return f"SELECT doc_id, '-' AS side, line FROM ({old} EXCEPT ALL {new}) _a UNION ALL SELECT doc_id, '+', line FROM ({new} EXCEPT ALL {old}) _b"
 
 
-def _pool_file(d):  # P24: the unit that looks most like a pool of notes, the first among equals
-    score = f"2 * {d.n('html', '<p')} + {d.n('html', '<a ')}"
-    return f"SELECT page_id % 10 AS book, {d.pick('page_id', d.struct('score', '-page_id'))} AS pool, max(score) AS score FROM (SELECT page_id, {score} AS score FROM pages) _s GROUP BY page_id % 10"
+def _pool_file(d):  # P24: of a book's units whose names say notes the one with most of them, the first among equals, and how its notes are marked
+    name = f"{d.ext('url', '([^/]*)/?$', 1)} || CASE page_id % 4 WHEN 0 THEN '_endnotes.xhtml' WHEN 1 THEN ' notas.xhtml' WHEN 2 THEN '_Footnote.html' ELSE '.xhtml' END"
+    more = "CASE page_id % 5 WHEN 0 THEN '<p class=\"a footnote\" id=\"fn1\">x</p>' WHEN 1 THEN '<p id=\"nt3\">y</p><p id=\"note4\">z</p>' ELSE '' END"
+    units = f"SELECT page_id % 25 AS book, page_id, {name} AS name, html || {more} AS html FROM pages"
+    wordy = r"[^\p{L}\p{N}_]"
+    named = d.like("lower(name)", f"footnote|endnote|(^|{wordy})(notas?|notes?)({wordy}|$)")
+    score = "2 * " + d.n("html", 'class="[^"]*footnote') + " + " + d.n("html", '(?i)id="[^"]*(fn|nt|note)[0-9]')
+    by_p = f"{d.like('html', '(?i)<p[^>]*id=' + chr(34) + '[^' + chr(34) + ']*(nt|note)[0-9]')} AND NOT {d.like('html', '<p[^>]*class=' + chr(34) + '[^' + chr(34) + ']*footnote')}"
+    scored = f"SELECT book, page_id, {score} AS score, CASE WHEN {by_p} THEN 'by_p_id' ELSE 'by_a_id' END AS style FROM ({units}) _u WHERE {named}"
+    best = lambda x: d.pick(x, d.struct("score", "-page_id"))
+    return f"SELECT book, {best('page_id')} AS pool, {best('style')} AS style, max(score) AS score FROM ({scored}) _s GROUP BY book"
 
 
 BUILDERS |= {
@@ -414,12 +456,17 @@ BUILDERS |= {
 
 
 def run_sql(spark: SparkSession, sf_dir: str, builder: Callable[..., str]) -> DataFrame:
-    """The query over the tables of a folder. Views are bound when the query is analysed, that is at once."""
+    """The query over the tables of a folder; they are bound by value, so no view of the session is replaced."""
     text = builder(SPARK)
-    for name in TABLES:
-        if name in text:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(text)
+    named = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if re.search(rf"(FROM|JOIN) {name}\b", text)}
+    for name in named:
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", _braced(text) if name == next(iter(named)) else text)
+    return spark.sql(text, **named) if named else spark.sql(text)
+
+
+def _braced(text: str) -> str:
+    """Braces of the text itself, doubled for the formatter that binds the tables."""
+    return text.replace("{", "{{").replace("}", "}}")
 
 
 def _folded(function: Callable[[str], str], table: Callable[..., str] = dirty) -> Callable[[SparkSession, str], DataFrame]:
@@ -438,8 +485,7 @@ def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage against a copy from which words were taken."""
-    spark.read.parquet(f"{sf_dir}/benchmark.parquet").createOrReplaceTempView("benchmark")
-    pairs = spark.sql("SELECT item_id, text, array_join(filter(split(text, ' '), (w, i) -> i < 4 OR i > 8), ' ') AS got FROM benchmark")
+    pairs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id", "text", "array_join(filter(split(text, ' '), (w, i) -> i < 4 OR i > 8), ' ') AS got")
     return folds.rows_map(pairs, lambda a, b: folds.gaps(a, b), "item_id long, tag string, place int, span string", "item_id", "text", "got")
 
 
@@ -448,7 +494,7 @@ FOLDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w17_rebuilt_notes": _folded(folds.rebuild_notes),
     "r25_glued_marks": _folded(lambda t: folds.glued_marks(t, {1, 2, 3, 4, 11})),
     "r26_split_marks": _folded(lambda t: folds.split_marks(t, set(range(10, 60)))),
-    "r8_romans": _folded(folds.fix_romans, lambda d: sentences(d).replace(" AS s FROM", " AS text FROM")),
+    "r8_romans": _folded(folds.fix_romans, lambda d: f"SELECT doc_id, coalesce(text, '') || {_case(d, SENTENCES)} AS text FROM documents"),
     "q3_snippets": _folded(lambda t: folds.snippet(t, {"the", "ersh", "der"})),
     "r31_strip_command": _folded(lambda t: folds.strip_command(t, "chapter")),
     "h2_html_blocks": _html_blocks,
