@@ -112,7 +112,7 @@ def test_proofreading(spark):
     assert show("word [^1]") == ["space_before_note"] and show("¿por qué") == ["unclosed_opening"] and show("¿por qué?") == []
     assert show("of de de old") == ["repeated_word"] and show("muy muy bien") == [] and show("de, de") == [] and show("De de") == ["repeated_word"]
     assert show("a\n\n\n\n\nb") == ["third_blank"] and show("a\n\n\nb") == []
-    assert show("```\ntwo  spaces\n```\nfine") == [] and show("`it's  so` then [x](it's) or https://x.y/a'b") == []
+    assert show("```\ntwo  spaces\n```\nfine") == [] and show("https://x.y/a'b and [x](it's)`it's  so`.") == []
 
 
 def test_roles(spark):
