@@ -5,13 +5,14 @@ leftmost first among equals, and merges the top pair until none is left. Where n
 space mark behind another character, as in the usual vocabularies, nothing merges across the start
 of a word, so the words of a batch are encoded side by side: every step takes the top of each word's
 agenda at once, in numpy. Otherwise, and for words beyond `WIDE` characters, a heap serves. In every
-Arrow batch the sentencepiece library encodes the same strings and the two are compared: each word
-not yet met, where words are apart, else the whole texts. A text matches if all of its words do.
+Arrow batch the sentencepiece library encodes the same texts, whole, and the ids are compared. The vocabulary file is shipped
+to the executors, which need no copy of their own.
 
 Defined results: null or empty text has no ids, decodes to the empty string and matches. Characters
 outside the vocabulary become bytes where the vocabulary has them, else the unknown id. A space
 mark (U+2581) in a text decodes to a space, as in the library. Repeated rows give repeated rows;
-nulls in doc_id stay.
+nulls in doc_id stay. Texts of any length are encoded whole; pairs of one score merge from the left. An empty table gives no rows.
+Extra columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import functools
 import gc
 import heapq
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import flat, slices, trimmed
@@ -102,7 +105,6 @@ class Codec:
         # ids of words as the bytes of 32-bit numbers, which take little room and are joined at once
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what the memo held before it was full; words still in use come back from there
-        self.wrong: set[str] = set()  # words on which the library differs
 
     def _final(self, symbols: list[int], chars: str) -> tuple[int, ...]:
         """Ids; a symbol outside the vocabulary is one character, which becomes bytes."""
@@ -228,16 +230,6 @@ class Codec:
         for own in classes.values():
             for a in range(0, len(own), 4096):
                 self.memo.update(zip(own[a : a + 4096], self.side_by_side(own[a : a + 4096])))
-        words = list(words)
-        cut = len(self.prefix)
-        theirs = self.library.encode([x[cut:].replace(MARK, " ") for x in words], num_threads=1)
-        ours = [*map(self.memo.__getitem__, words)]
-        if b"".join(ours) != _packed(itertools.chain.from_iterable(theirs)) or [*map(len, ours)] != [4 * len(z) for z in theirs]:
-            for x, y, z in zip(words, ours, map(_packed, theirs)):
-                if y != z and not x.strip(MARK):  # marks alone end a text; a full stop before them keeps the library's own prefix apart
-                    z = _packed(self.library.encode("." + " " * len(x))[len(self.library.encode(".")) :])
-                if y != z:
-                    self.wrong.add(x)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the library agrees."""
@@ -255,20 +247,25 @@ class Codec:
                 gc.enable()
 
     def _pack(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        marked = [self.prefix + x.replace(" ", MARK) if x else "" for x in texts]
+        ids = self._ids([self.prefix + x.replace(" ", MARK) if x else "" for x in texts])
+        theirs = self.library.encode(texts, num_threads=1)
+        # most often all agree: one comparison of everything, then of each
+        if [*map(len, ids)] == [4 * len(z) for z in theirs] and b"".join(ids) == _packed(itertools.chain.from_iterable(theirs)):
+            return ids, [True] * len(ids)
+        return ids, [x == _packed(z) for x, z in zip(ids, theirs)]
+
+    def _ids(self, marked: list[str]) -> list[bytes]:
         if not self.apart:
-            ids = [_packed(self.by_heap(x)) for x in marked]
-            return ids, [x == _packed(y) for x, y in zip(ids, self.library.encode(texts, num_threads=1))]
+            return [_packed(self.by_heap(x)) for x in marked]
         parts = [self.split(x) for x in marked]
         if len(self.memo) > self.most // 2:
             self.memo, self.older = {}, self.memo
-            self.wrong = {x for x in self.wrong if x in self.older}
         new = set().union(*parts) - self.memo.keys()
         known = new & self.older.keys()
         self.memo.update(zip(known, map(self.older.__getitem__, known)))
         self._learn(new - known)
         get = self.memo.__getitem__
-        return [b"".join(map(get, x)) for x in parts], [not self.wrong or self.wrong.isdisjoint(x) for x in parts]
+        return [b"".join(map(get, x)) for x in parts]
 
     def decode(self, lists: list[list[int]]) -> list[str]:
         return [self.unpack(np.asarray(ids, np.int32)) for ids in lists]
@@ -291,11 +288,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def shipped(spark: SparkSession, model: str) -> str:
+    """The name under which the executors find a vocabulary file of the driver's."""
+    spark.sparkContext.addFile(model)  # nothing happens the second time
+    return os.path.basename(model)
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row a document, in one narrow map: ids, whether they equal the library's, and whether they decode to the text."""
 
+    name = shipped(docs.sparkSession, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(SparkFiles.get(name))
         for batch in batches:
             text, doc = flat(batch.column("text")), batch.column("doc_id")
             for a, b in slices(text):
@@ -314,8 +319,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text of rows with doc_id and ids; null ids decode to the empty string."""
 
+    name = shipped(rows.sparkSession, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(SparkFiles.get(name))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(c.decode([x or [] for x in batch.column("ids").to_pylist()]), pa.string())], ["doc_id", "text"])
 
