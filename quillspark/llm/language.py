@@ -2,22 +2,23 @@
 
 A byte-trigram model of every labelled language gives each word a likelihood. A document is a
 mixture: expectation-maximisation estimates the share of each language among its words, and the set
-of languages is the one with the highest penalised likelihood
+of languages is chosen by penalised likelihood
 
-    log L(S) - penalty * (|S| - 1) * log(number of words),  |S| languages, S any non-empty subset.
+    log L(S) - penalty * (|S| - 1) * log(number of words),  |S| languages,
 
-A uniform byte model, always in the mixture and free of the penalty, takes words of no known language.
+from the best single language on, adding the one that raises it most until none does. So the work grows with the
+languages, not with their subsets. A uniform byte model, always in the mixture and free of the penalty, takes words of no known language.
 
 Defined results: null text, empty text or text without a word (words with a digit
 don't count): no languages, `unknown` 1.0, rejected.
-Ties between subsets go to the smaller one, then to the first in alphabetical order. Repeated rows
+Ties go to the smaller set, then to the first language in alphabetical order. Repeated rows
 give repeated rows. No labelled row at all: nothing is known, so nothing is rejected (`keep` true,
-languages empty). An empty table gives an empty result. Null doc_id stays null.
+languages empty). An empty table gives an empty result. Null doc_id stays null. Texts are read whole, however long;
+extra columns, whatever their names, are left aside by `identify` and kept by `kept`.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,8 +103,8 @@ def fit(docs: DataFrame, bound: int = 2000, smooth: float = 0.5) -> tuple[list[s
 
 
 def _em(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares and log-likelihood of each text over the allowed components; p is scaled by its row maximum."""
-    theta = np.repeat((allowed / allowed.sum())[None, :], len(counts), axis=0).astype(np.float32)
+    """Shares and log-likelihood of each text over its allowed components (rows of 0 and 1); p is scaled by its row maximum."""
+    theta = (allowed / allowed.sum(axis=1, keepdims=True)).astype(np.float32)
     n = counts[:, None].astype(np.float32)
     for _ in range(steps):
         r = p * np.repeat(theta, counts, axis=0)
@@ -112,6 +113,12 @@ def _em(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, allowed: np.ndarr
     return theta, np.add.reduceat(np.log(np.maximum(np.einsum("ij,ij->i", p, np.repeat(theta, counts, axis=0)), 1e-30)), starts)
 
 
+def _most(p: np.ndarray, starts: np.ndarray, counts: np.ndarray, theta: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """What no shares over all components can exceed: the likelihood is concave, so its tangent bounds it."""
+    each = p / np.maximum(np.einsum("ij,ij->i", p, np.repeat(theta, counts, axis=0)), 1e-30)[:, None]
+    return score + np.add.reduceat(each, starts, axis=0).max(axis=1) - counts
+
+
 def infer(col: pa.Array, names: list[str], model: np.ndarray, penalty: float, steps: int, unknown_most: float) -> list[tuple]:
     """languages, shares, unknown, main, n_words, keep for each text."""
     out: list[tuple] = []
@@ -128,29 +135,35 @@ def infer(col: pa.Array, names: list[str], model: np.ndarray, penalty: float, st
         counts = w.counts[have]
         starts = np.cumsum(counts) - counts
         p = np.exp(ll - ll.max(axis=1, keepdims=True))
-        full, top = _em(p, starts, counts, np.ones(k + 1), steps)
         cost = penalty * np.log(np.maximum(counts, 2))
         best = np.full(len(have), -np.inf)
         theta = np.zeros((len(have), k + 1), np.float32)
-        for x in range(k):
-            allowed = np.zeros(k + 1)
-            allowed[[x, k]] = 1
-                    # the language with the largest share of the full mixture stands for the single ones here
-            mine = np.flatnonzero(full[:, :k].argmax(axis=1) == x)
-            if len(mine):
-                t, s = _sub(p, counts, starts, mine, allowed, steps)
-                theta[mine], best[mine] = t, s
-        # no larger set beats the full one's likelihood, so these alone can gain from a second language
-        rest = np.flatnonzero(top - cost > best)
-        if len(rest):
-            for size in range(1, k + 1):
-                for chosen in itertools.combinations(range(k), size):
-                    allowed = np.zeros(k + 1)
-                    allowed[[*chosen, k]] = 1
-                    t, s = _sub(p, counts, starts, rest, allowed, steps)
-                    s = s - cost[rest] * (size - 1)
-                    better = s > best[rest] + 1e-6
-                    best[rest[better]], theta[rest[better]] = s[better], t[better]
+        for x in range(k):  # each language alone
+            t, s = _em(p[:, [x, k]], starts, counts, np.ones((len(have), 2)), steps)
+            better = s > best + 1e-6
+            best[better], theta[better] = s[better], 0
+            theta[better, x], theta[better, k] = t[better, 0], t[better, 1]
+        chosen = theta > 0
+        chosen[np.arange(len(have)), theta[:, :k].argmax(axis=1)] = True
+        chosen[:, k] = True
+        full, top = _em(p, starts, counts, np.ones((len(have), k + 1)), steps)
+        # only where all languages together could gain more than a second one costs
+        rest = np.flatnonzero(_most(p, starts, counts, full, top) - cost > best) if k > 1 else np.zeros(0, np.int64)
+        for size in range(2, k + 1):
+            if not len(rest):
+                break
+            size_of, now = counts[rest], best[rest].copy()
+            q = p[np.arange(int(size_of.sum())) - np.repeat(np.cumsum(size_of) - size_of - starts[rest], size_of)]
+            first, base, grown = np.cumsum(size_of) - size_of, chosen[rest].copy(), np.zeros(len(rest), bool)
+            for x in range(k):
+                allowed = base.astype(float)
+                allowed[:, x] = 1
+                t, s = _em(q, first, size_of, allowed, steps)
+                s = s - cost[rest] * (size - 1)
+                better = (s > now + 1e-6) & ~base[:, x]
+                now[better], grown[better] = s[better], True
+                best[rest[better]], theta[rest[better]], chosen[rest[better]] = s[better], t[better], allowed[better] > 0
+            rest = rest[grown]
         for d, t, n in zip(have, theta.astype(float), counts):
             order = [x for x in np.argsort(-t[:k], kind="stable") if t[x] > 0]
             got[d] = ([names[x] for x in order], [round(float(t[x]), 4) for x in order], round(float(t[k]), 4), names[order[0]] if order else None, int(n), bool(t[k] <= unknown_most))
@@ -158,13 +171,6 @@ def infer(col: pa.Array, names: list[str], model: np.ndarray, penalty: float, st
     return out
 
 
-def _sub(p, counts, starts, mine, allowed, steps):
-    """EM for some of the texts; components that aren't allowed keep a share of 0."""
-    size = counts[mine]
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - starts[mine], size)
-    return _em(p[at], np.cumsum(size) - size, size, allowed, steps)
-
-
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, steps: int = 10, unknown_most: float = 0.5) -> DataFrame:
     """One row a document. keep: at most `unknown_most` of its words belong to no known language.
 

@@ -33,17 +33,56 @@ def test_shares_equal_a_plain_em(spark):
         like.append(model[code].astype(float).sum(axis=0))
     p = np.exp(np.array(like) - np.max(like, axis=1, keepdims=True))
 
+    assert plain(p, names, 10) == (got[0], [round(x, 3) for x in got[1]])
+
+
+def plain(p, names, steps, penalty=4.0):
+    """Languages and shares of a text whose words have the likelihoods p, by loops over words and sets."""
+    n, k = len(p), len(names)
+
     def em(allowed):
-        theta = np.array(allowed) / sum(allowed)
-        for _ in range(10):
-            r = p * theta
-            theta = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
-        return theta, np.log((p * theta).sum(axis=1)).sum()
-
-    cost = 4.0 * math.log(60)
-    best = max(((em(a)[1] - cost * (sum(a) - 2), a) for a in ([1, 0, 1], [0, 1, 1], [1, 1, 1])), key=lambda x: x[0])[1]
-    theta = em(best)[0]
-    assert dict(zip(got[0], got[1])) == {n: round(t, 4) for n, t in zip(names, theta) if t > 1e-6} or np.allclose([got[1][got[0].index(n)] for n in names], theta[:2], atol=2e-3)
+        theta = [1 / len(allowed)] * len(allowed)
+        for _ in range(steps):
+            sums = [0.0] * len(allowed)
+            for row in p:
+                each = [t * row[c] for t, c in zip(theta, allowed)]
+                for j, v in enumerate(each):
+                    sums[j] += v / sum(each)
+            theta = [v / n for v in sums]
+        score = sum(math.log(sum(t * row[c] for t, c in zip(theta, allowed))) for row in p)
+        return score - penalty * (len(allowed) - 2) * math.log(n), theta
+
+    own = max(([x, k] for x in range(k)), key=lambda s: (em(s)[0], -s[0]))
+    while True:
+        more = [sorted([*own, x]) for x in range(k) if x not in own]
+        best = max(more, key=lambda s: em(s)[0], default=own)
+        if em(best)[0] <= em(own)[0] + 1e-6:
+            break
+        own = best
+    theta = em(own)[1]
+    order = sorted(range(len(own) - 1), key=lambda j: -theta[j])
+    return [names[own[j]] for j in order], [round(theta[j], 3) for j in order]
+
+
+def test_sets_of_many_languages_grow_one_by_one(spark):
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    docs = frame(spark, [(100 * j + k, words(60, 100 * j + k, a), f"l{j}", "s") for j, a in enumerate(alphabets) for k in range(30)])
+    names, model = language.fit(docs)
+    mixed = [" ".join(words(30, 7000 + 10 * n + j, a) for j, a in enumerate(alphabets[:n])) for n in range(1, 7)]
+    got = language.infer(pa.array(mixed), names, model, 4.0, 10, 0.5)
+    assert [sorted(r[0]) for r in got] == [names[:n] for n in range(1, 7)]
+    rng = np.random.default_rng(2)
+    for text, row in zip(mixed, got):
+        ll = np.array([model[language._trigrams(language._language_words(pa.array([w])))[0]].astype(float).sum(axis=0) for w in text.split()])
+        p = np.exp(ll - ll.max(axis=1, keepdims=True))
+        langs, shares = plain(p.tolist(), names, 10)
+        assert sorted(langs) == sorted(row[0]) and all(abs(dict(zip(langs, shares))[x] - y) < 2e-3 for x, y in zip(row[0], row[1]))
+        one = np.array([len(p)])
+        theta, score = language._em(p.astype(np.float32), np.array([0]), one, np.ones((1, len(names) + 1)), 10)
+        bound = language._most(p.astype(np.float32), np.array([0]), one, theta, score)[0]
+        for _ in range(50):
+            other = rng.dirichlet(np.ones(len(names) + 1) * 0.3)
+            assert np.log(p @ other).sum() <= bound + 1e-2
 
 
 def test_held_out_accuracy(spark):
