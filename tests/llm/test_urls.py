@@ -28,26 +28,50 @@ def test_rules_against_brute_force(spark):
         bad = (host == "casino-win" and r.random() < 0.95) or (host == "ads" and lang == "de" and tail and r.random() < 0.9) or r.random() < 0.05
         labels.append((k, 0 if bad else 1, 0, "z"))
     df, lab = pages(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, url string")
-    sets = {x.page_id: frozenset(x.t2) for x in df.withColumn("t2", urls.tokens(F.col("url"))).collect()}
     bad = {k for k, q, *_ in labels if q == 0}
-    n, base = len(sets), len(bad) / 600
-    every = {}
-    for s in set(sets.values()):
-        for size in range(1, len(s) + 1):
+    rules = by_counting(tokens_of(df), {k: k in bad for k, *_ in labels}, 0.4)
+    mined = urls.mine(df, lab)
+    assert {tuple(x.rule): (x.confidence, x.sure) for x in mined.collect()} == rules and {s for _, s in rules.values()} == {True, False}
+    check_matches(df, mined, rules)
+
+
+def tokens_of(df):
+    return {x.page_id: frozenset(x.t2) for x in df.withColumn("t2", urls.tokens(F.col("url"))).collect()}
+
+
+def by_counting(sets, bad, least, longest=99):
+    """Rules of every combination of tokens, with their confidence and whether they are sure."""
+    sets = {k: s for k, s in sets.items() if k in bad and s}
+    n = len(sets)
+    base = sum(bad[k] for k in sets) / n
+    own: dict = {}
+    for k, s in sets.items():
+        for size in range(1, min(len(s), longest) + 1):
             for c in itertools.combinations(sorted(s), size):
-                every[c] = None
+                own.setdefault(c, []).append(bad[k])
     rules = {}
-    for c in every:
-        own = [k for k in sets if set(c) <= sets[k]]
-        hit = sum(k in bad for k in own)
-        if hit >= max(0.002 * n, 5) and hit / len(own) >= 0.4 and (hit / len(own) - base) / (base * (1 - base) / len(own)) ** 0.5 >= 4:
-            rules[c] = hit / len(own)
-    rules = {c: v for c, v in rules.items() if not any(set(d) < set(c) and w >= v for d, w in rules.items())}
-    mined = urls.mine(df, lab)
-    assert {tuple(x.rule): x.confidence for x in mined.collect()} == {c: round(v, 6) for c, v in rules.items()} and rules
+    for c, hits in own.items():
+        share = sum(hits) / len(hits)
+        if sum(hits) >= max(0.002 * n, 5) and share >= least:
+            rules[c] = (round(share, 6), (share - base) / (base * (1 - base) / len(hits)) ** 0.5 >= 4)
+    return {c: v for c, v in rules.items() if not any(set(d) < set(c) and w[0] >= v[0] and (w[1] or not v[1]) for d, w in rules.items())}
+
+
+def check_matches(df, mined, rules):
+    sets = tokens_of(df)
     for x in urls.match(df, mined).collect():
         hits = [v for c, v in rules.items() if set(c) <= sets[x.page_id]]
-        assert x.n_rules == len(hits) and x.block == bool(hits) and (not hits or x.confidence == round(max(hits), 6))
+        assert x.n_rules == len(hits) and x.block == any(s for _, s in hits) and x.confidence == max((v for v, _ in hits), default=None)
+
+
+def test_rules_on_the_supplied_pages_against_brute_force(spark):
+    df, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "labels"))
+    bad = {r.doc_id: bool(r.quality == 0 or r.toxic == 1) for r in labels.collect()}
+    owner = {r.page_id: r.d for r in df.select("page_id", urls.document(F.col("url"), F.col("page_id")).alias("d")).collect()}
+    rules = by_counting(tokens_of(df), {k: bad[d] for k, d in owner.items() if d in bad}, 0.2)
+    mined = urls.mine(df, labels, least_confidence=0.2)
+    assert {tuple(x.rule): (x.confidence, x.sure) for x in mined.collect()} == rules and rules
+    check_matches(df, mined, rules)
 
 
 def test_awkward_rows(spark):
