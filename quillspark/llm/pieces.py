@@ -217,19 +217,21 @@ class Codec:
             r, c = np.concatenate([row, left]), np.concatenate([top, top[left] - 1])
             rank[r, c] = self._look(sym[r, c], sym[r, c + 1])
 
-    def _learn(self, words: set[str]) -> None:
-        if not words:
-            return
+    def _learn(self, keys: set[str]) -> None:
+        """Puts words into the memo. A key that doesn't begin with a mark stands for the word behind one."""
+        known = keys & self.older.keys()
+        self.memo.update(zip(known, map(self.older.__getitem__, known)))
         classes: dict[int, list[str]] = {}
-        for x in words:
-            n = len(x)
+        for key in keys - known:
+            n = len(key) + (key[0] != MARK)
             if n > WIDE:
-                self.memo[x] = _packed(self.by_heap(x))
+                self.memo[key] = _packed(self.by_heap(key if key[0] == MARK else MARK + key))
             else:
-                classes.setdefault(n if n < 20 else 20 + n // 8, []).append(x)
+                classes.setdefault(n if n < 20 else 20 + n // 8, []).append(key)
         for own in classes.values():
             for a in range(0, len(own), 4096):
-                self.memo.update(zip(own[a : a + 4096], self.side_by_side(own[a : a + 4096])))
+                part = own[a : a + 4096]
+                self.memo.update(zip(part, self.side_by_side([x if x[0] == MARK else MARK + x for x in part])))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the library agrees."""
@@ -247,25 +249,35 @@ class Codec:
                 gc.enable()
 
     def _pack(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        ids = self._ids([self.prefix + x.replace(" ", MARK) if x else "" for x in texts])
+        ids = self._ids(texts)
         theirs = self.library.encode(texts, num_threads=1)
         # most often all agree: one comparison of everything, then of each
         if [*map(len, ids)] == [4 * len(z) for z in theirs] and b"".join(ids) == _packed(itertools.chain.from_iterable(theirs)):
             return ids, [True] * len(ids)
         return ids, [x == _packed(z) for x, z in zip(ids, theirs)]
 
-    def _ids(self, marked: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
-            return [_packed(self.by_heap(x)) for x in marked]
-        parts = [self.split(x) for x in marked]
+            return [_packed(self.by_heap(self.prefix + x.replace(" ", MARK))) if x else b"" for x in texts]
         if len(self.memo) > self.most // 2:
             self.memo, self.older = {}, self.memo
-        new = set().union(*parts) - self.memo.keys()
-        known = new & self.older.keys()
-        self.memo.update(zip(known, map(self.older.__getitem__, known)))
-        self._learn(new - known)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+        words = [self._words(x) for x in texts]
+        found = [[*map(self.memo.get, x)] for x in words]
+        lacking = [k for k, x in enumerate(found) if None in x]
+        if lacking:
+            self._learn({w for k in lacking for w, y in zip(words[k], found[k]) if y is None})
+            for k in lacking:
+                found[k] = map(self.memo.__getitem__, words[k])
+        return [b"".join(x) for x in found]
+
+    def _words(self, text: str) -> list[str]:
+        """Keys of a text's words: without their mark, where single spaces part them."""
+        if not text:
+            return []
+        words = text.split(" ")
+        if "" in words or MARK in text:
+            return [x[1:] if x[1:2] not in (MARK, "") else x for x in self.split(self.prefix + text.replace(" ", MARK))]
+        return words
 
     def decode(self, lists: list[list[int]]) -> list[str]:
         return [self.unpack(np.asarray(ids, np.int32)) for ids in lists]
