@@ -26,7 +26,7 @@ def test_recall_and_clean_documents(spark):
     rows += [(5000 + k, edited(words(150, 77), 0.01, k), "en", "s") for k in range(300)]
     sets = {d: shingles(t) for d, t, *_ in rows}
     want = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])]
-    group = {r.doc_id: r.group_id for r in forest.groups(frame(spark, rows), region=64).collect()}
+    group = {r.doc_id: r.group_id for r in forest.groups(frame(spark, rows), region=64, sample=4).collect()}
     met = [group.get(a) is not None and group.get(a) == group.get(b) for a, b in want]
     assert np.mean(met) >= 0.97
     paired = {x for p in want for x in p}
@@ -84,7 +84,7 @@ def test_dense_regions_lose_no_partner(spark):
     for k in range(0, 400, 2):
         sketch[k + 1, :75] = sketch[k, :75]
     sketch[500:510] = sketch[500]
-    edges = {tuple(sorted(map(int, x))) for x in forest._region_edges(sketch, 2048, 0.5)}
+    edges = {tuple(sorted(map(int, x))) for x in forest._region_edges(sketch, 0.5)}
     assert {x for x in edges if x[0] < 400} == {(k, k + 1) for k in range(0, 400, 2)}
     assert len([x for x in edges if 500 <= x[0] < 510]) == 9 and len(edges) == 209
 
@@ -94,5 +94,8 @@ def test_dense_regions_lose_no_partner(spark):
     rows += [(1000 + k, f"{boiler} {edited(words(170, 2000 + k), 0.07 + 0.01 * (k % 5), k)}", "en", "s") for k in range(100)]
     sets = {d: shingles(t) for d, t, *_ in rows}
     want = [k for k in range(100) if 0.58 <= len(sets[k] & sets[1000 + k]) / len(sets[k] | sets[1000 + k]) <= 0.8]
-    group = {r.doc_id: r.group_id for r in forest.groups(frame(spark, rows), region=16).collect()}
+    docs = frame(spark, rows)
+    group = {r.doc_id: r.group_id for r in forest.groups(docs, region=16, sample=1).collect()}
+    # parting dense regions changes nothing
+    assert group == {r.doc_id: r.group_id for r in forest.groups(docs).collect()}
     assert len(want) > 50 and np.mean([group.get(k) is not None and group.get(k) == group.get(1000 + k) for k in want]) >= 0.97
