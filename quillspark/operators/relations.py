@@ -235,14 +235,13 @@ def leading_run(d, paras, match):  # R18, R19: matching paragraphs at the start
 
 def openings(d, docs):  # R23: debris between the title and a split capital goes, unless prose comes first; an orphaned first line is joined
     head = d.ext("text", r"\A(#[^\n]*)", 1)
-    # lines without four small letters in a row and no split capital, up to one
-    debris = r"\A#[^\n]*\n((?:[^\n]*\n)*?)[A-Z] [a-z]"
-    low = "[a-zàáéíóúüñ]{4}"
+    debris = r"(?ms)\A#[^\n]*\n(.*?)^[A-Z] [a-z]"
     between = d.ext("text", debris, 1)
-    found = f"({d.like("text", debris)} AND NOT {d.like(between, low)})"
-    rest = d.rep(f"substr(text, length({head}) + 2 + length({between}))", r"\A([A-Z]) ", r"\1")
-    joined = d.rep(rest, r"\A((?:[^\n]|\n[^\n])*[a-z,])\s*\n\n\s*", r"\1 ")
-    return f"SELECT doc_id, CASE WHEN {found} THEN {head} || {d.lit(chr(10) * 2)} || {joined} ELSE text END AS text FROM ({docs}) _d"
+    found = f"({d.like('text', debris)} AND NOT {d.like(between, '[a-zàáéíóúüñ]{4}')})"
+    cut = f"SELECT doc_id, text, {found} AS found, {head} AS head, {d.rep(f'substr(text, length({head}) + 2 + length({between}))', r'^([A-Z]) ', r'{}1'.format(chr(92)))} AS rest FROM ({docs}) _d"
+    first = d.ext("rest", r"(?s)\A(.*?)\n\n", 1)
+    joined = f"CASE WHEN {d.like(first, r'[a-z,]{}s*$'.format(chr(92)))} THEN {d.rep(first, r'{}s+$'.format(chr(92)), '')} || ' ' || {d.rep(f'substr(rest, length({first}) + 3)', r'^{}s+'.format(chr(92)), '')} ELSE rest END"
+    return f"SELECT doc_id, CASE WHEN found THEN head || {d.lit(chr(10) * 2)} || {joined} ELSE text END AS text FROM ({cut}) _c"
 
 
 def page_runs(d, numbers):  # R37: 5,6,7,12 to 5-7, 12

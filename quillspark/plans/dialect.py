@@ -82,6 +82,20 @@ class SparkDialect:
     def cut(self, a: str, first: int, n: int) -> str:
         return f"slice({a}, {first}, {n})"
 
+    def part(self, a: str, first: str, n: str) -> str:
+        return f"slice({a}, CAST({first} AS INT), CAST(greatest({n}, 0) AS INT))"
+
+    def places(self, a: str) -> str:
+        """1 to the size of an array; nothing, where it is empty."""
+        return f"slice(sequence(1, greatest(size({a}), 1)), 1, size({a}))"
+
+    def struct_named(self, *pairs: tuple[str, str]) -> str:
+        return f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in pairs)})"
+
+    def listed(self, item: str) -> str:
+        """All items of a group, in their own order."""
+        return f"array_sort(collect_list({item}))"
+
     def uniq(self, a: str) -> str:
         return f"array_distinct({a})"
 
@@ -192,6 +206,18 @@ class DuckDialect(SparkDialect):
     def cut(self, a: str, first: int, n: int) -> str:
         return f"list_slice({a}, {first}, {first + n - 1})"
 
+    def part(self, a: str, first: str, n: str) -> str:
+        return f"list_slice({a}, CAST({first} AS INT), CAST({first} AS INT) + CAST({n} AS INT) - 1)"
+
+    def places(self, a: str) -> str:
+        return f"range(1, len({a}) + 1)"
+
+    def struct_named(self, *pairs: tuple[str, str]) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in pairs) + "}"
+
+    def listed(self, item: str) -> str:
+        return f"list_sort(list({item}))"
+
     def uniq(self, a: str) -> str:
         # list_distinct has no order; keep the first of each
         return f"list_filter({a}, lambda q, i: list_position({a}, q) = i)"

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions import predicates as P
 from quillspark.functions import rewrites as R
+from quillspark.operators import books as B
 from quillspark.operators import folds
 from quillspark.operators import relations as O
 from quillspark.plans.dialect import DUCK, SPARK
@@ -455,6 +456,27 @@ BUILDERS |= {
 }
 
 
+def _scanned_pages(d):
+    """Documents as OCR pages, with furniture, capitals, broken words and paragraphs, and notes."""
+    one = "\f12\nRUNNING HEAD\nPREFACIO\n\nTHE PART IN CAPITALS\n\nTbe text is bro-\nken here and tbe rest of the para-\n\ngraph goes on behind the break, as it does in\n   An indented paragraph of the book\f\nthat goes on upon the next page. 54facil.\n\n• 47 •\n"
+    two = "\nNOTES\n1. A note that runs\nover two lines\n2. Another note\n"
+    return f"SELECT doc_id, {R.chain(d, 'coalesce(text, ' + chr(39) * 2 + ')', (chr(10), chr(10) * 2))} || {d.lit(one)} || CASE WHEN doc_id % 2 = 0 THEN {d.lit(two)} ELSE '' END AS text FROM documents"
+
+
+def _pairs_of_translation(d):
+    changed = R.fixes(d, "text", (("the", "thee"), (r"[0-9]+", "7"), (r"\[\^3\]", "[^9]"), ("(?m)^## ", "# ")))
+    return f"SELECT doc_id, text AS o, CASE WHEN doc_id % 4 = 0 THEN text ELSE {changed} END AS t FROM ({dirty(d)}) _d"
+
+
+BUILDERS |= {
+    "c1_academic_clean": lambda d: B.clean_chapters(d, f"SELECT doc_id, text || ' Wnal oYce Xow WWF waVle Wnal.' AS text FROM ({_opened(d)}) _o", f"SELECT w, min(fixed) AS fixed FROM ({_ligature_map(d)}) _m GROUP BY w"),
+    "c2_book_sections": lambda d: B.book_section(d, _scanned_pages(d), "'Prefacio'"),
+    "c9_ocr_sections": lambda d: B.ocr_section(d, _scanned_pages(d), "'Section ' || doc_id"),
+    "c10_docling_clean": lambda d: B.docling_section(d, f"SELECT doc_id, text || {d.lit(chr(10) + '|' + chr(10) + '| |' + chr(10) + 'Acade ´mie, 5 th , O Y cina')} AS text FROM ({dirty(d)}) _d", "'# Notes'"),
+    "g11_translation_verdicts": lambda d: B.translation_findings(d, _pairs_of_translation(d), ("token", "thee")),
+}
+
+
 def run_sql(spark: SparkSession, sf_dir: str, builder: Callable[..., str]) -> DataFrame:
     """The query over the tables of a folder; they are bound by value, so no view of the session is replaced."""
     text = builder(SPARK)
