@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import forest, language, mixing, pieces, secrets
-from quillspark.llm.shared import shared_folder, table
+from quillspark.llm.shared import gone_at_exit, shared_folder, table
 from quillspark.ship import ship
 
 
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; what lies between them goes to the folder that all executors share."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)  # the result reads what the last but one stage wrote
     jvm = spark.sparkContext._jvm
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
