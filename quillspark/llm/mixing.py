@@ -2,7 +2,7 @@
 
 Documents fall in cells (source, language, topic). Iterative proportional fitting rakes the cells'
 token weights until the three marginals meet their targets; a cell's ratio is its raked tokens over its
-own. The inclusion probability of a document is min(1, c * ratio) of its cell, with the c at which
+own. Raking stops where no marginal is off by more than `close` of the total, or after `sweeps` rounds. The inclusion probability of a document is min(1, c * ratio) of its cell, with the c at which
 the expected tokens meet the budget. Documents are drawn by a hash of doc_id against it.
 
 Targets not given are the table's own marginals raised to the power `temper` and normalised, which
@@ -12,7 +12,11 @@ category that isn't named there has the target 0.
 Defined results: null source or language is a category of its own, "(none)"; null or empty text
 has no tokens and the topic "empty", its cell's probability is 1 where no cell weighs anything. Repeated
 rows have one hash, so they are drawn or left together; a null doc_id hashes as the empty string. An
-empty table gives an empty result.
+empty table gives an empty result. Very long texts count whole. Cells of one ratio have one probability. Extra columns, whatever their names, are
+left aside by `mix` and kept by `kept`.
+
+Up to `on_driver` cells, a counted number, are raked on the driver; beyond it, where a source is a web domain, by Spark, with one aggregation of
+the cells for each marginal. Either way gives the same ratios.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import fresh
+from quillspark.llm.shared import checkpoint, fresh
 
 KEYS = ("source_key", "lang_key", "topic")
-SWEEPS, TEMPER, BUDGET = 20, 0.7, 0.9
+SWEEPS, TEMPER, BUDGET, CLOSE = 20, 0.7, 0.9, 1e-12
 
 
 def topic(text: Column) -> Column:
@@ -70,6 +74,8 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]] | None = None
             raise ValueError(f"no target of {key} names a category that has tokens")
         sides.append((code, goal / goal.sum(), len(names)))
     for _ in range(sweeps):
+        if max(np.abs(np.bincount(code, w, n) - goal).max() for code, goal, n in sides) <= CLOSE:
+            break
         for code, goal, n in sides:
             now = np.bincount(code, w, n)
             w = w * np.divide(goal, now, out=np.zeros(n), where=now > 0)[code]
@@ -89,19 +95,68 @@ def calibrate(tokens: np.ndarray, ratio: np.ndarray, budget: float = BUDGET) ->
     return np.where(ratio > 0, np.minimum(1.0, c * np.maximum(ratio, 1e-300)), 0.0)
 
 
-def probabilities(docs: DataFrame, targets=None, temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
-    """The cells with their ratio and probability.
-
-    The driver gets one row a cell: sources times languages times topics, whatever the number of documents.
-    """
-    cells = _with_keys(docs).groupBy(*KEYS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")).toPandas()
-    cells = cells.sort_values(list(KEYS)).reset_index(drop=True)
+def probabilities(docs: DataFrame, targets=None, temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, on_driver: int = 100_000) -> DataFrame:
+    """The cells with their ratio and probability: sources times languages times topics, whatever the number of documents."""
+    counted = checkpoint(_with_keys(docs).groupBy(*KEYS).agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    if counted.count() > on_driver:
+        return calibrated(raked(counted, targets, temper, sweeps), budget)
+    cells = counted.toPandas().sort_values(list(KEYS)).reset_index(drop=True)
     cells["ratio"] = rake(cells, targets, temper, sweeps)
     cells["probability"] = calibrate(cells["tokens"].to_numpy(float), cells["ratio"].to_numpy(float), budget)
     schema = "source_key string, lang_key string, topic string, ratio double, probability double"
     return docs.sparkSession.createDataFrame(cells[[*KEYS, "ratio", "probability"]].values.tolist(), schema)
 
 
+def raked(cells: DataFrame, targets=None, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
+    """As `rake`, in Spark: the cells with their ratio. A marginal is one row a category, joined back to the cells."""
+    spark, total = cells.sparkSession, cells.agg(F.sum("tokens")).first()[0] or 0.0
+    if total <= 0:
+        return cells.withColumn("ratio", F.lit(1.0))
+    now = cells.withColumn("w", F.col("tokens") / F.lit(total))
+    goals = {}
+    for key in KEYS:
+        mass = cells.groupBy(key).agg(F.sum("tokens").alias("m"))
+        given = (targets or {}).get(key)
+        if given:
+            named = spark.createDataFrame([(k, float(v)) for k, v in given.items()], f"{key} string, g double")
+            goal = mass.join(named, key, "left").select(key, F.when(F.col("m") > 0, F.coalesce("g", F.lit(0.0))).otherwise(0.0).alias("g"))
+        else:
+            goal = mass.select(key, F.when(F.col("m") > 0, F.pow("m", F.lit(temper))).otherwise(0.0).alias("g"))
+        goal = checkpoint(goal)
+        whole = goal.agg(F.sum("g")).first()[0] or 0.0
+        if whole <= 0:
+            raise ValueError(f"no target of {key} names a category that has tokens")
+        goals[key] = goal.withColumn("g", F.col("g") / F.lit(whole))
+    for _ in range(sweeps):
+        off = max(now.groupBy(key).agg(F.sum("w").alias("s")).join(goals[key], key).agg(F.max(F.abs(F.col("s") - F.col("g")))).first()[0] or 0.0 for key in KEYS)
+        if off <= CLOSE:
+            break
+        for key in KEYS:
+            factor = now.groupBy(key).agg(F.sum("w").alias("s")).join(goals[key], key).select(key, F.when(F.col("s") > 0, F.col("g") / F.col("s")).otherwise(0.0).alias("f"))
+            now = now.join(factor, key).withColumn("w", F.col("w") * F.col("f")).drop("f")
+        now = checkpoint(now)
+    return now.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") * F.lit(total) / F.col("tokens")).otherwise(1.0)).drop("w")
+
+
+def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """As `calibrate`, in Spark: cells beyond probability 1 are set to it until no more go beyond."""
+    cells = checkpoint(cells)
+    goal = budget * (cells.agg(F.sum("tokens")).first()[0] or 0.0)
+    c = float("inf")
+    capped, at = 0.0, None
+    while True:
+        over = F.lit(False) if at is None else F.col("ratio") * F.lit(at) > 1 + 1e-12
+        capped, rest = (x or 0.0 for x in cells.agg(F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("tokens") * F.col("ratio")))).first())
+        c = (goal - capped) / rest if rest > 0 else float("inf")
+        if at is not None and (c == at or rest <= 0 or abs(c - at) <= 1e-15 * at):
+            break
+        if rest <= 0:
+            break
+        at = c
+    chance = F.least(F.lit(1.0), F.lit(c) * F.col("ratio")) if c != float("inf") else F.lit(1.0)
+    return cells.select(*KEYS, "ratio", F.when(F.col("ratio") > 0, chance).otherwise(0.0).alias("probability"))
+
+
 def draw(doc_id: Column) -> Column:
     """A number in [0, 1) from the id's md5, the same in any SQL engine."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)

@@ -8,7 +8,8 @@ a probability of good quality.
 Defined results: null text, empty text or text without a word has no score, the probability 0 and isn't
 kept. Repeated rows give repeated rows. Contradicting labels of one document count by their mean,
 rounded down. Without labels of both classes there is no model: probabilities are null and every
-document is kept. Null doc_id stays null. An empty table gives an empty result.
+document is kept. Null doc_id stays null. An empty table gives an empty result. The statistics are those of whole texts, however long; equal scores
+have one probability. Extra columns of docs and labels are left aside, whatever their names.
 """
 
 from __future__ import annotations

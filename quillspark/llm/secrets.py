@@ -2,21 +2,23 @@
 
 A candidate is a string in a sensitive context: a value assigned to a name such as password, token or
 api_key, a bearer header, a token with a well-known prefix, or a private key block. Its novelty is the
-number of bytes by which it lengthens the compressed form of its surroundings, with a compressor
-primed with identifiers, placeholders and the words of ordinary code: what reads like code or
-prose costs little, what was drawn at random costs nearly its entropy. Candidates whose marginal
+number of bytes by which it lengthens the compressed form of its surroundings (the `around` characters on either side), with a compressor
+primed with two dictionaries: placeholders and the words of ordinary code, and the identifiers that most documents of the corpus use (`identifiers`,
+at most `most` of them). What reads like code or prose costs little, what was drawn at random costs nearly its entropy. Candidates whose marginal
 bytes reach `least_bytes` and `least_share` of their length are reported, but for assigned values that split into
 ordinary words.
 
 Defined results: null or empty texts have no findings. Repeated rows give repeated findings; a null
 doc_id stays null in them. Findings of one document come in the order of their places and don't
-overlap. An empty table gives no rows. Whole texts are scanned, at any length.
+overlap. An empty table gives no rows. Whole texts are scanned, at any length. Identifiers that as many documents use are taken in
+alphabetical order. Extra columns are left aside by `find` and kept by `redacted`, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,9 +90,9 @@ def ordinary(value: str) -> bool:
 
 
 class Scanner:
-    def __init__(self, least_bytes: int = 8, least_share: float = 0.45, around: int = 1024):
+    def __init__(self, least_bytes: int = 8, least_share: float = 0.45, around: int = 1024, mined: tuple[str, ...] = ()):
         self.least_bytes, self.least_share, self.around = least_bytes, least_share, around
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words = zstandard.ZstdCompressionDict(" ".join([*reversed(mined), ""]).encode() + IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zstd = zstandard.ZstdCompressor(level=12, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def candidates(self, text: str) -> Iterator[tuple[int, int, str]]:
@@ -110,7 +112,7 @@ class Scanner:
                     break
             else:
                 m = _ASSIGNED.match(text, hit.end())
-                # without an operator, a value must look drawn: a digit in it, as after "Bearer "
+                # without an operator, only these two names have values
                 if m and (re.search("[=:]", text[hit.end() : m.start(1)]) or hit.group().lower() in ("bearer", "authorization")):
                     end = m.end(1)
                     while end > m.start(1) and text[end - 1] in ".!,":
@@ -138,11 +140,39 @@ class Scanner:
         return out
 
 
-def find(docs: DataFrame, **how) -> DataFrame:
-    """One row a finding, in one narrow map. The secret itself isn't returned, a digest is."""
+_IDENTIFIER = re.compile(r"(?<![\w-])(?:[A-Za-z]{2,14}(?:_[A-Za-z]{2,14})+|[a-z]{2,14}(?:[A-Z][a-z]{1,14})+)(?![\w-])")
+_HUMP = re.compile("[a-z][A-Z]")
+
+
+def identifiers(docs: DataFrame, most: int = 2000) -> tuple[str, ...]:
+    """The `most` names like snake_case or camelCase that most documents use, in that order, of those that several use.
+
+    All documents are counted. Names with a digit, and what stands where a secret would, don't count, so copies of one don't get into the dictionary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(**how)
+        s = Scanner()
+        for batch in batches:
+            text = flat(batch.column("text"))
+            for a, b in slices(text):
+                times: Counter[str] = Counter()
+                for t in text.slice(a, b - a).to_pylist():
+                    if t and ("_" in t or _HUMP.search(t)):
+                        spans = [(x, y) for x, y, _ in s.candidates(t)]
+                        times.update({m.group() for m in _IDENTIFIER.finditer(t) if not any(x < m.end() and m.start() < y for x, y in spans)})
+                if times:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())], ["name", "n"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1")
+    return tuple(r.name for r in found.orderBy(F.desc("n"), "name").limit(most).collect())
+
+
+def find(docs: DataFrame, mined: tuple[str, ...] | None = None, **how) -> DataFrame:
+    """One row a finding, in one narrow map behind the count of identifiers. The secret itself isn't returned, a digest is."""
+    mined = identifiers(docs) if mined is None else mined
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scanner(mined=mined, **how)
         for batch in batches:
             text, ids = flat(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in slices(text):
@@ -163,30 +193,33 @@ def redact(text: str, found: list[tuple]) -> str:
     return "".join([*out, text[past:]])
 
 
-def redacted(docs: DataFrame, **how) -> DataFrame:
+def redacted(docs: DataFrame, mined: tuple[str, ...] | None = None, **how) -> DataFrame:
     """The same rows and columns; each secret in text is replaced by [SECRET] and n_chars, if there, follows."""
     where = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    mined = identifiers(docs) if mined is None else mined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(**how)
-        for batch in batches:
-            texts = batch.column(where).to_pylist()
-            sizes = None if counted is None else batch.column(counted).to_pylist()
-            changed = False
-            for k, t in enumerate(texts):
-                found = s.scan(t) if t else []
-                if found:
-                    texts[k] = redact(t, found)
-                    changed = True
+        s = Scanner(mined=mined, **how)
+        for whole in batches:
+            for a, b in slices(flat(whole.column(where))):
+                batch = whole.slice(a, b - a)
+                texts = batch.column(where).to_pylist()
+                sizes = None if counted is None else batch.column(counted).to_pylist()
+                changed = False
+                for k, t in enumerate(texts):
+                    found = s.scan(t) if t else []
+                    if found:
+                        texts[k] = redact(t, found)
+                        changed = True
+                        if sizes:
+                            sizes[k] = len(texts[k])
+                if changed:
+                    cols = batch.columns
+                    cols[where] = pa.array(texts, batch.schema.field(where).type)
                     if sizes:
-                        sizes[k] = len(texts[k])
-            if changed:
-                cols = batch.columns
-                cols[where] = pa.array(texts, batch.schema.field(where).type)
-                if sizes:
-                    cols[counted] = pa.array(sizes, batch.schema.field(counted).type)
-                batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-            yield batch
+                        cols[counted] = pa.array(sizes, batch.schema.field(counted).type)
+                    batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+                yield batch
 
     return docs.mapInArrow(trimmed(run), docs.schema)

@@ -55,3 +55,21 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.drawn for r in got)
     assert mixing.mix(empty(spark)).count() == 0 and mixing.kept(empty(spark)).count() == 0
     assert all(r.probability == 1 for r in mixing.mix(docs.selectExpr("doc_id", "'' as text", "lang", "source")).collect())
+
+
+def test_raking_in_spark_equals_the_driver(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, words(int(rng.integers(0, 30)), k) + ("" if k % 3 else " licensed"), "en" if k % 4 else "de", f"s{int(rng.integers(0, 25))}") for k in range(800)]
+    docs = frame(spark, [*rows, (900, None, None, None), (901, "", "en", "s0")])
+    for how in ({}, {"budget": 0.3, "temper": 0.2}, {"budget": 1.0}, {"targets": {"lang_key": {"en": 1, "de": 3, "xx": 9}}, "budget": 0.6}):
+        cells = [{(r.source_key, r.lang_key, r.topic): (r.ratio, r.probability) for r in mixing.probabilities(docs, on_driver=n, **how).collect()} for n in (0, 100_000)]
+        assert cells[0].keys() == cells[1].keys() and len(cells[0]) > 50
+        for k, (ratio, p) in cells[0].items():
+            assert abs(ratio - cells[1][k][0]) < 1e-6 * max(1, ratio) and abs(p - cells[1][k][1]) < 1e-6, (how, k)
+    assert mixing.probabilities(empty(spark), on_driver=-1).count() == 0
+
+
+def test_raking_stops_when_it_has_converged():
+    cells = pd.DataFrame([(s, "x", "p", n) for s, n in (("a", 5), ("b", 70))], columns=[*mixing.KEYS, "tokens"])
+    few, many = (mixing.rake(cells, sweeps=n) for n in (2, 10_000_000))
+    assert np.allclose(few, many)

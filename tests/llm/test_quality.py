@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillspark.llm import quality
 from tests.llm.helpers import awkward, empty, frame, words
@@ -49,6 +50,37 @@ def test_normal_equations_and_held_out_accuracy(spark):
     assert np.allclose(a.beta, b.beta, atol=1e-6) and np.abs(a.beta).sum() > 0
 
 
+def test_rows_equal_a_plain_ridge(spark):
+    """The kernel features, normal equations, isotonic fit and rows once more, in numpy alone."""
+    texts = {k: " ".join(w.upper() if k % 5 == 0 else w for w in words(20 + k % 50, k).split()) + ("." if k % 3 else " !!") for k in range(300)}
+    docs = frame(spark, [(k, t, "en", "s") for k, t in texts.items()])
+    truth = {k: int(k % 5 != 0) if k % 7 else 1 for k in texts if k % 2}
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    held = {r.doc_id: r.h for r in docs.select("doc_id", (quality.unit(F.col("doc_id"), 7) < 0.3).alias("h")).collect()}
+    ids = sorted(truth)
+    x = quality.features(pa.array([texts[k] for k in ids]))
+    scale = x.std(axis=0)
+    shape = quality.Model(x.mean(axis=0), np.where(scale > 1e-9, scale, 1.0), float(np.sqrt((scale > 1e-9).sum())))
+    z = lambda rows: np.c_[np.sqrt(2 / 256) * np.cos(np.clip((rows - shape.mean) / shape.scale, -8, 8) @ shape.w + shape.b), np.ones(len(rows))]
+    fitted = np.array([not held[k] for k in ids])
+    y = np.array([2.0 * truth[k] - 1 for k in ids])
+    a = z(x[fitted])
+    # ridge as least squares with rows of its own for the penalty
+    weight = 1e-3 * fitted.sum() / 257
+    beta = np.linalg.lstsq(np.r_[a, np.sqrt(weight) * np.eye(257)], np.r_[y[fitted], np.zeros(257)], rcond=None)[0]
+    model = quality.fit(quality.feature_table(docs), labels)
+    assert np.allclose(model.beta, beta, atol=1e-5)
+    score = np.round(z(x[~fitted]) @ beta, 6)
+    order = np.argsort(score)
+    s, t = score[order], np.array([truth[k] for k in np.array(ids)[~fitted][order]], float)
+    assert len(set(s)) == len(s)
+    fit = np.array([max(min(t[i : j + 1].mean() for j in range(k, len(s))) for i in range(k + 1)) for k in range(len(s))])
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    every = z(quality.features(pa.array([texts[k] for k in sorted(texts)]))) @ beta
+    for k, own in zip(sorted(texts), np.interp(every, s, fit)):
+        assert abs(got[k].score - every[k]) < 1e-4 and abs(got[k].probability - own) < 2e-2 and (abs(own - 0.5) < 2e-2 or got[k].keep == (own >= 0.5))
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int")

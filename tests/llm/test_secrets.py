@@ -71,3 +71,39 @@ def test_secrets_of_letters_alone_and_short_names():
         assert len(s.scan(text)) == 1, text
     for text in ["password: passwordString", "token = currentUserName", "passage: westerly.winds of a compass", "token: authentication_required", "auth = request.session.user"]:
         assert s.scan(text) == [], text
+
+
+def test_candidates_where_they_were_put():
+    """Against a list kept while the text is written."""
+    r, mixed = random.Random(9), "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    for k in range(60):
+        text, want = "", []
+        for n in range(r.randint(1, 12)):
+            text += f" {words(r.randint(0, 9), 100 * k + n)} "
+            secret, kind = drawn(r.randint(20, 40), 1000 * k + n, mixed), r.randint(0, 4)
+            before, kind_ = [
+                (f"{r.choice(['password', 'db_pass', 'user_pwd', 'Passphrase'])}{r.choice(['=', ': ', ' = ', ' := ', chr(34) + ': '])}", "password"),
+                (f"{r.choice(['token', 'api_key', 'API KEY', 'client-secret', 'my.access_key'])}{r.choice(['=', ': ', ' => '])}", "token"),
+                (f"Authorization: {r.choice(['Bearer', 'basic'])} ", "token"), ("", None), ("key ", None),
+            ][kind]
+            if kind == 3:
+                secret, kind_ = "ghp_" + secret, "forge_token"
+            if kind == 4:
+                secret, kind_ = "AKIA" + drawn(16, n, "ABCDEFGH234567"), "access_key_id"
+            quote = r.choice(["", '"', "'"]) if kind < 2 else ""
+            text += before + quote
+            want.append((len(text), len(text) + len(secret), kind_))
+            text += secret + quote
+        assert list(secrets.Scanner().candidates(text)) == want, text
+
+
+def test_identifiers_are_counted_over_all_documents(spark):
+    secret = "qzXvKpLmWrTyBnHgQz"
+    rows = [(k, f"call get_user_name then loadConfig(x9_y) token={secret} {'rare_name' if k == 1 else ''} {'set_value' if k % 2 else ''}", "en", "s") for k in range(10)]
+    docs = frame(spark, [*rows, (99, None, None, None), (100, "plain prose", "en", "s")])
+    assert secrets.identifiers(docs) == ("get_user_name", "loadConfig", "set_value") and secrets.identifiers(docs, most=1) == ("get_user_name",)
+    assert secrets.identifiers(empty(spark)) == ()
+    assert secrets.find(docs).count() == 10
+    plain, primed = secrets.Scanner(), secrets.Scanner(mined=("frobnicateWidgetHandler", "another_long_identifier_name"))
+    text = "token=frobnicateWidgetHandler"
+    assert primed.novelty(text, 6, len(text)) < plain.novelty(text, 6, len(text))
