@@ -128,31 +128,27 @@ def raked(cells: DataFrame, targets=None, temper: float = TEMPER, sweeps: int =
             raise ValueError(f"no target of {key} names a category that has tokens")
         goals[key] = goal.withColumn("g", F.col("g") / F.lit(whole))
     for _ in range(sweeps):
-        off = max(now.groupBy(key).agg(F.sum("w").alias("s")).join(goals[key], key).agg(F.max(F.abs(F.col("s") - F.col("g")))).first()[0] or 0.0 for key in KEYS)
-        if off <= CLOSE:
-            break
+        now = now.withColumn("off", F.lit(0.0))
         for key in KEYS:
-            factor = now.groupBy(key).agg(F.sum("w").alias("s")).join(goals[key], key).select(key, F.when(F.col("s") > 0, F.col("g") / F.col("s")).otherwise(0.0).alias("f"))
-            now = now.join(factor, key).withColumn("w", F.col("w") * F.col("f")).drop("f")
+            factor = now.groupBy(key).agg(F.sum("w").alias("s")).join(goals[key], key).select(key, F.when(F.col("s") > 0, F.col("g") / F.col("s")).otherwise(0.0).alias("f"), F.abs(F.col("s") - F.col("g")).alias("d"))
+            now = now.join(factor, key).select(*KEYS, "tokens", (F.col("w") * F.col("f")).alias("w"), F.greatest("off", "d").alias("off"))
         now = checkpoint(now)
-    return now.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") * F.lit(total) / F.col("tokens")).otherwise(1.0)).drop("w")
+        if (now.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
+            break
+    return now.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") * F.lit(total) / F.col("tokens")).otherwise(1.0)).drop("w", "off")
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """As `calibrate`, in Spark: cells beyond probability 1 are set to it until no more go beyond."""
     cells = checkpoint(cells)
     goal = budget * (cells.agg(F.sum("tokens")).first()[0] or 0.0)
-    c = float("inf")
-    capped, at = 0.0, None
+    c, over, known = float("inf"), F.lit(False), -1
     while True:
-        over = F.lit(False) if at is None else F.col("ratio") * F.lit(at) > 1 + 1e-12
-        capped, rest = (x or 0.0 for x in cells.agg(F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("tokens") * F.col("ratio")))).first())
-        c = (goal - capped) / rest if rest > 0 else float("inf")
-        if at is not None and (c == at or rest <= 0 or abs(c - at) <= 1e-15 * at):
-            break
-        if rest <= 0:
+        n, capped, rest = (x or 0.0 for x in cells.agg(F.count_if(over), F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("tokens") * F.col("ratio")))).first())
+        if n == known or rest <= 0:
             break
-        at = c
+        c, known = (goal - capped) / rest, n
+        over = over | (F.col("ratio") * F.lit(c) > 1)
     chance = F.least(F.lit(1.0), F.lit(c) * F.col("ratio")) if c != float("inf") else F.lit(1.0)
     return cells.select(*KEYS, "ratio", F.when(F.col("ratio") > 0, chance).otherwise(0.0).alias("probability"))
 
