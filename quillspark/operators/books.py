@@ -96,10 +96,13 @@ def docling_section(d, docs, title=None):  # C10: what a layout converter leaves
 def translation_findings(d, pairs, glossary=()):  # G11: pairs with doc_id, o and t, the texts of the original and the translation
     """doc_id, kind: what the translation lacks, has too much of or has broken."""
     bare = lambda x: d.rep(x, r"(?ms)^[ \t]*```.*?(^[ \t]*```[^\n]*$|\z)", "")
-    refs = lambda x: d.uniq(d.all(x, r"\[\^([^\]]+)\](?:[^:]|$)", 1))
+    # what follows a mark or stands before a link isn't taken with it, as marks and links may touch
+    refs = lambda x: d.uniq(d.each(d.keep(d.all(x, r"\[\^[^\]]+\]:?", 0), "m", "m NOT LIKE '%:'"), "m", "substring(m, 3, length(m) - 3)"))
     defs = lambda x: d.uniq(d.all(x, r"(?m)^\[\^([^\]]+)\]:", 1))
     heads = lambda x: d.all(x, r"(?m)^(#{1,6})[ \t]", 1)
-    links, images = (lambda x: d.sort(d.all(x, r"(?:^|[^!])\[[^\]]*\]\(([^)]*)\)", 1))), (lambda x: d.sort(d.all(x, r"!\[[^\]]*\]\(([^)]*)\)", 1)))
+    target = "substring(m, instr(m, '](') + 2, length(m) - instr(m, '](') - 2)"
+    links = lambda x: d.sort(d.each(d.keep(d.all(x, r"!?\[[^\]]*\]\([^)]*\)", 0), "m", "m NOT LIKE '!%'"), "m", target))
+    images = lambda x: d.sort(d.all(x, r"!\[[^\]]*\]\(([^)]*)\)", 1))
     words, fences = (lambda x: d.n(x, r"[^\s]+")), (lambda x: d.n(x, r"(?m)^[ \t]*```"))
     paras = lambda x: d.keep(d.each(d.split(x, r"\n[ \t]*\n"), "p", d.strip("p")), "p", "p <> ''")
     numbers = lambda x: d.all(x, "[0-9]+")

@@ -51,6 +51,7 @@ def test_translation_findings(spark):
     assert kinds(o, o.replace("(u)", "(v)")) == {"links"} and kinds(o, o.replace("1999", "l999")) == {"numbers_lost"}
     assert "short" in kinds("a b c d e f g h i j", "a b") and "long" in kinds("a b c", "a b c d e")
     assert kinds(o, o + "\n```\n# code [^9]\n```") - {"long"} == {"fences"}
+    assert kinds("[a](u)[b](v)", "[a](u)[b](w)") == {"links"}
     long = "This paragraph is much longer than forty characters are."
     assert kinds(long, long) == {"left_as_it_was"} and kinds(o, o, glossary=("prose",)) == {"glossary_leak"}
 
