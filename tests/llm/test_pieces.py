@@ -46,3 +46,19 @@ def test_awkward_rows(spark):
     assert by[3].ids == by[4].ids == [] and by[5].n_tokens > 0
     assert pieces.encode(empty(spark)).count() == 0 and pieces.decode(pieces.encode(empty(spark))).count() == 0
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()[0].text == ""
+
+
+def test_the_library_is_compared_as_arrays(monkeypatch):
+    c = pieces.codec(pieces.MODEL)
+    library = c.library
+
+    class Other:  # has no lists to give, and other ids for one text
+        def encode_as_numpy(self, texts, num_threads):
+            got = library.encode_as_numpy(texts, num_threads=num_threads)
+            return [x[::-1].copy() if t == "other ids" else x for t, x in zip(texts, got)]
+
+    monkeypatch.setattr(c, "library", Other())
+    texts = ["one text", "", "né 漢字\n", "other ids"]
+    ids, same = c.encode(texts)
+    assert ids == library.encode(texts) and same == [True, True, True, False]
+    assert c.encode(texts[:3])[1] == [True] * 3 and c.encode([]) == ([], [])
