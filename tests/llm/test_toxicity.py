@@ -146,3 +146,16 @@ def test_blocks_of_windows_join_without_a_seam():
     net = toxicity.Network(np.zeros(0, np.uint64))
     x = toxicity.Inputs(pa.array([words(900, 7)]), net.vocabulary)
     assert np.array_equal(net._sliding(net.vectors(x), x.at, block=50, most=120), net._sliding(net.vectors(x), x.at))
+
+
+def test_both_forms_of_the_windows_equal_the_plain_network():
+    x = toxicity.Inputs(pa.array([words(500, 9)]), np.zeros(0, np.uint64))
+    for by in (1, 3, 60):  # the last drives every unit to its ends, where exponentials overflow
+        net = toxicity.Network(x.hash[::2])
+        net.p = {k: v * np.float32(by) for k, v in net.p.items()}
+        vec = net.vectors(x)
+        plain = net.forward(vec, *x.windows(np.arange(len(x.row))))
+        with np.errstate(over="raise", invalid="raise", divide="raise"):
+            for form in (net._by_exp, net._by_tanh):
+                got = form(vec, x.at, 200, 300)
+                assert np.isfinite(got).all() and np.abs(got - plain).max() < 1e-5, (by, form)
