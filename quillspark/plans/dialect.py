@@ -6,8 +6,10 @@ look-around, \\x27 for an apostrophe. Replacements refer to groups as \\1.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +23,26 @@ for _c in ACCENTED + ACCENTED.upper():
         COMPOSED.setdefault(_parts[1], []).append((_parts[0], _c))
 
 
+_NAMES = itertools.count()
+
+
 class SparkDialect:
     name = "spark"
 
+    def let(self, x: str, body: Callable[[str], str]) -> str:
+        """body of a name for x. Spark evaluates an expression again in each place of a CASE; what a lambda is called with it evaluates once."""
+        v = f"_v{next(_NAMES)}"
+        return f"transform(array({x}), {v} -> {body(v)})[0]"
+
+    def rewrite(self, x: str, *rules: tuple[str, str, str]) -> str:
+        """Replacements in turn, each of (a string that every match holds, pattern, to); a text without that string isn't searched."""
+        each = ", ".join(f"named_struct('m', {self.lit(m)}, 'p', {self.pat(p)}, 'to', {self.to(to)})" for m, p, to in rules)
+        t, f = f"_t{next(_NAMES)}", f"_f{next(_NAMES)}"
+        return f"aggregate(array({each}), {x}, ({t}, {f}) -> CASE WHEN contains({t}, {f}.m) THEN regexp_replace({t}, {f}.p, {f}.to) ELSE {t} END)"
+
+    def to(self, to: str) -> str:
+        return self.lit(re.sub(r"\\(\d)", lambda m: "\x01" + m[1], to).replace("\\", "\\\\").replace("$", "\\$").replace("\x01", "$"))
+
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t").replace("\f", "\\u000C") + "'"
 
@@ -31,8 +50,7 @@ class SparkDialect:
         return self.lit(p.replace(r"\p{Latin}", r"\p{IsLatin}"))
 
     def rep(self, x: str, p: str, to: str) -> str:
-        to = re.sub(r"\\(\d)", lambda m: "\x01" + m[1], to).replace("\\", "\\\\").replace("$", "\\$").replace("\x01", "$")
-        return f"regexp_replace({x}, {self.pat(p)}, {self.lit(to)})"
+        return f"regexp_replace({x}, {self.pat(p)}, {self.to(to)})"
 
     def like(self, x: str, p: str) -> str:
         return f"({x} RLIKE {self.pat(p)})"
@@ -41,13 +59,8 @@ class SparkDialect:
         return f"CAST(regexp_count({x}, {self.pat(p)}) AS BIGINT)"
 
     def chars(self, x: str, one: str) -> str:
-        """How many characters match a pattern of one character."""
-        return f"CAST(length({x}) - length(regexp_replace({x}, {self.pat(one)}, '')) AS BIGINT)"
-
-    def marks(self, x: str, p: str) -> str:
-        """Number of matches, counted as marks put in their place; quicker than an array of them."""
-        marked = f"regexp_replace({x}, {self.pat(p)}, '\\u0001')"
-        return f"CAST(length({marked}) - length(replace({marked}, '\\u0001', '')) AS BIGINT)"
+        """How many characters match a pattern of one character; runs of them go at once."""
+        return f"CAST(length({x}) - length(regexp_replace({x}, {self.pat(one + '+')}, '')) AS BIGINT)"
 
     def strip(self, x: str) -> str:
         return self.rep(x, r"^\s+|\s+$", "")
@@ -128,12 +141,15 @@ class SparkDialect:
 
     def composed(self, x: str) -> str:
         """Letters with combining marks as one character (NFC), for the letters of ACCENTED and their capitals."""
-        done = x
-        for mark, pairs in COMPOSED.items():
-            for a, b in pairs:
-                done = f"replace({done}, '{a}{mark}', '{b}')"
+
+        def done(v: str) -> str:
+            for mark, pairs in COMPOSED.items():
+                for a, b in pairs:
+                    v = f"replace({v}, '{a}{mark}', '{b}')"
+            return v
+
         # the chain is for lines with such a mark alone
-        return f"CASE WHEN {self.like(x, '[' + ''.join(COMPOSED) + ']')} THEN {done} ELSE {x} END"
+        return self.let(x, lambda v: f"CASE WHEN {self.like(v, '[' + ''.join(COMPOSED) + ']')} THEN {done(v)} ELSE {v} END")
 
     def plain(self, x: str) -> str:
         """ASCII alone: accented letters without their marks, everything else outside ASCII gone."""
@@ -161,6 +177,9 @@ class SparkDialect:
 class DuckDialect(SparkDialect):
     name = "duckdb"
 
+    def let(self, x: str, body: Callable[[str], str]) -> str:
+        return body(x)
+
     def lit(self, s: str) -> str:
         parts = re.split("([\n\t\f])", s)
         out = [f"chr({ord(x)})" if x in "\n\t\f" else "'" + x.replace("'", "''") + "'" for x in parts if x]
