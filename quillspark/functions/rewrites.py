@@ -21,21 +21,39 @@ def slug(d, x, most=80, lower=False, fallback="section", ascii_only=False):  # R
     s = d.plain(x) if ascii_only else d.composed(x)
     s = f"lower({s})" if lower else s
     s = chain(d, s, (r"[^\p{L}\p{N}\p{M}_\s-]", ""), (r"^\s+|\s+$", ""), (r"[\s_]+", "_"))
-    s = d.rep(f"substr({s}, 1, {most})", r"^[_-]+|[_-]+$", "")
-    return f"CASE WHEN {s} = '' THEN {d.lit(fallback)} ELSE {s} END"
+    return d.let(d.rep(f"substr({s}, 1, {most})", r"^[_-]+|[_-]+$", ""), lambda s: f"CASE WHEN {s} = '' THEN {d.lit(fallback)} ELSE {s} END")
+
+
+DOTLESS = [("ı\\s*[€¨\u0308]", "ï"), ("ı\\s*[´\u0301]", "í"), ("ı\\s*[`\u0300]", "ì"), ("ı\\s*\u0302", "î"), ("ı", "i")]
 
 
 def diacritics(d, x):  # R5: dotless i and what stands behind it, the umlaut that became a euro sign, marks behind their letters
-    y = chain(d, x, ("ı\\s*[€¨\u0308]", "ï"), ("ı\\s*[´\u0301]", "í"), ("ı\\s*[`\u0300]", "ì"), ("ı\\s*\u0302", "î"), ("ı", "i"))
+    y = chain(d, x, *DOTLESS)
     for v, u in zip("aouAOU", "äöüÄÖÜ"):
         y = d.rep(y, rf"€\s?{v}", u)
+    if d.name == "spark":
+        return d.let(x, lambda v: d.composed(accents_behind(d, f"CASE WHEN {d.like(v, '[ı€]')} THEN {umlauts(d, chain(d, v, *DOTLESS))} ELSE {v} END")))
     return d.composed(accents_behind(d, f"CASE WHEN {d.like(x, '[ı€]')} THEN {y} ELSE {x} END"))
 
 
+def umlauts(d, x):  # Spark: the euro sign that was an umlaut, brought to its letter, then both to one
+    x = d.rep(x, r"€\s?([aouAOU])", r"€\1")
+    for v, u in zip("aouAOU", "äöüÄÖÜ"):
+        x = f"replace({x}, '€{v}', '{u}')"
+    return x
+
+
 ACCENTS = {"´\u0301": ("aeiouAEIOU", "áéíóúÁÉÍÓÚ"), "`\u0300": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"), "¨\u0308": ("aeiouAEIOU", "äëïöüÄËÏÖÜ"), "\u0302": ("aeiouAEIOU", "âêîôûÂÊÎÔÛ"), "¸\u0327": ("cC", "çÇ")}
 
 
 def accents_behind(d, x):  # a mark behind its letter, a space between them at most
+    if d.name == "spark":  # each kind of mark where it occurs: brought to its letters as a combining one, then both to one
+        kinds = ", ".join(
+            f"named_struct('m', {d.lit(marks[0])}, 'c', {d.lit(marks[-1])}, 'p', {d.pat(f'([{plain}]) ?[{marks}]')}, 'to', {d.to(chr(92) + '1' + marks[-1])}, 'l', array({', '.join(f'named_struct({chr(39)}a{chr(39)}, {d.lit(a + marks[-1])}, {chr(39)}b{chr(39)}, {d.lit(b)})' for a, b in zip(plain, with_mark))}))"
+            for marks, (plain, with_mark) in ACCENTS.items()
+        )
+        one = "aggregate(f.l, regexp_replace(t, f.p, f.to), (u, g) -> replace(u, g.a, g.b))"
+        return d.let(x, lambda v: f"CASE WHEN {d.like(v, '[' + ''.join(ACCENTS) + ']')} THEN aggregate(array({kinds}), {v}, (t, f) -> CASE WHEN contains(t, f.m) OR contains(t, f.c) THEN {one} ELSE t END) ELSE {v} END")
     done = x
     for marks, (plain, with_mark) in ACCENTS.items():
         for a, b in zip(plain, with_mark):
@@ -45,6 +63,13 @@ def accents_behind(d, x):  # a mark behind its letter, a space between them at m
 
 def docling(d, x):  # R6: accents, spaces, ligatures that stand alone
     x = f"replace({accents_behind(d, x)}, 'ı€', 'ï')"
+    if d.name == "spark":  # what is rare is searched where a string that it needs is there; what is replaced by itself isn't
+        x = d.let(x, lambda v: f"CASE WHEN contains({v}, '€') THEN {umlauts(d, v)} ELSE {v} END")
+        x = d.rewrite(x, ("R ", r"R(?<![\p{L}\p{N}_]R) ([a-z])", r"R\1"))
+        x = chain(d, x, (r"([0-9]) (st|nd|rd|th)([^\p{L}\p{N}_]|$)", r"\1\2\3"))
+        x = d.rewrite(x, (":", r"([0-9]) ?: ?([0-9])", r"\1:\2"), ("-", r"([0-9]) ?- ?([0-9])", r"\1-\2"))
+        x = chain(d, x, (r" (?<=[\p{L}\p{N}_] )([\].:;,)])", r"\1"), (r"([\[(]) ([\p{L}\p{N}_])", r"\1\2"), ("  +", " "))
+        return d.rewrite(x, *[(f" {c} ", f"([a-zA-Z]) {c} ([a-z]+)", rf"\1{to}\2") for _ in range(2) for c, to in LIGATURES.items()])
     for v, u in zip("aouAOU", "äöüÄÖÜ"):
         x = d.rep(x, rf"€\s?{v}", u)
     edge = r"(^|[^\p{L}\p{N}_])"
@@ -58,6 +83,7 @@ def docling(d, x):  # R6: accents, spaces, ligatures that stand alone
     return x
 
 
+CAPITALS = "(?<![A-Za-z])[A-Ua-z]*+[V-Z][A-Za-z]*+"  # Spark: a run of letters with a capital that may stand for a ligature
 LIGATURES = {"V": "ff", "W": "fi", "X": "fl", "Y": "ffi", "Z": "ffl"}
 
 

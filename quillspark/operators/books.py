@@ -87,10 +87,13 @@ def docling_section(d, docs, title=None):  # C10: what a layout converter leaves
         return f"SELECT doc_id, {text} AS md FROM ({docs}) _d"
     # the first heading gives way to the title
     head = r"(?m)^#+[ \t]+[\p{L}\p{N}_][^\n]*\n"
-    found = d.ext("text", head, 0)
-    place = f"{'instr' if d.name == 'spark' else 'strpos'}(text, {found})"
-    rest = f"CASE WHEN {found} = '' THEN text ELSE substr(text, 1, {place} - 1) || substr(text, {place} + length({found})) END"
-    return f"SELECT doc_id, {title} || {d.lit(chr(10) * 2)} || {d.rep(rest, '^' + chr(92) + 'n+', '')} AS md FROM (SELECT doc_id, {text} AS text FROM ({docs}) _d) _e"
+    def rest(text, found):
+        place = f"{'instr' if d.name == 'spark' else 'strpos'}({text}, {found})"
+        return f"CASE WHEN {found} = '' THEN {text} ELSE substr({text}, 1, {place} - 1) || substr({text}, {place} + length({found})) END"
+
+    whole = f"SELECT doc_id, {text} AS text FROM ({docs}) _d"
+    cut = d.let(d.ext("text", head, 0), lambda found: rest("text", found))
+    return f"SELECT doc_id, {title} || {d.lit(chr(10) * 2)} || {d.rep(cut, '^' + chr(92) + 'n+', '')} AS md FROM ({whole}) _e"
 
 
 def translation_findings(d, pairs, glossary=()):  # G11: pairs with doc_id, o and t, the texts of the original and the translation
