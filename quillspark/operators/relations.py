@@ -294,7 +294,7 @@ def _artifact_kinds(d, s, following):
         "garbage": P.garbage_block(d, s), "dash": d.like(s, "^- [a-z]"), "pagenum": d.like(s, r"^(1[0-9]{1,2}|[1-9][0-9]?) [a-z]"),
         "bracket": f"({d.like(s, r'(^|\s)[()\[\]]$')} AND NOT {d.like(s, '^[#|]')})",
         "stray": f"({d.like(s, r'[!?.”\"\x27]\s+[()\[\]]?\s?[A-Z][a-z]?$')} AND {d.like(s, r'(^|\s)[^\s]{1,3}$')})",
-        "glued": d.like(s, glued),
+        "glued": f"({d.like(s, glued[glued.rindex(':') :])} AND {d.like(s, glued)})" if d.name == "spark" else d.like(s, glued),  # most blocks have no such colon
         "split": f"(NOT {d.like(s, f'^({listed})')} AND NOT {d.like(s, r'[.?!:;\"”)\]]$')} AND {d.like(following, '^' + chr(92) + 'p{Ll}')})",
     }
 
