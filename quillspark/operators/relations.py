@@ -79,17 +79,19 @@ def local_paragraphs(docs):  # D6
 
 def _runs(array, breaks):
     """The array cut where breaks(i) holds."""
-    starts = f"filter(sequence(0, size({array}) - 1), i -> i = 0 OR {breaks})"
+    starts = f"filter(slice(sequence(0, size({array})), 1, size({array})), i -> i = 0 OR {breaks})"
     return starts, f"transform(_s, (a, k) -> slice({array}, a + 1, coalesce(try_element_at(_s, k + 2), size({array})) - a))"
 
 
 def local_merged(docs):  # W3
     from quillspark.plans.dialect import SPARK as d
 
-    paras = f"SELECT doc_id, transform({_paragraph_array('_l', lambda x: f'trim({x}) = {chr(39) * 2}', chr(92) + 'n')}, z -> z.text) AS _p FROM (SELECT doc_id, split(text, '\\n', -1) AS _l FROM ({docs}) _d) _e"
+    # no filter on the paragraphs: Spark would build them a second time for it, below the projections
+    own = "array_join(filter(transform(split(b, '\\n', -1), x -> trim(x)), x -> x <> ''), '\\n')"
+    paras = f"SELECT doc_id, filter(transform(split(text, '\\n *(?=\\n|\\\\z)', -1), b -> {own}), b -> b <> '') AS _p FROM ({docs}) _d"
     starts, groups = _runs("_p", opens_paragraph(d, "_p[i - 1]", "_p[i]"))
     joined = f"transform({groups}, g -> named_struct('text', {merged_text(d, 'g')}, 'n_parts', CAST(size(g) AS BIGINT)))"
-    return each_row(f"SELECT doc_id, _p, {starts} AS _s FROM ({paras}) _f WHERE size(_p) > 0", joined, "grp", "text", "n_parts")
+    return each_row(f"SELECT doc_id, _p, {starts} AS _s FROM ({paras}) _f", joined, "grp", "text", "n_parts")
 
 
 def local_passages(docs):  # W7: a heading holds for what follows up to the next
