@@ -340,6 +340,16 @@ def citations(d, lines_):  # P29
     return f"SELECT DISTINCT doc_id, key FROM ({d.rows(f'SELECT doc_id, {text} AS text FROM ({outside}) _o', d.all('text', r'(?:^|[^A-Za-z0-9_])-?@([A-Za-z0-9_][A-Za-z0-9_:-]*)', 1), 'pos', 'key')}) _k"
 
 
+def local_citations(docs):  # P29
+    """Spark: the same within the row; a text without the sign isn't searched. What stands outside fences is every other part of the text."""
+    from quillspark.plans.dialect import SPARK as d
+
+    outside_ = "CASE WHEN contains(text, '```') THEN array_join(filter(split(text, '(?md)^ *```[^\\n]*(?:\\n|\\\\z)', -1), (x, i) -> i % 2 = 0), '') ELSE text END"
+    text = R.chain(d, outside_, ("`[^`]*`", ""), (r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+", ""))
+    keys = d.all(text, r"(?:^|[^A-Za-z0-9_])-?@([A-Za-z0-9_][A-Za-z0-9_:-]*)", 1)
+    return f"SELECT DISTINCT doc_id, key FROM ({docs}) _d LATERAL VIEW explode(CASE WHEN contains(text, '@') THEN {keys} END) _k AS key"
+
+
 def note_balance(d, docs):  # G8, J8
     refs = f"SELECT DISTINCT doc_id, m FROM ({d.rows(docs, d.all('text', r'\[[\^]([^]]+)[]](?:[^:]|$)', 1), 'pos', 'm')}) _r"
     defs = f"SELECT DISTINCT doc_id, m FROM ({d.rows(docs, d.all('text', r'(?m)^\[[\^]([^]]+)[]]:', 1), 'pos', 'm')}) _d"

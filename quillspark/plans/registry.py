@@ -242,6 +242,10 @@ def _cited(d):  # J7, S17, E1
     bib = "SELECT 'smith2001' AS key UNION ALL SELECT 'smith2001' UNION ALL SELECT 'brown1999'"
     cites = O.citations(d, damaged_lines(d))
     anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    if d.name == "spark":  # the citations once
+        cited, listed = f"SELECT DISTINCT key FROM ({O.local_citations(dirty(d))}) _c", f"SELECT DISTINCT key FROM ({bib}) _b"
+        return f"""SELECT coalesce(c.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'no entry' ELSE 'not cited' END AS what FROM ({cited}) c FULL JOIN ({listed}) b ON c.key = b.key WHERE c.key IS NULL OR b.key IS NULL
+      UNION ALL SELECT key, 'twice' FROM ({bib}) _x GROUP BY key HAVING count(*) > 1"""
     return f"""SELECT DISTINCT c.key, 'no entry' AS what FROM ({cites}) c {anti} ({bib}) b ON c.key = b.key UNION ALL SELECT DISTINCT b.key, 'not cited' FROM ({bib}) b {anti} ({cites}) c ON b.key = c.key
       UNION ALL SELECT key, 'twice' FROM ({bib}) _x GROUP BY key HAVING count(*) > 1"""
 
@@ -296,7 +300,7 @@ BUILDERS: dict[str, Callable[..., str]] = {
     "p15_garbage_blocks": _flag(P.garbage_block), "p16_corruption": lambda d: f"SELECT doc_id, line_no, round({P.corruption_score(d, 'line')}, 4) AS score FROM ({damaged_lines(d)}) _q",
     "p17_garbled_cells": _garbled_cells, "p18_artifacts": lambda d: O.artifacts(d, dirty(d)), "p19_proofread": lambda d: O.proofread(d, dirty(d)), "p20_index_heads": _flag(P.plausible_head),
     "p21_terminal": _flag(P.ends_terminal), "p22_only": lambda d: "SELECT doc_id, source FROM documents WHERE contains(lower(source), 'c1')", "p23_latin": _flag(P.latin), "p25_spreads": _spread, "p26_leaked_notes": _flag(P.leaked_note),
-    "p27_anchors": _anchor, "p28_unquotable": _flag(P.unquotable), "p28_backmatter": _flag(P.backmatter), "p29_citations": _lines(O.citations),
+    "p27_anchors": _anchor, "p28_unquotable": _flag(P.unquotable), "p28_backmatter": _flag(P.backmatter), "p29_citations": _local(O.local_citations, lambda d: O.citations(d, damaged_lines(d))),
     "r1_slugs": _rewrite(R.slug), "r1_slugs_lower": _rewrite(R.slug, most=20, lower=True), "r2_fold": _rewrite(R.folded), "r5_diacritics": _rewrite(R.diacritics), "r6_docling": _rewrite(R.docling), "r7_ordinals": _rewrite(R.ordinals),
     "r9_pronoun": _rewrite(R.pronoun), "r10_join_lines": _whole(R.join_lines), "r11_join_paragraph": _whole(R.join_paragraph), "r12_dehyphenate": lambda d: f"SELECT doc_id, line_no, {R.dehyphenate(d, 's || ' + chr(39) + '-' + chr(39), chr(39) + 'end' + chr(39))} AS s FROM ({sentences(d)}) _q",
     "r13_leading_numbers": lambda d: f"SELECT doc_id, line_no, {R.leading_number(d, 'line')} AS s FROM ({damaged_lines(d)}) _q",
