@@ -269,6 +269,22 @@ def fts_postings(d, passages_):  # Q1
     return f"SELECT doc_id, passage_no, term, count(*) AS tf FROM ({toks}) _t GROUP BY doc_id, passage_no, term"
 
 
+def local_postings(docs):  # Q1
+    """Spark: the terms of a passage, sorted and counted by runs within the row. Rows of one doc_id add up, as in SQL; a table without such rows needs no shuffle."""
+    from quillspark.plans.dialect import SPARK as d
+
+    def counted(docs_):
+        toks = d.all(d.fold("body"), r"[\p{L}\p{N}]+")
+        rel = f"SELECT doc_id, passage_no, sort_array({toks}) AS _s FROM ({local_passages(docs_)}) _p WHERE length(body) > 15"
+        rel = f"SELECT *, filter(slice(sequence(0, size(_s)), 1, size(_s)), i -> i = 0 OR _s[i] <> _s[i - 1]) AS _a FROM ({rel}) _q"
+        runs = "transform(_a, (a, k) -> named_struct('term', _s[a], 'tf', CAST(coalesce(try_element_at(_a, k + 2), size(_s)) - a AS BIGINT)))"
+        return f"SELECT doc_id, passage_no, _z.term AS term, _z.tf AS tf FROM ({rel}) _r LATERAL VIEW explode({runs}) _e AS _z"
+
+    again = f"(SELECT count(*) > count(DISTINCT doc_id) FROM ({docs}) _n)"
+    own, all_ = (f"SELECT * FROM ({docs}) _c WHERE {sign}{again}" for sign in ("NOT ", ""))
+    return f"{counted(own)} UNION ALL SELECT doc_id, passage_no, term, sum(tf) AS tf FROM ({counted(all_)}) _t GROUP BY doc_id, passage_no, term"
+
+
 def bm25(d, postings, terms):  # Q2: the postings once; of the corpus, two numbers and a frequency for each term asked for
     listed = ", ".join(d.lit(t) for t in terms)
     idf = "ln((n - df + 0.5) / (df + 0.5))"

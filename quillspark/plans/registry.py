@@ -320,7 +320,7 @@ BUILDERS: dict[str, Callable[..., str]] = {
     "w27_outside_fences": _local(O.local_fences, lambda d: O.fences(d, damaged_lines(d))), "w28_context": lambda d: O.context(d, damaged_lines(d), "contains(line, 'the ')", 1), "w30_relocated_notes": _lines(O.relocated_notes), "w31_split_definitions": _lines(O.merge_split_definitions),
     "j4_notes": _notes_join, "j7_citation_keys": _cited, "g1_word_map": lambda d: O.word_map(d, dirty(d)), "g2_word_counts": lambda d: O.word_counts(d, "SELECT text FROM documents"), "g3_mode": _mode, "g4_median": _median, "g5_hits": _search,
     "g7_ratio": _ratio, "g8_note_balance": lambda d: O.note_balance(d, dirty(d)), "g9_noise": _noise, "g10_translation": _translation, "g12_lost_numbers": _multiset, "g13_corruption": _corruption, "g14_missing_numbers": lambda d: O.missing_numbers(d, _numbers(d)),
-    "g16_page_sample": _sample, "g18_fingerprint": _fingerprint, "e4_note_pools": _pools, "l2_completeness": _completeness, "l6_spelling": _spelling, "q1_postings": lambda d: O.fts_postings(d, _passages(d)),
+    "g16_page_sample": _sample, "g18_fingerprint": _fingerprint, "e4_note_pools": _pools, "l2_completeness": _completeness, "l6_spelling": _spelling, "q1_postings": _local(O.local_postings, lambda d: O.fts_postings(d, _passages(d))),
     "q2_bm25": lambda d: O.bm25(d, (O.fts_tokens if d.name == "spark" else O.fts_postings)(d, _passages(d)), ("the", "token", "ersh", "license")), "q6_index": _index, "h1_tags": _tags,
     "m1_roles": lambda d: O.roles(d, _heads(d)), "m2_chapter_titles": lambda d: f"SELECT doc_id, {R.strip_chapter(d, chr(39) + '# Chapter 4 — ' + chr(39) + ' || text')} AS s FROM documents",
     "m3_first_chapter": lambda d: f"SELECT doc_id, {R.star_first_chapter(d, chr(39) + 'x ' + chr(92) * (2 if d.name == 'spark' else 1) + 'chapter{A {b} c} y ' + chr(39) + ' || text')} AS s FROM documents",
