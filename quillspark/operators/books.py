@@ -131,7 +131,7 @@ def translation_findings(d, pairs, glossary=()):  # G11: pairs with doc_id, o an
 
 def clean_chapters(d, docs, fixes):  # C1: ligatures by a map of tokens, diacritics, openings
     """fixes: w and fixed, the tokens whose capitals stand for ligatures and what they are, as a join with a dictionary finds them."""
-    toks = d.rows(docs, d.uniq(d.all("text", "[A-Za-z]+")), "pos", "w")
+    toks = d.rows(docs, d.uniq(d.all("text", R.CAPITALS if d.name == "spark" else "[A-Za-z]+")), "pos", "w")
     pair = d.struct_named(("w", "f.w"), ("fixed", "f.fixed"))
     own = f"SELECT k.doc_id, {d.listed(pair)} AS _f FROM (SELECT doc_id, w FROM ({toks}) _t WHERE {d.like('w', '[VWXYZ]')}) k JOIN ({fixes}) f ON k.w = f.w GROUP BY k.doc_id"
     word = lambda w: f"'(^|[^A-Za-z])' || {w} || '([^A-Za-z]|$)'"

@@ -339,7 +339,10 @@ BUILDERS: dict[str, Callable[..., str]] = {
 def _ligature_map(d):  # R3, R4, J12: tokens whose capitals stand for ligatures, by a dictionary join
     known = f"SELECT word FROM ({O.word_counts(d, 'SELECT text FROM documents', 'ascii')}) _k WHERE n >= 3 UNION SELECT w FROM (SELECT 'final' AS w UNION ALL SELECT 'office' UNION ALL SELECT 'flow' UNION ALL SELECT 'waffle') _l"
     fixed = "replace(replace(replace(replace(replace(w, 'W', 'fi'), 'V', 'ff'), 'X', 'fl'), 'Y', 'ffi'), 'Z', 'ffl')"
-    words = d.rows(f"SELECT doc_id, s || ' Wnal oYce Xow WWF waVle' AS s FROM ({sentences(d)}) _s", d.all("s", "[A-Za-z]+"), "pos", "w")
+    words = d.rows(f"SELECT doc_id, s || ' Wnal oYce Xow WWF waVle' AS s FROM ({sentences(d)}) _s", d.all("s", R.CAPITALS if d.name == "spark" else "[A-Za-z]+"), "pos", "w")
+    if d.name == "spark":  # counted before the join, which else brings all rows of a frequent token to one task
+        tokens = f"SELECT w, lower({fixed}) AS f, count(*) AS n FROM ({words}) _w WHERE w <> upper(w) GROUP BY w"
+        return f"SELECT t.w, k.word AS fixed, t.n FROM ({tokens}) t JOIN ({known}) k ON t.f = k.word"
     return f"SELECT t.w, k.word AS fixed, count(*) AS n FROM (SELECT w, lower({fixed}) AS f FROM ({words}) _w WHERE {d.like('w', '[VWXYZ]')} AND w <> upper(w)) t JOIN ({known}) k ON t.f = k.word GROUP BY t.w, k.word"
 
 
