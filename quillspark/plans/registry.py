@@ -148,6 +148,8 @@ def _spelling(d):  # L6, J13: an unknown word goes to the most frequent known on
     both = f"array_distinct(concat(array(word), {one}, {two}))" if d.name == "spark" else f"list_distinct(list_concat([word], {one}, {two}))"
     cut = lambda rel: d.rows(f"SELECT word, n FROM ({rel}) _v", both, "pos", "v")
     swaps = lambda w: d.each(d.upto("1", f"length({w}) - 1"), "i", f"substr({w}, 1, i - 1) || substr({w}, i + 1, 1) || substr({w}, i, 1) || substr({w}, i + 2)")
+    if d.name == "spark":
+        return _spelling_by_steps(d, one, two, swaps)
     near = f"CASE WHEN levenshtein(a, b) <= 1 OR length(a) = length(b) AND {d.has(swaps('a'), 'b')} THEN 1 WHEN levenshtein(a, b) = 2 OR {d.some(swaps('a'), 's', 'levenshtein(s, b) <= 1')} OR {d.some(swaps('b'), 's', 'levenshtein(a, s) <= 1')} THEN 2 ELSE 3 END"
     rare = f"SELECT * FROM ({words}) _w WHERE n < 3 AND length(word) BETWEEN 4 AND 12"
     known = f"SELECT * FROM ({words}) _w WHERE n >= 3 AND length(word) >= 2"
@@ -156,6 +158,21 @@ def _spelling(d):  # L6, J13: an unknown word goes to the most frequent known on
     return f"SELECT a AS word, fix FROM ({best}) _b WHERE n >= 8"
 
 
+def _spelling_by_steps(d, one, two, swaps):
+    """Spark: words an edit away first; two edits are asked only of the words without one, and of known words that may be given. All words are counted once: no condition
+    goes below their count, and each side of the second step asks for all of the first, so that its shuffles are used again."""
+    words = f"SELECT word, count(*) AS n, max(length(word)) AS l FROM ({d.rows('SELECT text FROM documents', R.tokens(d, 'text', 'ascii'), 'pos', 'word')}) _w WHERE word IS NOT NULL GROUP BY word"
+    rare = f"SELECT word, n FROM ({words}) _v WHERE n < 3 AND l BETWEEN 4 AND 12"
+    known = lambda least: f"SELECT word, n FROM ({words}) _v WHERE n >= {least} AND l BETWEEN 2 AND 14"  # noqa: E731 - longer ones are three edits from all
+    cut = lambda rel, more: f"SELECT word, n, v FROM ({rel}) _c LATERAL VIEW explode(array_distinct(concat(array(word), {more}))) _e AS v"
+    best = lambda r, c, more, near: f"SELECT a, max_by(b, struct(n, length(b), b)) AS fix, max(n) AS n FROM (SELECT r.word AS a, c.word AS b, c.n FROM ({cut(r, more)}) r JOIN ({cut(c, more)}) c ON r.v = c.v) _p WHERE {near} GROUP BY a"
+    first = best(rare, known(3), one, f"levenshtein(a, b, 1) >= 0 OR length(a) = length(b) AND levenshtein(a, b, 2) = 2 AND {d.has(swaps('a'), 'b')}")
+    rest = f"SELECT word, n FROM ({rare}) _r LEFT ANTI JOIN ({first}) _f ON _r.word = _f.a AND _f.fix IS NOT NULL AND _f.n > 0"
+    swapped = f"{d.some(swaps('a'), 's', 'levenshtein(s, b, 1) >= 0')} OR {d.some(swaps('b'), 's', 'levenshtein(a, s, 1) >= 0')}"
+    second = best(rest, known(8), f"{one}, {two}", f"levenshtein(a, b, 2) >= 0 OR abs(length(a) - length(b)) <= 1 AND levenshtein(a, b, 3) = 3 AND ({swapped})")
+    return f"SELECT a AS word, fix FROM ({first}) _b WHERE n >= 8 AND fix IS NOT NULL UNION ALL SELECT a AS word, fix FROM ({second}) _s"
+
+
 def _html_text(d):  # S10, by patterns
     s = R.chain(d, "html", (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<(p|br|div|li|h[1-4])[^>]*>", "\n"), (r"<[^>]*>", ""))
     return f"SELECT page_id, {R.caption(d, s)} AS text FROM pages"
