@@ -124,6 +124,10 @@ def dehyphenate(d, a, b):  # R12
 
 def leading_number(d, x):  # R13: a folio glued to the first word, junk before it, and a folio within a broken word
     letter = r"[\p{L}¡«¿]"
+    if d.name == "spark":  # a broken word is sought from its last letter on, where a hyphen and a number are
+        start = chain(d, x, (rf"^[\s-]*[0-9]{{1,3}}({letter})", r"\1"), (rf"^[\s*+.·•-]+({letter})", r"\1"))
+        broken = [(rf"([\p{{L}}\p{{N}}_])-\s+[0-9]{{1,3}}{middle}\s+([a-záéíóúüñ])", r"\1\2") for middle in (r"\.?\s+[0-9]{0,3}", "")]
+        return d.let(start, lambda v: f"CASE WHEN {d.like(v, '-' + chr(92) + 's+[0-9]')} THEN {chain(d, v, *broken)} ELSE {v} END")
     return chain(d, x, (rf"^[\s-]*[0-9]{{1,3}}({letter})", r"\1"), (rf"^[\s*+.·•-]+({letter})", r"\1"), (r"([\p{L}\p{N}_]+)-\s+[0-9]{1,3}\.?\s+[0-9]{0,3}\s+([a-záéíóúüñ])", r"\1\2"), (r"([\p{L}\p{N}_]+)-\s+[0-9]{1,3}\s+([a-záéíóúüñ])", r"\1\2"))
 
 

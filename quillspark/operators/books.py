@@ -27,8 +27,9 @@ def cut_runs(d, array, opens):
 
 def behind(d, array, match):
     """The array without the matching elements at its start."""
-    first = d.at(d.keep(d.places(array), "i", f"NOT ({match(d.at(array, 'i'))})"), "1")
-    return d.part(array, f"coalesce({first}, {d.size(array)} + 1)", d.size(array))
+    first = lambda a: d.at(d.keep(d.places(a), "i", f"NOT ({match(d.at(a, 'i'))})"), "1")
+    # else Spark makes the array again for each of its elements
+    return d.let(array, lambda a: d.part(a, f"coalesce({first(a)}, {d.size(a)} + 1)", d.size(a)))
 
 
 def book_section(d, docs, title, heads=("RUNNING HEAD",), fixes=(("tbe", "the"),)):  # C2: pages between form feeds to a Markdown section
